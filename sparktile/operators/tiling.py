@@ -185,14 +185,14 @@ def cut_tiles(
     tile of one image, far less than the image row it joins.
     """
     check_geometry(patch_size, stride)
-    channels = 3
+    channels, listed = 3, manifest is not None
 
     def cut(frames):
         for pdf in frames:
             for r in pdf.itertuples(index=False):
                 image = np.frombuffer(r.image, np.uint8).reshape(r.height, r.width, channels)
                 hits = np.frombuffer(r.mask, np.uint8).reshape(r.height, r.width) > mask_threshold
-                if manifest is None:
+                if not listed:
                     ys, xs = _axis(r.height, patch_size, stride), _axis(r.width, patch_size, stride)
                     wanted = [(y, x) for y, row in zip(ys, _tile_sums(hits, ys, xs, patch_size) >= min_fg) for x in xs[row]]
                 else:
@@ -207,7 +207,7 @@ def cut_tiles(
                     })
 
     source = images.select("source_id", "width", "height", "image", "mask")
-    if manifest is not None:
+    if listed:
         origins = manifest.groupBy("source_id").agg(F.collect_set(F.struct("y0", "x0")).alias("origins"))
         source = source.join(origins, "source_id")
     schema = (

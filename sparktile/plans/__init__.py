@@ -1,4 +1,4 @@
 from .catalog import ORACLES, QUERIES
-from . import tile_queries  # noqa: F401
+from . import metric_queries, tile_queries  # noqa: F401
 
 __all__ = ["QUERIES", "ORACLES"]
