@@ -220,3 +220,21 @@ def tile_samples(tiles: DataFrame, images: DataFrame, patch_size: int, stride: i
     """Payload for a tile manifest, optionally passed through a packed transform."""
     cut = cut_tiles(images, patch_size, stride, mask_threshold, manifest=tiles)
     return transform(cut) if transform else cut
+
+
+def unpack_tiles(tiles: DataFrame) -> DataFrame:
+    """Packed tiles to long form: source_id, y0, x0, dy, dx, r, g, b, t (mask byte)."""
+
+    def cells(frames):
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                t = np.frombuffer(r.mask, np.uint8)
+                y, x = np.divmod(np.arange(len(t)), int(round(len(t) ** 0.5)))
+                rgb = np.frombuffer(r.image, np.uint8).reshape(-1, 3)
+                yield pd.DataFrame({
+                    "source_id": r.source_id, "y0": r.y0, "x0": r.x0, "dy": y, "dx": x,
+                    "r": rgb[:, 0], "g": rgb[:, 1], "b": rgb[:, 2], "t": t,
+                })
+
+    schema = f"source_id {_id_type(tiles)}, y0 int, x0 int, dy int, dx int, r int, g int, b int, t int"
+    return tiles.select(*TILE_KEY, "image", "mask").mapInPandas(cells, schema)

@@ -72,12 +72,14 @@ def with_rgb(pixels: DataFrame) -> DataFrame:
     return pixels.select("*", m.alias("r"), (255 - m).alias("g"), ((m * 7) % 256).alias("b"))
 
 
-def px_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def px_packed(spark: SparkSession, sf_dir: str, grey: bool = False) -> DataFrame:
     """The same images as one row each: image binary (HWC RGB) and mask binary (HW).
 
     A group holds the at most 1024 pixels of one 32x32 image.
     """
     p = with_rgb(px(spark, sf_dir))
+    if grey:
+        p = p.withColumns({"r": F.col("m"), "g": F.col("m"), "b": F.col("m")})
 
     def byte(c):
         return F.lpad(F.hex(F.col(c).cast("long")), 2, "0")
