@@ -219,13 +219,12 @@ def read_counts(text: str) -> np.ndarray:
     return value
 
 
-def row_spans(counts: np.ndarray, height: int, width: int) -> list[tuple[int, int, int]]:
-    """Column-major runs (background first) to inclusive row spans (y, x_start, x_end)."""
+def row_spans(counts, height: int, width: int):
+    """Column-major runs (background first) to inclusive row spans: arrays y, x_start, x_end."""
     counts = np.asarray(counts, np.int64)
-    flags = np.repeat(np.arange(len(counts)) % 2, counts).astype(np.int8)[: height * width]
     grid = np.zeros(height * width, np.int8)
+    flags = np.repeat(np.arange(len(counts)) % 2, counts)[: height * width]
     grid[: len(flags)] = flags
     edge = np.diff(np.pad(grid.reshape(width, height).T, [(0, 0), (1, 1)]), axis=1)
-    y, start = np.nonzero(edge == 1)
-    end = np.nonzero(edge == -1)[1] - 1
-    return list(zip(y.tolist(), start.tolist(), end.tolist()))
+    y, x_start = np.nonzero(edge == 1)
+    return y, x_start, np.nonzero(edge == -1)[1] - 1

@@ -15,6 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share a scan of fewer partitions than cores over all of them, for views that expand each row.
+
+    Large inputs already have more partitions and pass through unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # --- pixels: 16 embedding vectors make one 32x32 image of 8x8 blocks -------------------------
 
 IMAGES_SQL = """
@@ -47,7 +56,7 @@ def px_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def px(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long pixels: source_id, y, x, z (logit), m (mask byte), width, height."""
-    e = table(spark, sf_dir, "embeddings")
+    e = spread(table(spark, sf_dir, "embeddings"))
     wide = e.join(px_images(spark, sf_dir), F.expr("vec_id div 16") == F.col("source_id"))
     cells = wide.select("source_id", "width", "height", "vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
     return cells.select(
@@ -163,7 +172,7 @@ coco_images AS (
          ['alpha_run','beta_run','gamma_run','delta_run','alphabet'][CAST(substr(o_orderpriority,1,1) AS INTEGER)] AS batch
   FROM orders),
 coco_px AS (
-  SELECT DISTINCT image_id, y, x, ign FROM (
+  SELECT DISTINCT image_id, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, ign FROM (
     SELECT image_id, l_returnflag='R' AS ign, x0, y0, w, unnest(range(w+1)) AS dy FROM coco_ann) r,
     LATERAL (SELECT r.y0+r.dy AS y), LATERAL (SELECT unnest(range(r.x0, r.x0+r.w+1)) AS x)
   WHERE y < 64 AND x < 64),
@@ -192,7 +201,7 @@ def coco_categories(spark: SparkSession) -> DataFrame:
 
 
 def coco_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem")
+    l = spread(table(spark, sf_dir, "lineitem"))
     return l.select(
         F.col("l_orderkey").alias("image_id"),
         F.when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 2).otherwise(99).alias("category_id"),
