@@ -228,3 +228,79 @@ def row_spans(counts, height: int, width: int):
     edge = np.diff(np.pad(grid.reshape(width, height).T, [(0, 0), (1, 1)]), axis=1)
     y, x_start = np.nonzero(edge == 1)
     return y, x_start, np.nonzero(edge == -1)[1] - 1
+
+
+def batch_row_spans(runs: list[np.ndarray], heights, widths):
+    """``row_spans`` of many small rasters at once: owner, y, x_start, x_end.
+
+    Foreground pixels get one number ordered by (owner, row, column); a span starts wherever
+    consecutive numbers do not follow each other or a row begins.
+    """
+    length = np.concatenate(runs)
+    size = np.array([len(r) for r in runs])
+    first = np.concatenate([[0], size.cumsum()[:-1]])
+    owner = np.repeat(np.arange(len(runs)), size)
+    end = length.cumsum()
+    begin = end - length
+    begin = begin - begin[first][owner]
+    fg = (np.arange(len(length)) - first[owner]) % 2 == 1
+    length, begin, owner = length[fg], begin[fg], owner[fg]
+    h, w = np.asarray(heights, np.int64), np.asarray(widths, np.int64)
+    base = np.concatenate([[0], (h * w).cumsum()[:-1]])
+    at = np.arange(length.sum()) - np.repeat(length.cumsum() - length, length)
+    who = np.repeat(owner, length)
+    p = np.repeat(begin, length) + at
+    inside = p < (h * w)[who]
+    who, p = who[inside], p[inside]
+    code = np.sort(base[who] + (p % h[who]) * w[who] + p // h[who])
+    who = np.searchsorted(base, code, "right") - 1
+    local = code - base[who]
+    y, x = local // w[who], local % w[who]
+    new = np.ones(len(code), bool)
+    new[1:] = (np.diff(code) != 1) | (np.diff(y) != 0) | (np.diff(who) != 0)
+    start = np.flatnonzero(new)
+    stop = np.append(start[1:], len(code)) - 1 if len(code) else start
+    return who[start], y[start], x[start], x[stop]
+
+
+def ring_spans(rings: list[np.ndarray], heights, widths):
+    """Filled rings of flat x,y numbers: owner, y, x_start, x_end, clipped to each raster.
+
+    Vertices are truncated to whole pixels. Rows are filled between pairs of edge crossings
+    (even-odd; an edge counts from its upper end down to just above its lower end; ends rounded
+    inwards at .5). Horizontal edges and lower corner points, which that leaves out, are added.
+    Every row of a closed ring has an even number of crossings, so one sort pairs them all.
+    """
+    n = np.array([len(r) // 2 if len(r) >= 6 else 0 for r in rings])
+    if not n.sum():
+        return (np.zeros(0, np.int64),) * 4
+    pts = np.concatenate([np.asarray(r[: 2 * k]).reshape(k, 2) for r, k in zip(rings, n)]).astype(np.int64)
+    owner = np.repeat(np.arange(len(rings)), n)
+    first = np.repeat(n.cumsum() - n, n)
+    place = np.arange(len(pts)) - first
+    nxt = np.where(place + 1 == n[owner], first, np.arange(len(pts)) + 1)
+    before = np.empty_like(nxt)
+    before[nxt] = np.arange(len(pts))
+    h, w = np.asarray(heights, np.int64), np.asarray(widths, np.int64)
+
+    x, y = pts.T
+    down = y <= y[nxt]
+    xa, ya = np.where(down, x, x[nxt]), np.where(down, y, y[nxt])
+    xb, yb = np.where(down, x[nxt], x), np.where(down, y[nxt], y)
+    low = np.maximum(ya, 0)
+    rows = np.maximum(np.minimum(yb, h[owner]) - low, 0)
+    e = np.repeat(np.arange(len(pts)), rows)
+    cy = low[e] + np.arange(len(e)) - np.repeat(rows.cumsum() - rows, rows)
+    cx = xa[e] + (cy - ya[e]) * (xb[e] - xa[e]) / (yb[e] - ya[e])
+    order = np.lexsort((cx, cy, owner[e]))
+    left, right = order[0::2], order[1::2]
+    flat = np.flatnonzero(ya == yb)
+    foot = np.flatnonzero((y[before] < y) & (y[nxt] < y))
+
+    who = np.concatenate([owner[e][left], owner[flat], owner[foot]])
+    row = np.concatenate([cy[left], y[flat], y[foot]])
+    start = np.concatenate([np.floor(cx[left] + 0.5).astype(np.int64), np.minimum(xa, xb)[flat], x[foot]])
+    stop = np.concatenate([np.ceil(cx[right] - 0.5).astype(np.int64), np.maximum(xa, xb)[flat], x[foot]])
+    start, stop = np.maximum(start, 0), np.minimum(stop, w[who] - 1)
+    ok = (start <= stop) & (row >= 0) & (row < h[who])
+    return who[ok], row[ok], start[ok], stop[ok]

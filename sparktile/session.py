@@ -7,12 +7,13 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Raster rows are large (a 256x256 RGB tile is 192 KiB), so Arrow batches hold few of them.
-RASTER_ROWS_PER_BATCH = 64
+# Raster rows are large (a 256x256 RGB tile is 192 KiB) and annotation rows small: bound Arrow
+# batches by bytes, not rows, so that both kinds move in batches of a sensible size.
+BATCH_BYTES = 64 * 1024 * 1024
 
 
 def get_spark(app: str = "sparktile", master: str | None = None, **conf) -> SparkSession:
-    """Session with adaptive execution, UTC and raster-sized Arrow batches.
+    """Session with adaptive execution, UTC and byte-bounded Arrow batches.
 
     ``conf`` keys use ``__`` for dots (``spark__sql__shuffle__partitions=8``).
     """
@@ -24,7 +25,7 @@ def get_spark(app: str = "sparktile", master: str | None = None, **conf) -> Spar
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.execution.arrow.maxRecordsPerBatch": str(RASTER_ROWS_PER_BATCH),
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
         "spark.ui.enabled": "false",
     }
     settings.update({k.replace("__", "."): str(v) for k, v in conf.items()})
