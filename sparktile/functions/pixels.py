@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# ITU-R 601 luma weights per mille.
-LUMA_R, LUMA_G, LUMA_B = 299, 587, 114
+# ITU-R 601-2 luma weights in 16-bit fixed point, for r, g, b.
+LUMA_WEIGHTS, LUMA_SHIFT = (19595, 38470, 7471), 16
 
 
 def sigmoid(logit: Column) -> Column:
@@ -33,7 +33,9 @@ def clip_u8(value: Column) -> Column:
 
 
 def luma(r: Column, g: Column, b: Column) -> Column:
-    return F.floor((r * LUMA_R + g * LUMA_G + b * LUMA_B) / 1000.0 + 0.5).cast("int")
+    """Grey value of a colour, rounded half up."""
+    total = sum((v.cast("long") * w for v, w in zip((r, g, b), LUMA_WEIGHTS)), F.lit(1 << (LUMA_SHIFT - 1)))
+    return F.shiftright(total, LUMA_SHIFT).cast("int")
 
 
 def overlay_rgb(r: Column, g: Column, b: Column, mask: Column) -> tuple[Column, Column, Column]:

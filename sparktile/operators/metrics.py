@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.pixels import sigmoid
+from .scoring import cut_blocks
 
 SMOOTH = 1e-6  # fixed value: default smoothing of Dice and IoU
 
@@ -87,34 +88,18 @@ def image_metrics_packed(blocks: DataFrame, images: DataFrame, threshold: float
     Masks are cut along the same block lattice and joined block by block (one row per side and
     key); each pair yields three partial sums, which are added per image.
     """
-    kind = images.schema["source_id"].dataType.simpleString()
-
-    def cut(frames):
-        for pdf in frames:
-            for r in pdf.itertuples(index=False):
-                m = np.frombuffer(r.mask, np.uint8).reshape(r.height, r.width) > mask_threshold
-                at = [(by, bx) for by in range(-(-r.height // block)) for bx in range(-(-r.width // block))]
-                for i in range(0, len(at), 64):
-                    part = at[i : i + 64]
-                    yield pd.DataFrame({
-                        "source_id": r.source_id, "by": [a for a, _ in part], "bx": [b for _, b in part],
-                        "truth": [m[a * block : (a + 1) * block, b * block : (b + 1) * block].astype(np.uint8).tobytes() for a, b in part],
-                    })
-
-    truth = images.select("source_id", "width", "height", "mask").mapInPandas(
-        cut, f"source_id {kind}, by int, bx int, truth binary"
-    )
+    truth = cut_blocks(images, ["mask"], block)
 
     @pandas_udf("inter double, pred double, target double")
     def sums(prob: pd.Series, mask: pd.Series) -> pd.DataFrame:
         out = []
         for p, m in zip(prob, mask):
-            t = np.frombuffer(m, np.uint8).astype(bool)
+            t = np.frombuffer(m, np.uint8) > mask_threshold
             hit = np.zeros(t.size, bool) if p is None else np.frombuffer(p, np.float32) >= np.float32(threshold)
             out.append(((hit & t).sum(), hit.sum(), t.sum()))
         return pd.DataFrame(out, columns=["inter", "pred", "target"], dtype="float64")
 
     both = truth.join(blocks.select("source_id", "by", "bx", "prob"), ["source_id", "by", "bx"], "left")
-    parts = both.select("source_id", sums("prob", "truth").alias("s")).select("source_id", "s.*")
+    parts = both.select("source_id", sums("prob", "mask").alias("s")).select("source_id", "s.*")
     total = parts.groupBy("source_id").agg(*[F.sum(c).alias(c) for c in ("inter", "pred", "target")])
     return sample_scores(total)

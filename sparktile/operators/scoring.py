@@ -183,6 +183,72 @@ def unpack_blocks(blocks: DataFrame) -> DataFrame:
     )
 
 
+def cut_blocks(images: DataFrame, columns: list[str], block: int = BLOCK) -> DataFrame:
+    """Cut packed rasters (image HWC or mask HW bytes) along the block lattice, without a shuffle."""
+    kind = images.schema["source_id"].dataType.simpleString()
+    columns = list(columns)
+
+    def cut(frames):
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                planes = {c: np.frombuffer(getattr(r, c), np.uint8).reshape(r.height, r.width, -1) for c in columns}
+                at = [(by, bx) for by in range(-(-r.height // block)) for bx in range(-(-r.width // block))]
+                for i in range(0, len(at), 64):
+                    part = at[i : i + 64]
+                    yield pd.DataFrame({
+                        "source_id": r.source_id, "by": [a for a, _ in part], "bx": [b for _, b in part],
+                        **{c: [p[a * block : (a + 1) * block, b * block : (b + 1) * block].tobytes() for a, b in part] for c, p in planes.items()},
+                    })
+
+    schema = f"source_id {kind}, by int, bx int, " + ", ".join(f"{c} binary" for c in columns)
+    return images.select("source_id", "width", "height", *columns).mapInPandas(cut, schema)
+
+
+def render_blocks(blocks: DataFrame, images: DataFrame, threshold: float = 0.5, block: int = BLOCK) -> DataFrame:
+    """Add mask (HW bytes 0/255) and overlay (HWC bytes) to stitched blocks.
+
+    The original colours are cut along the same lattice and meet their block one to one.
+    """
+
+    @pandas_udf("mask binary, overlay binary")
+    def paint(prob: pd.Series, image: pd.Series) -> pd.DataFrame:
+        out = []
+        for p, i in zip(prob, image):
+            hit = np.frombuffer(p, np.float32) >= np.float32(threshold)
+            rgb = np.frombuffer(i, np.uint8).reshape(-1, 3)
+            tinted = np.minimum(rgb // 2 + np.array([0, 128, 0]), 255)
+            out.append(((hit * 255).astype(np.uint8).tobytes(), np.where(hit[:, None], tinted, rgb).astype(np.uint8).tobytes()))
+        return pd.DataFrame(out, columns=["mask", "overlay"])
+
+    colours = cut_blocks(images, ["image"], block)
+    both = blocks.join(colours, BLOCK_KEY).withColumn("_r", paint("prob", "image"))
+    return both.select(*blocks.columns, "_r.mask", "_r.overlay")
+
+
+def assemble(blocks: DataFrame) -> DataFrame:
+    """Whole rasters from blocks, for files that hold one image each: source_id, width, height, prob, mask, overlay.
+
+    A group is exactly one output file.
+    """
+    kind = blocks.schema["source_id"].dataType.simpleString()
+    layers = {"prob": (np.float32, 1), "mask": (np.uint8, 1), "overlay": (np.uint8, 3)}
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        out = {"source_id": [first.source_id], "width": [first.width], "height": [first.height]}
+        for name, (dtype, c) in layers.items():
+            whole = np.zeros((first.height, first.width, c), dtype)
+            for r in pdf.itertuples(index=False):
+                whole[r.y : r.y + r.h, r.x : r.x + r.w] = np.frombuffer(getattr(r, name), dtype).reshape(r.h, r.w, c)
+            out[name] = [whole.tobytes()]
+        return pd.DataFrame(out)
+
+    wanted = blocks.select("source_id", "width", "height", "y", "x", "h", "w", *layers)
+    return wanted.groupBy("source_id").applyInPandas(
+        join, f"source_id {kind}, width int, height int, prob binary, mask binary, overlay binary"
+    )
+
+
 def render(pixels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Add mask, overlay (o_r, o_g, o_b) and prob_u8 to long pixels with prob, r, g, b."""
     masked = pixels.withColumn("mask", threshold_mask(F.col("prob"), threshold))
@@ -192,5 +258,5 @@ def render(pixels: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 __all__ = [
     "score_tiles", "resize_scores", "unpack_scores", "clip_valid", "stitch", "stitch_packed", "unpack_blocks",
-    "render", "sigmoid",
+    "render", "cut_blocks", "render_blocks", "assemble", "sigmoid",
 ]

@@ -180,18 +180,20 @@ def cut_tiles(
     """Packed tiles with image (RGB bytes) and binarized mask (0/1 bytes); one decode per image.
 
     ``min_fg`` filters while cutting, so empty tiles never get a payload and nothing shuffles.
-    With a ``manifest`` (source_id, y0, x0) only its tiles are cut: the origins travel to the
+    Images without a mask column give all-zero masks. With a ``manifest`` (source_id, y0, x0) only its tiles are cut: the origins travel to the
     image as one array, never the image to its tiles. Such an array has at most one entry per
     tile of one image, far less than the image row it joins.
     """
     check_geometry(patch_size, stride)
-    channels, listed = 3, manifest is not None
+    channels, listed, masked = 3, manifest is not None, "mask" in images.columns
 
     def cut(frames):
         for pdf in frames:
             for r in pdf.itertuples(index=False):
                 image = np.frombuffer(r.image, np.uint8).reshape(r.height, r.width, channels)
-                hits = np.frombuffer(r.mask, np.uint8).reshape(r.height, r.width) > mask_threshold
+                hits = np.zeros(image.shape[:2], bool)
+                if masked:
+                    hits = np.frombuffer(r.mask, np.uint8).reshape(r.height, r.width) > mask_threshold
                 if not listed:
                     ys, xs = _axis(r.height, patch_size, stride), _axis(r.width, patch_size, stride)
                     wanted = [(y, x) for y, row in zip(ys, _tile_sums(hits, ys, xs, patch_size) >= min_fg) for x in xs[row]]
@@ -206,7 +208,7 @@ def cut_tiles(
                         "mask": [_crop(hits, y, x, patch_size).astype(np.uint8).tobytes() for y, x in part],
                     })
 
-    source = images.select("source_id", "width", "height", "image", "mask")
+    source = images.select("source_id", "width", "height", "image", *(["mask"] if masked else []))
     if listed:
         origins = manifest.groupBy("source_id").agg(F.collect_set(F.struct("y0", "x0")).alias("origins"))
         source = source.join(origins, "source_id")

@@ -138,22 +138,27 @@ def _taps_sql(v, n):
     return f"CAST(floor({at}) AS INTEGER)", f"CAST(least({n - 1}, floor({at})+1) AS INTEGER)", f"({at}-floor({at}))"
 
 
-def _resize_sql():
-    """Four weighted corners per output pixel; all weights are multiples of 1/16, so sums are exact."""
+def upscaled_sql(base, values, cells):
+    """CTEs ending in i: ``values`` over the four weighted corners of every pixel of doubled tiles.
+
+    All weights are multiples of 1/16, so sums of whole or single-precision numbers are exact.
+    """
     (ya, yb, wy), (xa, xb, wx) = _taps_sql("a.i", P), _taps_sql("b.i", P)
     corners = " UNION ALL ".join(
         f"SELECT source_id, y0, x0, dy, dx, {y} AS yy, {x} AS xx, {w} AS w FROM o"
         for y, x, w in (("ya", "xa", "(1-wy)*(1-wx)"), ("ya", "xb", "(1-wy)*wx"), ("yb", "xa", "wy*(1-wx)"), ("yb", "xb", "wy*wx"))
     )
-    bands = ", ".join(U8.format(f"sum(f.w*n.{v})") + f" AS {v}" for v in "rgb")
-    return f"""WITH {RGB}, wide AS (SELECT CAST(i AS INTEGER) AS i FROM range({2 * P}) r(i)),
+    return f"""WITH {base}, wide AS (SELECT CAST(i AS INTEGER) AS i FROM range({2 * P}) r(i)),
 o AS (SELECT source_id, y0, x0, a.i AS dy, b.i AS dx, {ya} AS ya, {yb} AS yb, {wy} AS wy, {xa} AS xa, {xb} AS xb, {wx} AS wx FROM grid, wide a, wide b),
 f AS ({corners}),
-i AS (SELECT f.source_id, f.y0, f.x0, f.dy, f.dx, {bands} FROM f JOIN c n ON n.source_id=f.source_id AND n.y0=f.y0 AND n.x0=f.x0 AND n.dy=f.yy AND n.dx=f.xx GROUP BY 1,2,3,4,5)
-SELECT i.*, n.t FROM i JOIN c n ON n.source_id=i.source_id AND n.y0=i.y0 AND n.x0=i.x0 AND n.dy=i.dy//2 AND n.dx=i.dx//2"""
+i AS (SELECT f.source_id, f.y0, f.x0, f.dy, f.dx, {values} FROM f JOIN {cells} n ON n.source_id=f.source_id AND n.y0=f.y0 AND n.x0=f.x0 AND n.dy=f.yy AND n.dx=f.xx GROUP BY 1,2,3,4,5)"""
+
+
+COLOURS = ", ".join(U8.format(f"sum(f.w*n.{v})") + f" AS {v}" for v in "rgb")
 
 
-@query("q_resize", _resize_sql())
+@query("q_resize", upscaled_sql(RGB, COLOURS, "c") + """
+SELECT i.*, n.t FROM i JOIN c n ON n.source_id=i.source_id AND n.y0=i.y0 AND n.x0=i.x0 AND n.dy=i.dy//2 AND n.dx=i.dx//2""")
 def q_resize(spark, d):
     return tiling.unpack_tiles(transforms.resize(packed_tiles(spark, d), 2 * P))
 
