@@ -144,8 +144,8 @@ def stitch_packed(scores: DataFrame, images: DataFrame, block: int = BLOCK, patc
         f"source_id {kind}, width int, height int, by int, bx int, y0 int, x0 int, fy int, fx int, fh int, fw int, piece binary",
     )
     if patch_size and stride and stride > patch_size:
-        lattice = images.withColumn("by", F.explode(F.expr(f"sequence(0, (height-1) div {block})")).cast("int"))
-        lattice = lattice.withColumn("bx", F.explode(F.expr(f"sequence(0, (width-1) div {block})")).cast("int"))
+        lattice = images.withColumn("by", F.explode(F.expr(f"sequence(0, cast((height-1) div {block} as int))")))
+        lattice = lattice.withColumn("bx", F.explode(F.expr(f"sequence(0, cast((width-1) div {block} as int))")))
         zero = F.lit(0)
         pieces = pieces.unionByName(lattice.select(
             "source_id", "width", "height", "by", "bx", zero.alias("y0"), zero.alias("x0"),
