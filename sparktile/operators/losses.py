@@ -150,7 +150,7 @@ def loss_sums_packed(tiles: DataFrame, sample: list[str], logits: str, mask: str
             out |= dict(zip(_names(i), (total(sp), total(sp * t), total(st), total(st * pred))))
         return pd.DataFrame(out)[names]
 
-    return tiles.select(*sample, sums(logits, mask).alias("s")).select(*sample, "s.*")
+    return tiles.select(*sample, sums(logits, mask).alias("_sums")).select(*sample, "_sums.*")
 
 
 def term_value(term: Term, skeletons: list[tuple]) -> Column:

@@ -130,8 +130,10 @@ def _axis(length: int, patch_size: int, stride: int) -> np.ndarray:
     return np.zeros(1, np.int64) if last <= 0 else np.unique(np.append(np.arange(0, last + 1, stride), last))
 
 
-def _tile_sums(hits: np.ndarray, ys: np.ndarray, xs: np.ndarray, patch_size: int) -> np.ndarray:
+def _tile_sums(hits: np.ndarray, ys: np.ndarray, xs: np.ndarray, patch_size: int, threshold: int = 0) -> np.ndarray:
     """Sums of all tiles from one summed-area table: linear in pixels, whatever the overlap."""
+    if threshold < 0:  # every byte is above it, and so are the zeros of the padding
+        return np.full((len(ys), len(xs)), patch_size * patch_size)
     h, w = hits.shape
     area = np.zeros((h + 1, w + 1), np.int64)
     area[1:, 1:] = hits.cumsum(0, dtype=np.int64).cumsum(1)
@@ -152,7 +154,7 @@ def foreground_count_packed(images: DataFrame, patch_size: int, stride: int, mas
             for r in pdf.itertuples(index=False):
                 ys, xs = _axis(r.height, patch_size, stride), _axis(r.width, patch_size, stride)
                 hits = np.frombuffer(r.mask, np.uint8).reshape(r.height, r.width) > mask_threshold
-                fg = _tile_sums(hits, ys, xs, patch_size)
+                fg = _tile_sums(hits, ys, xs, patch_size, mask_threshold)
                 yield pd.DataFrame({
                     "source_id": r.source_id, "width": r.width, "height": r.height,
                     "y0": np.repeat(ys, len(xs)), "x0": np.tile(xs, len(ys)), "fg": fg.ravel(),
@@ -163,10 +165,10 @@ def foreground_count_packed(images: DataFrame, patch_size: int, stride: int, mas
     return counted.withColumn("patch_size", F.lit(patch_size))
 
 
-def _crop(plane: np.ndarray, y0: int, x0: int, patch_size: int) -> np.ndarray:
+def _crop(plane: np.ndarray, y0: int, x0: int, patch_size: int, fill=0) -> np.ndarray:
     cut = plane[y0 : y0 + patch_size, x0 : x0 + patch_size]
     short = [(0, patch_size - n) for n in cut.shape[:2]] + [(0, 0)] * (cut.ndim - 2)
-    return np.pad(cut, short)
+    return np.pad(cut, short, constant_values=fill)
 
 
 def cut_tiles(
@@ -196,7 +198,7 @@ def cut_tiles(
                     hits = np.frombuffer(r.mask, np.uint8).reshape(r.height, r.width) > mask_threshold
                 if not listed:
                     ys, xs = _axis(r.height, patch_size, stride), _axis(r.width, patch_size, stride)
-                    wanted = [(y, x) for y, row in zip(ys, _tile_sums(hits, ys, xs, patch_size) >= min_fg) for x in xs[row]]
+                    wanted = [(y, x) for y, row in zip(ys, _tile_sums(hits, ys, xs, patch_size, mask_threshold) >= min_fg) for x in xs[row]]
                 else:
                     wanted = sorted((o["y0"], o["x0"]) for o in r.origins)
                 for at in range(0, len(wanted), ROWS_PER_FRAME):
@@ -205,7 +207,7 @@ def cut_tiles(
                         "source_id": r.source_id, "width": r.width, "height": r.height,
                         "y0": [y for y, _ in part], "x0": [x for _, x in part], "patch_size": patch_size,
                         "image": [_crop(image, y, x, patch_size).tobytes() for y, x in part],
-                        "mask": [_crop(hits, y, x, patch_size).astype(np.uint8).tobytes() for y, x in part],
+                        "mask": [_crop(hits, y, x, patch_size, mask_threshold < 0).astype(np.uint8).tobytes() for y, x in part],
                     })
 
     source = images.select("source_id", "width", "height", "image", *(["mask"] if masked else []))

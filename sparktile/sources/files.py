@@ -55,11 +55,19 @@ def read_images(spark: SparkSession, path: str, drop_invalid: bool = False) -> D
     )
 
 
+def readable(images: DataFrame, drop_invalid: bool = False) -> DataFrame:
+    """Leave out files that did not decode, or make the job fail with the name of one."""
+    if drop_invalid:
+        return images.where(F.col("width") > 0)
+    bad = F.raise_error(F.concat(F.lit("unreadable image "), "source_id")).cast("int")
+    return images.withColumn("width", F.when(F.col("width") > 0, F.col("width")).otherwise(bad))
+
+
 def _planes(data, h, w, channels):
     return np.frombuffer(data, np.uint8).reshape(h, w, channels)
 
 
-def decode_rgb(images: DataFrame) -> DataFrame:
+def decode_rgb(images: DataFrame, drop_invalid: bool = False) -> DataFrame:
     """Replace data by ``image``: HWC RGB bytes. Grey is repeated, alpha dropped."""
 
     @pandas_udf("binary")
@@ -71,11 +79,10 @@ def decode_rgb(images: DataFrame) -> DataFrame:
 
         return pd.Series([one(*v) for v in zip(data, h, w, c)])
 
-    valid = images.where(F.col("width") > 0)
-    return valid.withColumn("image", rgb("data", "height", "width", "channels")).drop("data", "channels")
+    return readable(images, drop_invalid).withColumn("image", rgb("data", "height", "width", "channels")).drop("data", "channels")
 
 
-def decode_gray(images: DataFrame) -> DataFrame:
+def decode_gray(images: DataFrame, drop_invalid: bool = False) -> DataFrame:
     """Replace data by ``mask``: HW bytes. Colours are reduced to luma."""
 
     @pandas_udf("binary")
@@ -89,8 +96,7 @@ def decode_gray(images: DataFrame) -> DataFrame:
 
         return pd.Series([one(*v) for v in zip(data, h, w, c)])
 
-    valid = images.where(F.col("width") > 0)
-    return valid.withColumn("mask", grey("data", "height", "width", "channels")).drop("data", "channels")
+    return readable(images, drop_invalid).withColumn("mask", grey("data", "height", "width", "channels")).drop("data", "channels")
 
 
 def image_records(pairs: DataFrame, images: DataFrame, drop_invalid: bool = False) -> DataFrame:
@@ -98,27 +104,21 @@ def image_records(pairs: DataFrame, images: DataFrame, drop_invalid: bool = Fals
 
     Unreadable images raise when the frame is evaluated, unless ``drop_invalid`` leaves them out.
     """
-    dims = images.select("source_id", "width", "height")
-    if drop_invalid:
-        dims = dims.where(F.col("width") > 0)
-    else:
-        bad = F.raise_error(F.concat(F.lit("unreadable image "), "source_id"))
-        dims = dims.withColumn("width", F.when(F.col("width") > 0, F.col("width")).otherwise(bad.cast("int")))
-    return pairs.join(dims, "source_id")
+    return readable(pairs.join(images.select("source_id", "width", "height"), "source_id"), drop_invalid)
 
 
-def load_pairs(spark: SparkSession, images_dir: str, masks_dir: str, exts=IMAGE_EXTENSIONS) -> DataFrame:
+def load_pairs(spark: SparkSession, images_dir: str, masks_dir: str, exts=IMAGE_EXTENSIONS, drop_invalid: bool = False) -> DataFrame:
     """Matched pairs with payload: source_id, stem, width, height, image, mask.
 
-    Mask and image must agree in size. Both payloads meet in one shuffle on the stem; write the
+    Mask and image must agree in size and be readable. Both payloads meet in one shuffle on the stem; write the
     result to Parquet once and let every later job start from there.
     """
     def newest(listing):
         return dedupe_stems(listing).select(file_name(F.col("path")).alias("source_id"))
 
     keep_i, keep_m = newest(list_images(spark, images_dir, exts)), newest(list_masks(spark, masks_dir))
-    images = decode_rgb(read_images(spark, images_dir).join(keep_i, "source_id", "left_semi"))
-    masks = decode_gray(read_images(spark, masks_dir).join(keep_m, "source_id", "left_semi"))
+    images = decode_rgb(read_images(spark, images_dir).join(keep_i, "source_id", "left_semi"), drop_invalid)
+    masks = decode_gray(read_images(spark, masks_dir).join(keep_m, "source_id", "left_semi"), drop_invalid)
     both = images.join(masks.select("stem", F.col("width").alias("mask_width"), F.col("height").alias("mask_height"), "mask"), "stem")
     same = (F.col("width") == F.col("mask_width")) & (F.col("height") == F.col("mask_height"))
     bad = F.raise_error(F.concat(F.lit("image and mask differ in size: "), "source_id"))
