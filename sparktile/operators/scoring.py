@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -118,15 +119,15 @@ def _fragments(frames, block):
         yield pd.DataFrame(out, columns=["source_id", "width", "height", "by", "bx", "y0", "x0", "fy", "fx", "fh", "fw", "piece"])
 
 
-def _average(pdf: pd.DataFrame, block: int) -> tuple[np.ndarray, int, int]:
+def _average(frag: dict, block: int) -> tuple[np.ndarray, int, int]:
     """Overlap average of the fragments of one block, summed in (y0, x0) order."""
-    first = pdf.iloc[0]
-    y, x = first.by * block, first.bx * block
-    h, w = min(block, first.height - y), min(block, first.width - x)
+    y, x = int(frag["by"][0]) * block, int(frag["bx"][0]) * block
+    h, w = min(block, int(frag["height"][0]) - y), min(block, int(frag["width"][0]) - x)
     total, count = np.zeros((h, w)), np.zeros((h, w))
-    for r in pdf.sort_values(["y0", "x0"]).itertuples(index=False):
-        at = np.s_[r.fy - y : r.fy - y + r.fh, r.fx - x : r.fx - x + r.fw]
-        total[at] += np.frombuffer(r.piece, np.float32).reshape(r.fh, r.fw)
+    for i in np.lexsort((frag["x0"], frag["y0"])):
+        fy, fx, fh, fw = (int(frag[c][i]) for c in ("fy", "fx", "fh", "fw"))
+        at = np.s_[fy - y : fy - y + fh, fx - x : fx - x + fw]
+        total[at] += np.frombuffer(frag["piece"][i], np.float32).reshape(fh, fw)
         count[at] += 1
     return total / np.maximum(count, 1), y, x
 
@@ -153,16 +154,15 @@ def stitch_packed(scores: DataFrame, images: DataFrame, block: int = BLOCK, patc
             F.lit(b"").alias("piece"),
         ))
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        mean, y, x = _average(pdf, block)
-        first = pdf.iloc[0]
-        return pd.DataFrame({
-            "source_id": [first.source_id], "width": [first.width], "height": [first.height],
-            "by": [first.by], "bx": [first.bx], "y": [y], "x": [x],
-            "h": [mean.shape[0]], "w": [mean.shape[1]], "prob": [mean.astype(np.float32).tobytes()],
-        })
+    def merge(group: pa.Table) -> pa.Table:
+        frag = {c: group.column(c).to_pylist() if c in ("source_id", "piece") else group.column(c).to_numpy() for c in group.column_names}
+        mean, y, x = _average(frag, block)
+        one = {c: [frag[c][0]] for c in ("source_id", "width", "height", "by", "bx")}
+        one |= {"y": [y], "x": [x], "h": [mean.shape[0]], "w": [mean.shape[1]], "prob": [mean.astype(np.float32).tobytes()]}
+        ints = [pa.field(c, pa.int32()) for c in ("width", "height", "by", "bx", "y", "x", "h", "w")]
+        return pa.table(one, pa.schema([pa.field("source_id", group.schema.field("source_id").type), *ints, pa.field("prob", pa.binary())]))
 
-    return pieces.groupBy(*BLOCK_KEY).applyInPandas(
+    return pieces.groupBy(*BLOCK_KEY).applyInArrow(
         merge, f"source_id {kind}, width int, height int, by int, bx int, y int, x int, h int, w int, prob binary"
     )
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..functions.pixels import luma
 from ..operators import models, scoring, splits, transforms
@@ -122,20 +124,20 @@ def q_segment_images(spark, d):
     """Inference from a folder of PNG files to masks and overlays."""
     blocks = jobs.segment_images(spark, _png_folder(spark, d, "image", "overlay"), make_step_model, jobs.Config(**CFG))
 
-    def bytes_of(column):
-        at = F.sequence(F.lit(0), F.length(column) - 1)
-        return F.transform(at, lambda i: F.conv(F.hex(F.substr(F.col(column), i + 1, F.lit(1))), 16, 10).cast("long"))
 
-    def total(values):
-        return F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v)
+    @pandas_udf("pixels long, fg long, total double, overlay long")
+    def sums(prob: pd.Series, mask: pd.Series, overlay: pd.Series) -> pd.DataFrame:
+        p = prob.map(lambda b: np.frombuffer(b, np.float32).astype(float))
+        return pd.DataFrame({
+            "pixels": p.map(len), "fg": mask.map(lambda b: int((np.frombuffer(b, np.uint8) == 255).sum())),
+            "total": p.map(np.sum), "overlay": overlay.map(lambda b: int(np.frombuffer(b, np.uint8).sum(dtype=np.int64))),
+        })
 
-    per = blocks.select(
-        _id(F.col("source_id")).alias("source_id"), (F.col("h") * F.col("w")).cast("long").alias("n"),
-        (total(bytes_of("mask")) / 255).cast("long").alias("fg"), total(bytes_of("overlay")).alias("overlay"), "by", "bx",
+    per = blocks.select(_id(F.col("source_id")).alias("source_id"), sums("prob", "mask", "overlay").alias("s")).select("source_id", "s.*")
+    return per.groupBy("source_id").agg(
+        F.sum("pixels").alias("pixels"), F.sum("fg").alias("fg"), F.round(F.sum("total") / F.sum("pixels"), 5).alias("mean_prob"),
+        F.sum("overlay").alias("overlay"),
     )
-    means = scoring.unpack_blocks(blocks).groupBy(_id(F.col("source_id")).alias("source_id")).agg(F.round(F.avg("prob"), 5).alias("mean_prob"))
-    sums = per.groupBy("source_id").agg(F.sum("n").alias("pixels"), F.sum("fg").alias("fg"), F.sum("overlay").alias("overlay"))
-    return sums.join(means, "source_id").select("source_id", "pixels", "fg", "mean_prob", "overlay")
 
 
 # --- model fitting --------------------------------------------------------------------------------
