@@ -13,12 +13,13 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import small_side
 from . import metrics, runs, stencil
 
 
 def neighbourhood(pixels: DataFrame, bands: list[str], sample: list[str], y: str = "y", x: str = "x") -> DataFrame:
     """Add <band>_max and <band>_min over each pixel's neighbours, as extra features."""
-    out = stencil.colocated(pixels, sample)
+    out = pixels  # whole images: windows on single lines, so that a huge image is not one task's work
     for b in bands:
         out = stencil.soft_dilate(out, b, sample, f"{b}_max", y, x, colocate=False)
         out = stencil.soft_erode(out, b, sample, f"{b}_min", y, x, colocate=False)
@@ -62,8 +63,7 @@ def fit_pixel_model(
 
     ``settings`` are keyword sets for ``default_estimator`` (one per epoch number). Returns the
     best model per fold and the metric log. Each fit is a distributed job; the loop covers
-    folds and settings only. The splits join on image ids, of which pixels have many: that
-    side is small, and AQE splits the partition of an image that holds most pixels.
+    folds and settings only.
     """
     runs.check_mode(mode)
     spark, sample = pixels.sparkSession, sample or ["source_id"]
@@ -72,7 +72,7 @@ def fit_pixel_model(
     best, rows = {}, []
     for fold in folds:
         roles = splits.where(F.col("fold") == fold).select("source_id", "role")
-        mine = pixels.join(roles, "source_id")
+        mine = pixels.join(small_side(roles), "source_id")
         train, val = mine.where("role = 'train'").drop("role"), mine.where("role = 'val'").drop("role")
         top = -math.inf if mode == "max" else math.inf
         for epoch, setting in enumerate(settings, 1):
@@ -105,7 +105,7 @@ def grouped_cv(pixels: DataFrame, folds: DataFrame, features: list[str], label:
         estimator=estimator, estimatorParamMaps=builder.build(), numFolds=n, foldCol="fold", parallelism=2,
         evaluator=BinaryClassificationEvaluator(labelCol=label),
     )
-    return search.fit(pixels.join(folds, "source_id"))
+    return search.fit(pixels.join(small_side(folds), "source_id"))
 
 
 def search_results(model) -> DataFrame:

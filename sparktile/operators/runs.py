@@ -72,11 +72,13 @@ def fold_results(log: DataFrame, metric: str, mode: str, fold_counts: DataFrame
     return out.join(fold_counts, "fold", "left") if fold_counts is not None else out
 
 
+def _stats(metrics: list[str]):
+    return [e for m in metrics for e in (F.avg(m).alias(f"mean_{m}"), F.stddev_pop(m).alias(f"std_{m}"))]
+
+
 def cv_stats(folds: DataFrame, metrics: list[str]) -> DataFrame:
     """Per run mean_/std_ of each metric over its folds: population deviation, nulls skipped, null if all are."""
-    return folds.groupBy("run").agg(*[
-        e for m in metrics for e in (F.avg(m).alias(f"mean_{m}"), F.stddev_pop(m).alias(f"std_{m}"))
-    ])
+    return folds.groupBy("run").agg(*_stats(metrics))
 
 
 def at_interval(log: DataFrame, n: int, enabled: bool = True) -> DataFrame:
@@ -137,6 +139,6 @@ def plateau_trace(
 
 def cv_summary(folds: DataFrame, metrics: list[str], num_images: int | None = None) -> DataFrame:
     """One row per run: means, deviations, image count and the array of fold rows (one struct per fold)."""
-    rows = folds.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("fold", *[c for c in folds.columns if c not in FOLD]))).alias("folds"))
-    out = cv_stats(folds, metrics).join(rows, "run")
+    row = F.struct("fold", *[c for c in folds.columns if c not in FOLD])
+    out = folds.groupBy("run").agg(*_stats(metrics), F.array_sort(F.collect_list(row)).alias("folds"))
     return out.withColumn("num_original_images", F.lit(num_images).cast("long"))

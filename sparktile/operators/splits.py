@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import small_side
 from ..functions.paths import stem
 from ..functions.ranking import ordered_index, shuffled_index
 
@@ -58,9 +59,6 @@ def manual_split(groups: DataFrame, val_ids) -> DataFrame:
         wanted = val_ids.select(F.col("val_id").cast("string")).distinct()
     else:
         wanted = spark.createDataFrame([(str(v),) for v in val_ids], "val_id string").distinct()
-    if wanted.isEmpty():
-        raise ValueError("a manual split needs at least one validation id")
-
     text = F.col("source_id").cast("string")
     # Of groups with one stem the last in input order is meant; an id equal to a stem yields to it.
     names = groups.select("source_id", "ord", F.explode(F.array(
@@ -69,25 +67,29 @@ def manual_split(groups: DataFrame, val_ids) -> DataFrame:
     )).alias("n")).select("source_id", "ord", "n.*")
     lookup = names.groupBy("val_id").agg(F.max_by("source_id", F.struct("by_stem", "ord", text)).alias("source_id"))
 
-    unknown = wanted.join(lookup, "val_id", "left_anti")
-    n_unknown = unknown.count()
-    if n_unknown:
-        shown = ", ".join(r.val_id for r in unknown.orderBy("val_id").limit(20).collect())
-        raise ValueError(f"{n_unknown} validation ids are not in the dataset: {shown}")
-
-    val = wanted.join(lookup, "val_id").select("source_id").distinct().withColumn("_val", F.lit(True))
-    marked = groups.join(val, "source_id", "left")
-    if marked.where(F.col("_val").isNull()).isEmpty():
+    resolved = wanted.join(lookup, "val_id", "left")
+    got = resolved.agg(
+        F.count("*").alias("wanted"), F.count_if(F.col("source_id").isNull()).alias("unknown"), F.count_distinct("source_id").alias("val")
+    ).first()
+    if not got.wanted:
+        raise ValueError("a manual split needs at least one validation id")
+    if got.unknown:
+        first = resolved.where(F.col("source_id").isNull()).orderBy("val_id").limit(20)
+        shown = ", ".join(r.val_id for r in first.collect())
+        raise ValueError(f"{got.unknown} validation ids are not in the dataset: {shown}")
+    if got.val == groups.count():
         raise ValueError("no training groups are left after the manual split")
-    return marked.select(
+
+    val = resolved.select("source_id").distinct().withColumn("_val", F.lit(True))
+    return groups.join(val, "source_id", "left").select(
         F.lit(0).alias("fold"), "source_id", F.when(F.col("_val"), "val").otherwise("train").alias("role")
     )
 
 
 def apply_split(records: DataFrame, splits: DataFrame) -> DataFrame:
-    """Each record once per fold with its role. Best applied to image rows, before tiling:
-    there every source_id is one row, while tiles of a huge image would be a hot join key."""
-    return records.join(splits, "source_id")
+    """Each record once per fold with its role. The splits are broadcast if counted small. Best
+    applied to image rows, before tiling: there no source_id is a hot join key."""
+    return records.join(small_side(splits), "source_id")
 
 
 def fold_summary(tiles: DataFrame, splits: DataFrame) -> DataFrame:

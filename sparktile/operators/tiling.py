@@ -178,13 +178,15 @@ def cut_tiles(
     mask_threshold: int = 127,
     min_fg: int = 0,
     manifest: DataFrame | None = None,
+    carry: tuple = (),
 ) -> DataFrame:
     """Packed tiles with image (RGB bytes) and binarized mask (0/1 bytes); one decode per image.
 
     ``min_fg`` filters while cutting, so empty tiles never get a payload and nothing shuffles.
     Images without a mask column give all-zero masks. With a ``manifest`` (source_id, y0, x0) only its tiles are cut: the origins travel to the
     image as one array, never the image to its tiles. Such an array has at most one entry per
-    tile of one image, far less than the image row it joins.
+    tile of one image, far less than the image row it joins. ``carry`` names further (small)
+    columns of the image to repeat on its tiles.
     """
     check_geometry(patch_size, stride)
     channels, listed, masked = 3, manifest is not None, "mask" in images.columns
@@ -208,15 +210,16 @@ def cut_tiles(
                         "y0": [y for y, _ in part], "x0": [x for _, x in part], "patch_size": patch_size,
                         "image": [_crop(image, y, x, patch_size).tobytes() for y, x in part],
                         "mask": [_crop(hits, y, x, patch_size, mask_threshold < 0).astype(np.uint8).tobytes() for y, x in part],
+                        **{c: [getattr(r, c)] * len(part) for c in carry},
                     })
 
-    source = images.select("source_id", "width", "height", "image", *(["mask"] if masked else []))
+    source = images.select("source_id", "width", "height", "image", *(["mask"] if masked else []), *carry)
     if listed:
         origins = manifest.groupBy("source_id").agg(F.collect_set(F.struct("y0", "x0")).alias("origins"))
         source = source.join(origins, "source_id")
     schema = (
         f"source_id {_id_type(images)}, width int, height int, y0 int, x0 int, patch_size int, image binary, mask binary"
-    )
+    ) + "".join(f", {c} {images.schema[c].dataType.simpleString()}" for c in carry)
     return source.mapInPandas(cut, schema)
 
 

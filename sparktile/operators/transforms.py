@@ -172,7 +172,9 @@ def _unpack(r):
     return np.frombuffer(r.image, np.uint8).reshape(side, side, 3), np.frombuffer(r.mask, np.uint8).reshape(side, side)
 
 
-def _run(tiles: DataFrame, steps, seed: int, epoch: int, finish, column: str) -> DataFrame:
+def _run(tiles: DataFrame, steps, seed: int, epoch: int, finish, column: str, carry=()) -> DataFrame:
+    keys = [*KEYS, *carry]
+
     def work(frames):
         for pdf in frames:
             sides, images, masks = [], [], []
@@ -184,13 +186,14 @@ def _run(tiles: DataFrame, steps, seed: int, epoch: int, finish, column: str) ->
                 sides.append(mask.shape[0])
                 images.append(finish(image))
                 masks.append(np.ascontiguousarray(mask).tobytes())
-            out = pdf[KEYS].copy()
+            out = pdf[keys].copy()
             out["side"], out[column.split()[0]], out["mask"] = sides, images, masks
             yield out
 
     kind = tiles.schema["source_id"].dataType.simpleString()
-    schema = f"source_id {kind}, width int, height int, y0 int, x0 int, patch_size int, side int, {column}, mask binary"
-    source = _stream_key(tiles, seed, epoch).select(*KEYS, "image", "mask", F.col("_stream").alias("stream"))
+    schema = f"source_id {kind}, width int, height int, y0 int, x0 int, patch_size int, "
+    schema += "".join(f"{c} {tiles.schema[c].dataType.simpleString()}, " for c in carry) + f"side int, {column}, mask binary"
+    source = _stream_key(tiles, seed, epoch).select(*keys, "image", "mask", F.col("_stream").alias("stream"))
     return source.mapInPandas(work, schema)
 
 
@@ -301,15 +304,15 @@ def _norm(cfg):
     return _tensor(n.get("mean", MEAN), n.get("std", STD))
 
 
-def augment_tiles(tiles: DataFrame, cfg: dict | None = None, seed: int = 42, epoch: int = 0, image_size: int | None = None) -> DataFrame:
+def augment_tiles(tiles: DataFrame, cfg: dict | None = None, seed: int = 42, epoch: int = 0, image_size: int | None = None, carry=()) -> DataFrame:
     """Training samples: ``tensor`` (CHW array<float>) and ``mask``; other draws for every epoch."""
-    return _run(tiles, train_steps(cfg, image_size), seed, epoch, _norm(cfg), "tensor array<float>")
+    return _run(tiles, train_steps(cfg, image_size), seed, epoch, _norm(cfg), "tensor array<float>", carry)
 
 
-def eval_transform(tiles: DataFrame, cfg: dict | None = None, image_size: int | None = None) -> DataFrame:
+def eval_transform(tiles: DataFrame, cfg: dict | None = None, image_size: int | None = None, carry=()) -> DataFrame:
     """Evaluation samples: optional resize, then normalised CHW ``tensor``."""
     steps = [partial(_resize, size=image_size)] if image_size is not None else []
-    return _run(tiles, steps, 0, 0, _norm(cfg), "tensor array<float>")
+    return _run(tiles, steps, 0, 0, _norm(cfg), "tensor array<float>", carry)
 
 
 def unit_tensor(tiles: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import stem
+from ..functions.joins import small_side
+from ..functions.paths import extension, stem
 from ..operators import annotations as ann
 from ..operators import patch_stats, scoring, splits, tiling, transforms
 from ..operators.pairing import IMAGE_EXTENSIONS, pair_diagnostics
@@ -63,16 +64,27 @@ def make_splits(records: DataFrame, cfg: Config) -> DataFrame:
 
 
 def prepare_samples(pairs: DataFrame, roles: DataFrame, cfg: Config, seed: int = 42, epoch: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(train, val) samples of all folds at once: tensor, mask, fold and tile key.
+    """(train, val) samples of all folds at once: tile key, tensor, mask and ``folds``, the array of
+    folds in which the sample plays that role.
 
-    Images are cut and filtered once, whatever the number of folds; roles are attached to tiles
-    by image id after cutting, and the fold is a column instead of a loop.
+    Roles meet the image rows, before cutting, and ride along as an array: no tile payload is
+    shuffled or repeated per fold, and an image with very many tiles is no hot join key. One
+    fold's training set is ``train.where(array_contains(folds, f))``.
     """
     least = cfg.min_fg if cfg.filter_empty else 0
-    tiles = tiling.cut_tiles(pairs, cfg.patch_size, cfg.step, cfg.mask_threshold, least)
-    train = transforms.augment_tiles(tiles, cfg.augmentations, seed, epoch, cfg.image_size)
-    val = transforms.eval_transform(tiles, cfg.augmentations, cfg.image_size)
-    return splits.apply_split(train, roles.where("role = 'train'")), splits.apply_split(val, roles.where("role = 'val'"))
+    per_image = roles.groupBy("source_id").agg(*[
+        F.array_sort(F.collect_set(F.when(F.col("role") == r, F.col("fold")))).alias(r) for r in ("train", "val")
+    ])
+    known = pairs.join(small_side(per_image), "source_id")
+
+    def tiles(role):
+        mine = known.where(F.size(role) > 0).withColumn("folds", F.col(role))
+        return tiling.cut_tiles(mine, cfg.patch_size, cfg.step, cfg.mask_threshold, least, carry=("folds",))
+
+    return (
+        transforms.augment_tiles(tiles("train"), cfg.augmentations, seed, epoch, cfg.image_size, ("folds",)),
+        transforms.eval_transform(tiles("val"), cfg.augmentations, cfg.image_size, ("folds",)),
+    )
 
 
 def segment(images: DataFrame, make_predict, cfg: Config) -> DataFrame:
@@ -87,9 +99,11 @@ def segment(images: DataFrame, make_predict, cfg: Config) -> DataFrame:
 
 def segment_images(spark: SparkSession, path: str, make_predict, cfg: Config) -> DataFrame:
     """Batch inference over an image file or a folder of images; see ``segment`` for the result."""
-    wanted = files.require_rows(files.list_images(spark, path, cfg.image_extensions), "input images").select("source_id")
-    images = files.decode_rgb(files.read_images(spark, path).join(wanted, "source_id", "left_semi"))
-    return segment(images, make_predict, cfg)
+    files.require_rows(files.list_images(spark, path, cfg.image_extensions), "input images")
+    images = files.read_images(spark, path)
+    if not files.is_file(spark, path):
+        images = images.where(extension(F.col("source_id")).isin([e.lower() for e in cfg.image_extensions]))
+    return segment(files.decode_rgb(images), make_predict, cfg)
 
 
 def write_segmentation(blocks: DataFrame, out: str, save_probabilities: bool = False) -> int:

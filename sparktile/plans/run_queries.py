@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import runs
+from ..session import scratch_path
+from ..sources import sinks
 from ..sources import tables as t
 from .catalog import query
 
@@ -115,6 +117,26 @@ def q_scalars(spark, d):
     return runs.long_scalars(t.metric_log(spark, d))
 
 
+@query("q_metrics_csv", LOG + " SELECT run, fold, epoch, train_loss, val_dice_per_patch, val_dice_per_image FROM metric_log")
+def q_metrics_csv(spark, d):
+    """The log through the CSV sink and back, empty fields included."""
+    path = scratch_path(spark, "csv")
+    sinks.write_metrics_csv(runs.epoch_rows(t.metric_log(spark, d)), path)
+    types = "run string, fold int, epoch int, train_loss double, val_dice_per_patch double, val_dice_per_image double"
+    return spark.read.schema(types).option("header", True).csv(path)
+
+
+@query("q_summary_json", FOLDS + f" SELECT run, {STATS}, fold, best_epoch FROM folds JOIN (SELECT run, {STATS} FROM folds GROUP BY run) USING (run)".replace(f"SELECT run, {STATS}, fold", "SELECT run, mean_val_dice_per_patch, std_val_dice_per_patch, mean_val_dice_per_image, std_val_dice_per_image, fold", 1))
+def q_summary_json(spark, d):
+    """The summary through the JSON sink and back, one row per entry of its fold array."""
+    path = scratch_path(spark, "json")
+    summary = _rounded(runs.cv_summary(_folds(spark, d), METRICS))
+    sinks.write_summary_json(summary, path)
+    back = spark.read.schema(summary.schema).json(path)
+    stats = [f"{s}_{m}" for m in METRICS for s in ("mean", "std")]
+    return back.select("run", *stats, F.inline("folds")).select("run", *stats, "fold", "best_epoch")
+
+
 @query("q_plateau", LOG.replace("WITH", "WITH RECURSIVE") + """,
 s AS (SELECT run, fold, epoch, train_loss AS v, row_number() OVER (PARTITION BY run, fold ORDER BY epoch) AS n FROM metric_log),
 r AS (SELECT run, fold, epoch, n, v AS best, 0 AS bad, 0.01::DOUBLE AS lr, 0.01::DOUBLE AS nxt, false AS reduced FROM s WHERE n=1

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.paths import file_name, stem
+from ..functions.joins import small_side
+from ..functions.paths import extension, file_name, stem
 from ..functions.pixels import LUMA_SHIFT, LUMA_WEIGHTS
 from ..operators.pairing import IMAGE_EXTENSIONS, dedupe_stems, select_images, with_names
 
@@ -20,6 +21,11 @@ def hadoop_path(spark: SparkSession, path: str):
     return fs, fs.makeQualified(p)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    fs, where = hadoop_path(spark, path)
+    return fs.exists(where) and fs.getFileStatus(where).isFile()
+
+
 def list_masks(spark: SparkSession, path: str) -> DataFrame:
     """Every file of a folder: path, length, modificationTime, source_id, stem. Contents are not read.
 
@@ -32,8 +38,7 @@ def list_masks(spark: SparkSession, path: str) -> DataFrame:
 def list_images(spark: SparkSession, path: str, exts=IMAGE_EXTENSIONS) -> DataFrame:
     """Files with an image extension; a path to one file stands for itself, whatever its extension."""
     files = list_masks(spark, path)
-    fs, where = hadoop_path(spark, path)
-    return files if fs.exists(where) and fs.getFileStatus(where).isFile() else select_images(files, exts)
+    return files if is_file(spark, path) else select_images(files, exts)
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:
@@ -113,13 +118,23 @@ def load_pairs(spark: SparkSession, images_dir: str, masks_dir: str, exts=IMAGE_
     Mask and image must agree in size and be readable. Both payloads meet in one shuffle on the stem; write the
     result to Parquet once and let every later job start from there.
     """
-    def newest(listing):
-        return dedupe_stems(listing).select(file_name(F.col("path")).alias("source_id"))
-
-    keep_i, keep_m = newest(list_images(spark, images_dir, exts)), newest(list_masks(spark, masks_dir))
-    images = decode_rgb(read_images(spark, images_dir).join(keep_i, "source_id", "left_semi"), drop_invalid)
-    masks = decode_gray(read_images(spark, masks_dir).join(keep_m, "source_id", "left_semi"), drop_invalid)
-    both = images.join(masks.select("stem", F.col("width").alias("mask_width"), F.col("height").alias("mask_height"), "mask"), "stem")
+    def older(listing):
+        """Files that a later one of the same stem replaces: few, so they are taken out by a broadcast."""
+        return small_side(listing.join(dedupe_stems(listing), ["stem", "path"], "left_anti").select("source_id"))
+
+    wanted = extension(F.col("source_id")).isin([e.lower() for e in exts])
+    image_files, mask_files = list_images(spark, images_dir, exts), list_masks(spark, masks_dir)
+    images = read_images(spark, images_dir).where(wanted).join(older(image_files), "source_id", "left_anti")
+    masks = read_images(spark, masks_dir).join(older(mask_files), "source_id", "left_anti")
+    # decoding comes after the join, so files without a partner are neither converted nor checked
+    swap = {"width": "mask_width", "height": "mask_height", "channels": "mask_channels", "data": "mask_data", "source_id": "mask_id"}
+    both = images.join(masks.withColumnsRenamed(swap), "stem")
+    both = decode_rgb(both, drop_invalid).withColumnsRenamed(
+        {"width": "image_width", "height": "image_height", "source_id": "image_id"}
+    ).withColumnsRenamed({v: k for k, v in swap.items()})
+    both = decode_gray(both, drop_invalid).withColumnsRenamed(
+        {"width": "mask_width", "height": "mask_height", "source_id": "mask_id"}
+    ).withColumnsRenamed({"image_width": "width", "image_height": "height", "image_id": "source_id"})
     same = (F.col("width") == F.col("mask_width")) & (F.col("height") == F.col("mask_height"))
     bad = F.raise_error(F.concat(F.lit("image and mask differ in size: "), "source_id"))
     return both.withColumn("width", F.when(same, F.col("width")).otherwise(bad.cast("int"))).select(

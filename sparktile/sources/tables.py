@@ -130,7 +130,7 @@ FILES_SQL = """
 all_images AS (
   SELECT 'img/doc_' || doc_id || list_extract(['.png','.JPG','.tif','.tiff','.bmp'], CAST(doc_id%5 AS INTEGER)+1) AS path
   FROM documents
-  UNION ALL SELECT 'img/doc_' || doc_id || '.png' FROM documents WHERE lang = 'en' AND doc_id%5 <> 0),
+  UNION ALL SELECT 'img/doc_' || doc_id || list_extract(['.png','.JPG','.tif','.tiff','.bmp'], CAST((doc_id+1)%5 AS INTEGER)+1) FROM documents WHERE lang = 'en'),
 image_files AS (
   SELECT path, split_part(path,'/',2) AS source_id, regexp_replace(split_part(path,'/',2),'\\.[^.]+$','') AS stem
   FROM all_images WHERE lower(regexp_extract(path,'\\.[^.]+$')) IN ('.png','.jpg','.jpeg','.tif','.tiff')),
@@ -145,8 +145,9 @@ mask_map AS (SELECT stem, max(path) AS mask_path FROM mask_files GROUP BY stem)"
 def image_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One image per document in five formats; English documents have a second file of the same stem."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    ext = F.element_at(F.array(*map(F.lit, [".png", ".JPG", ".tif", ".tiff", ".bmp"])), (F.col("doc_id") % 5 + 1).cast("int"))
-    twin = F.when((F.col("lang") == "en") & (F.col("doc_id") % 5 != 0), F.array(ext, F.lit(".png"))).otherwise(F.array(ext))
+    exts = F.array(*map(F.lit, [".png", ".JPG", ".tif", ".tiff", ".bmp"]))
+    first, second = (F.element_at(exts, ((F.col("doc_id") + k) % 5 + 1).cast("int")) for k in (0, 1))
+    twin = F.when(F.col("lang") == "en", F.array(first, second)).otherwise(F.array(first))
     return d.select("doc_id", F.explode(twin).alias("ext")).select(F.concat(F.lit("img/doc_"), "doc_id", "ext").alias("path"))
 
 

@@ -124,7 +124,22 @@ def test_samples_job_has_no_leakage(spark, folders):
     train, val = jobs.prepare_samples(pairs, jobs.make_splits(pairs, cfg), cfg)
     assert {r.source_id for r in train.select("source_id").distinct().collect()} == {"c+d%20.PNG"}
     assert {r.source_id for r in val.select("source_id").distinct().collect()} == {"a b.png"}
-    assert val.count() == 6
+    assert val.count() == 6 and all(r.folds == [0] for r in val.select("folds").collect())
+    folds = jobs.Config(patch_size=16, stride=12, min_fg=1, split_mode="kfold", n_splits=2)
+    train, val = jobs.prepare_samples(pairs, jobs.make_splits(pairs, folds), folds)
+    where = lambda df: {(r.source_id, f) for r in df.select("source_id", "folds").collect() for f in r.folds}
+    assert len(where(val)) == len(where(train)) == 2 and not where(val) & where(train)
+
+
+def test_last_of_equal_stems_is_paired(spark, folders):
+    i, m = folders
+    with open(f"{i}/a b.tif", "wb") as f:
+        f.write(png_bytes(image(5, 20, 31)))  # decoders go by content
+    with open(f"{m}/notes.md", "w") as f:
+        f.write("x")
+    rows = {r.stem: r for r in files.load_pairs(spark, i, m).collect()}
+    assert set(rows) == {"a b", "c+d%20"} and rows["a b"].source_id == "a b.tif"
+    assert bytes(rows["a b"].image) == image(5, 20, 31).tobytes()
 
 
 def test_png_kinds(spark, tmp_path):
