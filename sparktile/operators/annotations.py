@@ -119,17 +119,21 @@ def rle_spans(annotations: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def compose_mask(spans: DataFrame, keys=("image_id",)) -> DataFrame:
-    """Kept minus ignored (``ign``), as disjoint maximal spans; the order of annotations is irrelevant."""
-    one = F.lit(1).cast("long")
-    edges = spans.select(*keys, "y", "ign", F.inline(F.array(
-        F.struct(F.col("x_start").alias("x"), one.alias("d")),
-        F.struct((F.col("x_end") + 1).alias("x"), (-one).alias("d")),
+    """Kept minus ignored (``ign``), as disjoint maximal spans; the order of annotations is irrelevant.
+
+    One number counts both kinds of open spans: kept ones as 1, ignored ones as 2**32, so a
+    pixel belongs to the mask exactly where the running sum lies between 1 and 2**32 - 1.
+    """
+    ignored = 1 << 32
+    weight = F.when(F.col("ign"), F.lit(ignored)).otherwise(F.lit(1).cast("long"))
+    edges = spans.select(*keys, "y", F.inline(F.array(
+        F.struct(F.col("x_start").alias("x"), weight.alias("d")),
+        F.struct((F.col("x_end") + 1).alias("x"), (-weight).alias("d")),
     )))
-    summed = edges.groupBy(*keys, "y", "x").agg(
-        F.sum(F.when(~F.col("ign"), F.col("d")).otherwise(0)).alias("k"), F.sum(F.when(F.col("ign"), F.col("d")).otherwise(0)).alias("i")
-    )
+    summed = edges.groupBy(*keys, "y", "x").agg(F.sum("d").alias("d"))
     line = Window.partitionBy(*keys, "y").orderBy("x")
-    state = summed.select(*keys, "y", "x", ((F.sum("k").over(line) > 0) & (F.sum("i").over(line) == 0)).alias("on"))
+    sofar = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    state = summed.select(*keys, "y", "x", F.sum("d").over(sofar).between(1, ignored - 1).alias("on"))
     turns = state.withColumn("was", F.coalesce(F.lag("on").over(line), F.lit(False))).where(F.col("on") != F.col("was"))
     ends = turns.withColumn("x_end", F.lead("x").over(line) - 1)
     return ends.where("on").select(*keys, "y", F.col("x").alias("x_start"), "x_end")
