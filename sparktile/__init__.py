@@ -75,6 +75,8 @@ from .operators.tiling import (
     foreground_count_packed,
     tile_grid,
     tile_samples,
+    unpack_images,
+    unpack_tiles,
 )
 from .operators.transforms import (
     affine,

@@ -111,7 +111,10 @@ def build_tiles(
 
 
 def batches(tiles: DataFrame, batch_size: int, shuffle: bool, seed: int = 42, epoch: int = 0, key=TILE_KEY) -> DataFrame:
-    """Add idx and batch: a seeded order that changes with the epoch, or the row-major order."""
+    """Add idx and batch: a seeded order that changes with the epoch, or the row-major order.
+
+    Number manifests rather than payloads: the rows are ranked with all their columns.
+    """
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
     if shuffle:
@@ -245,3 +248,30 @@ def unpack_tiles(tiles: DataFrame) -> DataFrame:
 
     schema = f"source_id {_id_type(tiles)}, y0 int, x0 int, dy int, dx int, r int, g int, b int, t int"
     return tiles.select(*TILE_KEY, "image", "mask").mapInPandas(cells, schema)
+
+
+def unpack_images(images: DataFrame) -> DataFrame:
+    """Packed images to long pixels: source_id, width, height, y, x, then r, g, b and m as far as present."""
+    have = [c for c in ("image", "mask") if c in images.columns]
+
+    def pixels(frames):
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                band = max(1, 1_000_000 // r.width)  # rows of one frame
+                for top in range(0, r.height, band):
+                    n = min(band, r.height - top)
+                    part = slice(top * r.width, (top + n) * r.width)
+                    out = {
+                        "source_id": r.source_id, "width": r.width, "height": r.height,
+                        "y": np.repeat(np.arange(top, top + n), r.width), "x": np.tile(np.arange(r.width), n),
+                    }
+                    if "image" in have:
+                        rgb = np.frombuffer(r.image, np.uint8).reshape(-1, 3)[part]
+                        out |= {c: rgb[:, k] for k, c in enumerate("rgb")}
+                    if "mask" in have:
+                        out["m"] = np.frombuffer(r.mask, np.uint8)[part]
+                    yield pd.DataFrame(out)
+
+    bands = ", r int, g int, b int" * ("image" in have) + ", m int" * ("mask" in have)
+    schema = f"source_id {_id_type(images)}, width int, height int, y int, x int{bands}"
+    return images.select("source_id", "width", "height", *have).mapInPandas(pixels, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.pixels import luma
-from ..operators import models, scoring, splits, transforms
+from ..operators import models, scoring, splits, tiling, transforms
 from ..session import scratch_path
 from ..sources import files, sinks
 from ..sources import tables as t
@@ -68,19 +68,7 @@ def _id(name):
 def q_raster_roundtrip(spark, d):
     """PNG files written, read back through the image source, paired and unpacked."""
     pairs = files.load_pairs(spark, _png_folder(spark, d, "image", "overlay"), _png_folder(spark, d, "mask", "mask"))
-    whole = pairs.select(
-        _id(F.col("source_id")).alias("source_id"), "width", "height",
-        F.posexplode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("at", "_v"), F.hex("image").alias("i"), F.hex("mask").alias("k"),
-    )
-
-    def byte(raster, place):
-        return F.conv(F.substr(raster, place * 2 + 1, F.lit(2)), 16, 10).cast("int")
-
-    at, i = F.col("at"), F.col("i")
-    return whole.select(
-        "source_id", "width", "height", F.expr("cast(at div width as int)").alias("y"), F.expr("cast(at % width as int)").alias("x"),
-        byte(i, at * 3).alias("r"), byte(i, at * 3 + 1).alias("g"), byte(i, at * 3 + 2).alias("b"), byte(F.col("k"), at).alias("m"),
-    )
+    return tiling.unpack_images(pairs.withColumn("source_id", _id(F.col("source_id"))))
 
 
 @query("q_image_records", f"WITH {t.IMAGES_SQL} SELECT 'px '||source_id||'.png' AS source_id, 'px '||source_id AS stem, width, height FROM images")
@@ -94,9 +82,8 @@ def q_image_records(spark, d):
 def q_decode_gray(spark, d):
     """Colour files read as grey."""
     grey = files.decode_gray(files.read_images(spark, _png_folder(spark, d, "image", "overlay")))
-    tiles = grey.select(_id(F.col("source_id")).alias("source_id"), F.hex("mask").alias("k"), F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("at"))
-    value = F.conv(F.substr("k", F.col("at") * 2 + 1, F.lit(2)), 16, 10).cast("long")
-    return tiles.groupBy("source_id").agg(F.sum(value).alias("total"))
+    pixels = tiling.unpack_images(grey.withColumn("source_id", _id(F.col("source_id"))))
+    return pixels.groupBy("source_id").agg(F.sum("m").alias("total"))
 
 
 @query("q_luma", f"WITH {t.PX_SQL} SELECT source_id, y, x, CAST((19595*m + 38470*(255-m) + 7471*((m*7)%256) + 32768)//65536 AS INTEGER) AS l FROM px")

@@ -141,3 +141,28 @@ def test_batches(spark):
     assert one == again and sorted(one) == list(range(103)) and one not in (other, list(range(103)))
     with pytest.raises(ValueError):
         tiling.batches(tiles, 0, True)
+
+
+def test_unpack_images(spark):
+    images, rows = packed(spark)
+    got = {(r.source_id, r.y, r.x): (r.r, r.g, r.b, r.m) for r in tiling.unpack_images(images).collect()}
+    want = {}
+    for sid, w, h, image, mask in rows:
+        rgb, m = np.frombuffer(image, np.uint8).reshape(h, w, 3), np.frombuffer(mask, np.uint8).reshape(h, w)
+        want |= {(sid, y, x): (*map(int, rgb[y, x]), int(m[y, x])) for y in range(h) for x in range(w)}
+    assert got == want
+    assert tiling.unpack_images(images.drop("image")).columns == ["source_id", "width", "height", "y", "x", "m"]
+
+
+@pytest.mark.parametrize("keys", [["source_id"], ["part", "source_id"]])
+def test_ranks_are_exact_for_any_layout(spark, keys):
+    """A third of all rows shares one leading key."""
+    from sparktile.functions.ranking import ordered_index, shuffled_index
+
+    df = spark.range(5000).select(F.col("id").alias("source_id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 97).alias("part"))
+    want = [tuple(r[k] for k in keys) for r in df.orderBy(keys).collect()]
+    for n in (1, 11):
+        got = ordered_index(df.repartition(n), keys).orderBy("idx").collect()
+        assert [tuple(r[k] for k in keys) for r in got] == want and [r.idx for r in got] == list(range(5000))
+    mixed = shuffled_index(df, keys, 5).orderBy("idx").collect()
+    assert [r.idx for r in mixed] == list(range(5000)) and len({r.source_id for r in mixed}) == 5000
