@@ -151,9 +151,9 @@ def coco_to_masks(spark: SparkSession, root: str, out: str, ignore=ann.IGNORED)
     have = coco.image_files(spark, root)
     complete = images.select("batch").distinct()
     have = have.join(complete, "batch", "left_semi")
-    # of two entries with one stem in a batch the later image stays, as the later file would
+    # of two entries with one stem in a batch the later one in the document stays
     unique = images.withColumn("stem", stem(F.col("file_name"))).groupBy("batch", "stem").agg(
-        F.max_by(F.struct("image_id", "file_name", "width", "height"), "image_id").alias("i")
+        F.max_by(F.struct("image_id", "file_name", "width", "height"), "pos").alias("i")
     ).select("batch", "i.*")
 
     masks = export_masks(unique, annotations, categories, ignore)

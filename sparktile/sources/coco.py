@@ -41,7 +41,8 @@ def image_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_coco_exports(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(images, annotations, categories) of all complete exports, each with a ``batch`` column.
+    """(images, annotations, categories) of all complete exports, each with a ``batch`` column;
+    ``pos`` is the place in the document's list.
 
     A document is one JSON value and is parsed by one task; its arrays are then rows that spread
     over the cluster with the first shuffle.
@@ -50,7 +51,8 @@ def read_coco_exports(spark: SparkSession, root: str) -> tuple[DataFrame, DataFr
     docs = docs.withColumn("batch", _batch(_unescaped(F.col("_metadata.file_path")), DOCUMENT))
     docs = docs.join(image_files(spark, root).select("batch").distinct(), "batch", "left_semi")
 
-    images = docs.select("batch", F.inline("images")).withColumnRenamed("id", "image_id")
+    images = docs.select("batch", F.posexplode("images").alias("pos", "i")).select("batch", "pos", "i.*")
+    images = images.withColumnRenamed("id", "image_id")
     annotations = docs.select("batch", F.inline("annotations"))
     categories = docs.select("batch", F.posexplode("categories").alias("pos", "c")).select("batch", "c.*", "pos")
     return images, annotations, categories

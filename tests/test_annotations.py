@@ -144,7 +144,8 @@ def exports(tmp_path):
         {"image_id": 4, "segmentation": [square, [0, 0, 1, 1]]},
         {"image_id": 2, "category_id": 1, "segmentation": []},
     ]
-    make("batch_1", {"categories": cats, "images": [img(1, "a b.png"), img(2, "c+d.png"), img(3, "blank.png"), img(4, "gone.png")], "annotations": anns},
+    make("batch_1", {"categories": cats, "images": [img(1, "a b.png"), img(2, "c+d.png"), img(9, "blank.jpg"), img(3, "blank.png"), img(4, "gone.png")],
+                     "annotations": anns + [{"image_id": 9, "category_id": 1, "segmentation": [square]}]},
          ["a b.png", "c+d.png", "blank.png"])
     make("batch 2", {"images": [img(1, "blank.png")], "annotations": [{"image_id": 1, "category_id": 1, "segmentation": [square]}]}, ["blank.png"])
     make("no_images", {"images": [], "annotations": []}, None)
