@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.catalog import Query
-from ..session import ship_package
+from ..session import scratch_path, ship_package
+from .bit_packing import read_token_index, write_token_pages
 from .chat import format_conversations, parse_conversations, text_part
+from .mixing import mix_batches, word_count
 from .quality_rules import quality_rules
 
 QUERIES: dict[str, Query] = {}
@@ -134,3 +136,61 @@ def op5_chat_format(spark, sf_dir):
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+TOKENIZER, VOCAB_SIZE, END_ID = "byte_bpe_50k.json", 50_257, 2
+
+
+def tokenizer_file(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op3_token_pages")
+def op3_token_pages(spark, sf_dir):
+    path = scratch_path(spark, "token-pages")
+    write_token_pages(documents(spark, sf_dir), path, tokenizer_file(), VOCAB_SIZE, END_ID)
+    return read_token_index(spark, path).select(F.col("source_id").alias("doc_id"), "start", "n_tokens", "ids_crc32", "shard", "page")
+
+
+OP7_SQL = r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+    cast('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15) as bigint) as h
+  from documents
+), b as (
+  select source, sum(size)::bigint as source_size, 3.0::double * sum(size) as cap,
+    [5.0::double, 2.0::double, 1.0::double][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as weight
+  from d group by source
+), l as (
+  select *, cap / weight as ratio,
+    (sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
+      / sum(weight) over (order by cap / weight, source nulls last rows between current row and unbounded following) as level
+  from b
+), f as (select arg_min(level, ratio) as level, min(ratio) as ratio from l where level <= ratio),
+t as (
+  select l.source, source_size, case when f.ratio is null or l.ratio < f.ratio then cap else weight * f.level end as target
+  from l, f
+), w as (
+  select *, coalesce(floor(target / nullif(source_size, 0)), 0)::bigint as whole,
+    target - coalesce(floor(target / nullif(source_size, 0)), 0) * source_size as rest
+  from t
+), hs as (select source, h, sum(size) as s from d group by source, h),
+u as (select *, sum(s) over (partition by source order by h rows unbounded preceding) as upto from hs),
+e as (
+  select w.source, min({'h': h, 's': s, 'upto': upto, 'rest': rest}) as e
+  from u join w on u.source is not distinct from w.source where upto > rest group by w.source
+), x as (
+  select source, case when 2 * (e.rest - (e.upto - e.s)) >= e.s then e.h else e.h - 1 end as threshold from e
+)
+select doc_id, size, source_size, target, (size * (whole + case when threshold is null or h <= threshold then 1 else 0 end))::bigint as taken
+from d join w on d.source is not distinct from w.source left join x on x.source is not distinct from d.source
+"""
+
+
+@query("op7_mix_weights", OP7_SQL)
+def op7_mix_weights(spark, sf_dir):
+    records = documents(spark, sf_dir).select("source_id", "batch", word_count(F.col("text")).alias("size"))
+    mixed = mix_batches(records, (5, 2, 1))
+    return mixed.select(F.col("source_id").alias("doc_id"), "size", F.col("batch_size").alias("source_size"), "target", "taken")
