@@ -11,7 +11,9 @@ from ..plans.catalog import Query
 from ..session import scratch_path, ship_package
 from .bit_packing import read_token_index, write_token_pages
 from .chat import format_conversations, parse_conversations, text_part
+from .language_id import fit_language_model, identify_language
 from .mixing import mix_batches, word_count
+from .quality_ordinal import OrdinalModel, fit_quality, grade_quality
 from .quality_rules import quality_rules
 
 QUERIES: dict[str, Query] = {}
@@ -194,3 +196,25 @@ def op7_mix_weights(spark, sf_dir):
     records = documents(spark, sf_dir).select("source_id", "batch", word_count(F.col("text")).alias("size"))
     mixed = mix_batches(records, (5, 2, 1))
     return mixed.select(F.col("source_id").alias("doc_id"), "size", F.col("batch_size").alias("source_size"), "target", "taken")
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> OrdinalModel:
+    """Grades from labels: 0 low quality, 1 good but toxic, 2 good."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", (F.col("quality") * (2 - F.col("toxic"))).cast("int").alias("grade"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return fit_quality(docs.join(labels, "doc_id").select(F.col("doc_id").alias("source_id"), "text", "grade"))
+
+
+@query("op1_quality_ordinal")
+def op1_quality_ordinal(spark, sf_dir):
+    graded = grade_quality(documents(spark, sf_dir), quality_model(spark, sf_dir))
+    return graded.select(F.col("source_id").alias("doc_id"), "expected_grade", "tail_probability", "kept")
+
+
+@query("op10_language_id")
+def op10_language_id(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    held = held_out(F.col("doc_id"), 4, 2)
+    known = docs.where(~held).select(F.col("doc_id").alias("source_id"), "text", "lang")
+    found = identify_language(docs.select(F.col("doc_id").alias("source_id"), "text"), fit_language_model(known))
+    return found.select(F.col("source_id").alias("doc_id"), held_out(F.col("source_id"), 4, 2).alias("held_out"), "lang_pred", "score")
