@@ -15,6 +15,7 @@ from .language_id import fit_language_model, identify_language
 from .mixing import mix_batches, word_count
 from .quality_ordinal import OrdinalModel, fit_quality, grade_quality
 from .quality_rules import quality_rules
+from .toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -218,3 +219,14 @@ def op10_language_id(spark, sf_dir):
     known = docs.where(~held).select(F.col("doc_id").alias("source_id"), "text", "lang")
     found = identify_language(docs.select(F.col("doc_id").alias("source_id"), "text"), fit_language_model(known))
     return found.select(F.col("source_id").alias("doc_id"), held_out(F.col("source_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("source_id"), "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("source_id"), "toxic")
+    known = docs.where(~held_out(F.col("source_id"), 5, 0)).join(labels, "source_id")
+    scored = score_toxicity(docs, fit_toxicity(known))
+    return scored.select(
+        F.col("source_id").alias("doc_id"), held_out(F.col("source_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
