@@ -224,12 +224,14 @@ def fit_toxicity(records: DataFrame, rows_per_label: int = 6000, max_entries: in
         .where((F.col("weight") > 3) & (F.col("gain") > cut)).orderBy(F.desc("gain"), F.desc(F.length("form")), "form").limit(max_entries)
         .select("form", "weight").collect()
     )
-    words, stems = dict(seeds), {}
+    words, stems, begun = dict(seeds), {}, set()
     for form, weight in best:
         stem = form.rstrip("*")
-        if any(stem[:k] in stems for k in STEM_LENGTHS):
+        # a stronger entry that is a beginning of this one, or that this one is a beginning of, already speaks for it
+        if stem in begun or any(stem[:k] in stems for k in STEM_LENGTHS):
             continue
-        (stems if form.endswith("*") else words)[stem] = min(float(weight), 6.0)
+        (stems if form.endswith("*") else words)[stem] = float(weight)
+        begun.update(stem[:k] for k in range(1, len(stem) + 1))
     model = ToxicityModel(words, stems)
     shared = records.sparkSession.sparkContext.broadcast(model)
 
@@ -239,21 +241,24 @@ def fit_toxicity(records: DataFrame, rows_per_label: int = 6000, max_entries: in
             yield pd.DataFrame({"total": [matcher.total(t) for t in batch["text"]], "toxic": batch["toxic"]})
 
     points = sample.select("text", "toxic").mapInPandas(sums, "total double, toxic int").toPandas()
-    slope, offset = calibrate(np.log1p(np.maximum(points["total"].to_numpy(), 0.0)), points["toxic"].to_numpy(dtype=float))
+    labels = points["toxic"].to_numpy(dtype=float)
+    # the sample takes each label up to its bound: weights bring back the labels' shares among all labelled rows
+    rows = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
+    weight = np.where(labels > 0, rows[1] / max(1, (labels > 0).sum()), rows[0] / max(1, (labels == 0).sum()))
+    slope, offset = calibrate(np.log1p(np.maximum(points["total"].to_numpy(), 0.0)), labels, weight)
     return ToxicityModel(words, stems, slope, offset)
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Logistic slope (not negative) and offset by Newton steps, slightly penalised; each label weighs the same."""
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 50) -> tuple[float, float]:
+    """Logistic slope (not negative) and offset by Newton steps, slightly penalised, of weighted points."""
     order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))
+    x, y, weight = x[order], y[order], weight[order] / weight.sum()
     beta = np.array([1.0, -1.0])
     design = np.stack([x, np.ones_like(x)], axis=1)
     for _ in range(steps):
         p = 1.0 / (1.0 + np.exp(-np.clip(design @ beta, -30, 30)))
-        grad = design.T @ (weight * (p - y)) + 1e-3 * beta
-        hess = (design * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ design + 1e-3 * np.eye(2)
+        grad = design.T @ (weight * (p - y)) + 1e-5 * beta
+        hess = (design * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ design + 1e-5 * np.eye(2)
         beta = beta - np.clip(np.linalg.solve(hess, grad), -2, 2)
     return (float(beta[0]), float(beta[1])) if beta[0] > 0 else (2.0, -2.0)
 
