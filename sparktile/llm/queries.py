@@ -11,6 +11,7 @@ from ..plans.catalog import Query
 from ..session import scratch_path, ship_package
 from .bit_packing import read_token_index, write_token_pages
 from .chat import format_conversations, parse_conversations, text_part
+from .decontamination import find_contamination
 from .language_id import fit_language_model, identify_language
 from .mixing import mix_batches, word_count
 from .quality_ordinal import OrdinalModel, fit_quality, grade_quality
@@ -230,3 +231,41 @@ def op9_toxicity(spark, sf_dir):
     return scored.select(
         F.col("source_id").alias("doc_id"), held_out(F.col("source_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+OP6_SQL = r"""
+with w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws from documents
+), i as (
+  select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws from benchmark
+), win as (
+  select distinct item_id, least(10, len(ws)) as n, array_to_string(ws[s:s + 9], ' ') as win
+  from (select item_id, ws, unnest(generate_series(1, greatest(len(ws) - 9, 1))) as s from i where len(ws) > 0)
+), sizes as (select distinct n from win),
+dw as (
+  select doc_id, n, s, array_to_string(ws[s:s + n - 1], ' ') as win
+  from (select doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) as s from w, sizes where len(ws) >= n)
+), m as (select doc_id, dw.n, s, item_id from dw join win on win.win = dw.win and win.n = dw.n),
+h as (select doc_id, count(*) as n_hit from (select distinct doc_id, unnest(generate_series(s, s + n - 1)) from m) group by doc_id),
+it as (
+  select doc_id, count(*) as n_items, string_agg(x, ',' order by x) as ids from (select distinct doc_id, item_id::varchar as x from m) group by doc_id
+)
+select w.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from w left join h on h.doc_id = w.doc_id left join it on it.doc_id = w.doc_id
+"""
+
+
+def benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+
+
+@query("op6_decontaminate", OP6_SQL)
+def op6_decontaminate(spark, sf_dir):
+    found = find_contamination(documents(spark, sf_dir), benchmark_items(spark, sf_dir))
+    return found.select(
+        F.col("source_id").alias("doc_id"), "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated",
+    )
