@@ -13,6 +13,7 @@ from .bit_packing import read_token_index, write_token_pages
 from .chat import format_conversations, parse_conversations, text_part
 from .decontamination import find_contamination
 from .language_id import fit_language_model, identify_language
+from .minhash import near_duplicates
 from .mixing import mix_batches, word_count
 from .quality_ordinal import OrdinalModel, fit_quality, grade_quality
 from .quality_rules import quality_rules
@@ -269,3 +270,31 @@ def op6_decontaminate(spark, sf_dir):
         F.col("source_id").alias("doc_id"), "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated",
     )
+
+
+OP4_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws
+  from documents
+), s as (
+  select distinct doc_id, sh from (
+    select doc_id, array_to_string(ws[i:i+2], ' ') as sh from (select doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 2, 1))) as i from w where len(ws) > 0))
+), n as (select doc_id, count(*) as n from s group by doc_id),
+-- any link shares one of the first 15 % + 1 shingles in order of frequency
+f as (select sh, count(*) as c from s group by sh),
+r as (select s.doc_id, s.sh, row_number() over (partition by s.doc_id order by c, s.sh) as k from s join f on f.sh = s.sh),
+p as (select r.doc_id, sh from r join n on n.doc_id = r.doc_id where k <= floor(0.15 * n) + 1),
+c as (select distinct a.doc_id as a, b.doc_id as b from p a join p b on a.sh = b.sh and a.doc_id < b.doc_id),
+i as (select c.a, c.b, count(*) as i from c join s x on x.doc_id = c.a join s y on y.doc_id = c.b and y.sh = x.sh group by c.a, c.b),
+l as (select a, b from i join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * i >= 85 * (na.n + nb.n - i)),
+e as (select a, b from l union all select b, a from l),
+reach as (select doc_id as node, doc_id as root from documents union select e.b, reach.root from reach join e on e.a = reach.node)
+select d.doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(root) as component_id, d.doc_id = min(root) as kept
+from documents d join reach on reach.node = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id
+"""
+
+
+@query("op4_minhash", OP4_SQL)
+def op4_minhash(spark, sf_dir):
+    found = near_duplicates(documents(spark, sf_dir), shingle=3, percent=85)
+    return found.select(F.col("source_id").alias("doc_id"), "n_shingles", "component_id", "kept")
