@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 BLOCK = 1024
-KNOWN_PIECES = 500_000
-TEXTS_AT_ONCE = 128
+KNOWN_PIECES = 600_000
+KNOWN_LENGTH = 18  # longer pieces hardly come back
+TEXTS_AT_ONCE = 512
 
 
 def bits_for(vocab_size: int) -> int:
@@ -80,12 +81,13 @@ def unpack_ids(payload: bytes, bits: int, first: int, last: int, offsets: np.nda
 class PieceEncoder:
     """Encodes texts with a ``tokenizers`` file; remembers the ids of pieces it has seen.
 
-    With the byte-level regular expression, no pre-token crosses the place between a visible character and a space, so a
-    text's ids are those of its pieces cut at these places.  Other tokenizers encode whole texts.
+    With the byte-level regular expression, no pre-token crosses the place between a visible character and a space or line
+    end, or between a letter and a mark, so a text's ids are those of its pieces cut at these places.  Other tokenizers encode
+    whole texts.
     """
 
     _made: dict[str, "PieceEncoder"] = {}
-    _cut = re.compile(r"(?<=\S)(?= )")
+    _cut = re.compile(r"(?<=\S)(?=[ \n])|(?<=[^\W\d_])(?=[.,!])")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -121,7 +123,7 @@ class PieceEncoder:
             for i in gaps:
                 found[i] = learnt[flat[i]]
             if len(self.known) < KNOWN_PIECES:
-                self.known.update(learnt)
+                self.known.update((p, x) for p, x in learnt.items() if len(p) <= KNOWN_LENGTH)
         ends = list(accumulate(map(len, cut), initial=0))
         return [b"".join(found[a:b]) for a, b in zip(ends, ends[1:])]
 

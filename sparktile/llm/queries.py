@@ -17,6 +17,7 @@ from .minhash import near_duplicates
 from .mixing import mix_batches, word_count
 from .quality_ordinal import OrdinalModel, fit_quality, grade_quality
 from .quality_rules import quality_rules
+from .suffix_dedup import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Query] = {}
@@ -298,3 +299,10 @@ from documents d join reach on reach.node = d.doc_id left join n on n.doc_id = d
 def op4_minhash(spark, sf_dir):
     found = near_duplicates(documents(spark, sf_dir), shingle=3, percent=85)
     return found.select(F.col("source_id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark, sf_dir):
+    records = documents(spark, sf_dir).select("source_id", F.col("text").alias("payload"))
+    cut = remove_repeats(records, 50)
+    return cut.select(F.col("source_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
