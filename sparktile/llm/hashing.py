@@ -12,12 +12,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 CHARS_AT_ONCE = 1 << 20
 GAP = 2  # blanks after each slice, so that n-grams of up to three characters do not run into the next
 
 
-def sample_rows(rows: DataFrame, strata: str, most: int) -> DataFrame:
-    """About ``most`` rows of each value of ``strata`` (all, if it has fewer), chosen by a hash of source_id and text.
+def sample_rows(rows: DataFrame, strata: str, most: int, keys: tuple[str, ...] = ("source_id", "text")) -> DataFrame:
+    """About ``most`` rows of each value of ``strata`` (all, if it has fewer), chosen by a hash of ``keys``.
 
     A documented bound for fitting a model; the choice depends on the rows alone.  Counts per stratum are read by the driver:
     one row for each class.
@@ -28,10 +30,27 @@ def sample_rows(rows: DataFrame, strata: str, most: int) -> DataFrame:
     share = F.lit(0.0)
     for row in counts:
         share = F.when(F.col(strata) == row[0], F.lit(min(1.0, most / row[1]))).otherwise(share)
-    unit = F.pmod(F.xxhash64("source_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    unit = F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.where(unit < share)
 
 
+def labelled_sample(records: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """(source_id, text, label) for about ``most`` ids of each label value, written once for the passes of a fit.
+
+    The ids are drawn from the narrow ``labels`` (source_id, label) before any text is read: at most classes x ``most`` rows,
+    give or take chance, whatever the input; that bounded table is broadcast to the texts, so these are not shuffled.  Null ids
+    and null labels are not used; null text is empty.
+    """
+    spark = records.sparkSession
+    drawn_path, path = scratch_path(spark, "drawn-labels"), scratch_path(spark, "labelled-sample")
+    ids = labels.select("source_id", label).where(F.col("source_id").isNotNull() & F.col(label).isNotNull()).distinct()
+    sample_rows(ids, label, most, ("source_id",)).write.parquet(drawn_path)
+    drawn = F.broadcast(spark.read.parquet(drawn_path))
+    texts = records.select("source_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts.join(drawn, "source_id").write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def groups(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(code points, owner, start, skip) per group: slice k belongs to text owner[k] and starts at start[k].
 

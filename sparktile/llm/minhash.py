@@ -7,6 +7,7 @@ other (source_id, text) table, serve.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from .decontamination import sieve
 from .graph import connected_components
 
 COORDINATES = 48
-MATCHES = 28  # pairs of similarity 0.85 agree on fewer coordinates about once in a million; they would be lost
+SPREAD = 4.9  # standard deviations below the expected number of agreeing coordinates at which a pair is given up
 BYTES_AT_ONCE = 1 << 21
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -167,7 +168,7 @@ def full_sets(records: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
 
 def near_duplicates(
-    records: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES,
+    records: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int | None = None,
 ) -> DataFrame:
     """(source_id, text) to one row per record: ``n_shingles``, ``component_id``, ``n_links`` and ``kept``.
 
@@ -182,8 +183,9 @@ def near_duplicates(
     a component already joins are skipped; only members of one list in different components meet in a second merge, so no
     group is expanded into all its pairs.
 
-    Links between classes agreeing on fewer coordinates than ``matches`` are lost; at the default that is about one in a million
-    at similarity 0.85, fewer above.  Shingles are compared by 64-bit hashes.
+    Links between classes agreeing on fewer coordinates than ``matches`` are lost; the default lies 4.9 standard deviations below
+    the expected number at ``percent`` (28 of 48 at 85, 24 at 80), about one link in a million right at the threshold and fewer
+    above.  Shingles are compared by 64-bit hashes.
 
     Texts without words have no shingles and link with nothing: their component is their own id.  Fewer words than a shingle
     make one shingle of all.  Null ids: a class takes the smallest id that is not null; null if there is none, and such rows are
@@ -191,6 +193,9 @@ def near_duplicates(
     ``n_links`` counts the confirmed links of the record's class.
     """
     spark = records.sparkSession
+    if matches is None:
+        share = percent / 100
+        matches = max(1, int(coordinates * share - SPREAD * math.sqrt(coordinates * share * (1 - share))))
     keep = lambda frame, name: (frame.write.parquet(p := scratch_path(spark, name)), spark.read.parquet(p))[1]
     sketches = keep(sketch(records, shingle, coordinates), "sketches")
     classes = keep(

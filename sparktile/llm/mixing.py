@@ -101,6 +101,40 @@ def nested_thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("batch", F.col("prefix").alias("threshold"))
 
 
+def mixing_plan(records: DataFrame, weights: Sequence[float], share: float = 1.0, most: float = 3.0) -> DataFrame:
+    """(source_id, batch, size) to one row a batch: batch, batch_size, target, whole (copies for all), threshold (one more up to it).
+
+    Writes the narrow columns and the plan under ``spark.checkpoint.dir``.
+    """
+    spark = records.sparkSession
+    keep = lambda frame, name: (frame.write.parquet(p := scratch_path(spark, name)), spark.read.parquet(p))[1]
+    sized = keep(records.select("batch", counted(F.col("size")).alias("size"), unit_hash(F.col("source_id")).alias("hash")), "mixing-sizes")
+    sizes = sized.groupBy("batch").agg(F.sum("size").alias("batch_size"))
+    ratio = F.col("target") / F.when(F.col("batch_size") > 0, F.col("batch_size"))
+    targets = keep(
+        batch_targets(sizes, weights, share, most)
+        .withColumn("whole", F.coalesce(F.floor(ratio), F.lit(0)))
+        .withColumn("rest", F.col("target") - F.col("whole") * F.col("batch_size")),
+        "mixing-targets",
+    )
+    thresholds = nested_thresholds(sized, targets).select(F.col("batch").alias("tb"), "threshold")
+    return keep(
+        targets.join(thresholds, F.col("batch").eqNullSafe(F.col("tb"))).select("batch", "batch_size", "target", "whole", "threshold"), "mixing-plan"
+    )
+
+
+def counted(size: Column) -> Column:
+    return F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).cast("long")
+
+
+def with_copies(records: DataFrame, plan: DataFrame) -> DataFrame:
+    """``records`` (source_id, batch and any columns) with the plan's batch_size and target and the row's ``copies``."""
+    by_batch = plan.select(F.col("batch").alias("plan_batch"), "batch_size", "target", "whole", "threshold")
+    copies = (F.col("whole") + F.when(unit_hash(F.col("source_id")) <= F.col("threshold"), 1).otherwise(0)).cast("long")
+    joined = records.join(by_batch, F.col("batch").eqNullSafe(F.col("plan_batch")))
+    return joined.withColumn("copies", copies).drop("plan_batch", "whole", "threshold")
+
+
 def mix_batches(records: DataFrame, weights: Sequence[float], share: float = 1.0, most: float = 3.0) -> DataFrame:
     """(source_id, batch, size) to the same rows with ``batch_size``, ``target``, ``copies`` and ``taken`` = copies * size.
 
@@ -108,33 +142,13 @@ def mix_batches(records: DataFrame, weights: Sequence[float], share: float = 1.0
     goes to rows whose hash is at most the batch's threshold, found by nested histograms.  The choice depends on ids alone, so
     reruns and other partitionings agree, and rows that share an id share their copies.
 
-    The narrow columns are written once under ``spark.checkpoint.dir``; batches are joined to rows as a table of one row a
-    batch, which Spark broadcasts when its measured size allows and otherwise joins with skew handling.
+    The plan has one row a batch; Spark broadcasts it to the rows when its measured size allows and otherwise joins with skew
+    handling.
 
     Null batch is a batch of its own, last in order; null or negative size counts as 0; null ids share one hash.  Empty input
     gives no rows.  A row never gets more than ceil(``most``) copies.  Other columns are ignored.
     """
-    spark = records.sparkSession
-    path = scratch_path(spark, "mixing")
-    records.select(
-        "source_id", "batch", F.greatest(F.coalesce(F.col("size").cast("long"), F.lit(0)), F.lit(0)).cast("long").alias("size"), unit_hash(F.col("source_id")).alias("hash")
-    ).write.parquet(path)
-    sized = spark.read.parquet(path)
-    sizes = sized.groupBy("batch").agg(F.sum("size").alias("batch_size"))
-    ratio = F.col("target") / F.when(F.col("batch_size") > 0, F.col("batch_size"))
-    targets = (
-        batch_targets(sizes, weights, share, most)
-        .withColumn("whole", F.coalesce(F.floor(ratio), F.lit(0)))
-        .withColumn("rest", F.col("target") - F.col("whole") * F.col("batch_size"))
-    )
-    targets_path = scratch_path(spark, "mixing-targets")
-    targets.write.parquet(targets_path)
-    targets = spark.read.parquet(targets_path)
-    thresholds = nested_thresholds(sized, targets).select(F.col("batch").alias("tb"), "threshold")
-    plan = targets.join(thresholds, F.col("batch").eqNullSafe(F.col("tb"))).select(
-        F.col("batch").alias("pb"), "batch_size", "target", "whole", "threshold"
-    )
-    copies = (F.col("whole") + F.when(F.col("hash") <= F.col("threshold"), 1).otherwise(0)).cast("long")
-    return sized.join(plan, F.col("batch").eqNullSafe(F.col("pb"))).select(
-        "source_id", "batch", "size", "batch_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+    rows = records.select("source_id", "batch", counted(F.col("size")).alias("size"))
+    return with_copies(rows, mixing_plan(rows, weights, share, most)).select(
+        "source_id", "batch", "size", "batch_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )

@@ -14,9 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .hashing import groups, ngram_buckets, sample_rows
+from .hashing import groups, labelled_sample, ngram_buckets
 
 BITS = 13
 ORDERS = (2, 3)
@@ -72,15 +71,14 @@ def text_rows(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield i, used, counts[used] / max(1.0, counts.sum())
 
 
-def fit_quality(records: DataFrame, rows_per_grade: int = 1500, steps: int = 200, penalty: float = 1e-4) -> OrdinalModel:
-    """Action: fits on about ``rows_per_grade`` rows of each grade of (source_id, text, grade), chosen by a hash.
+def fit_quality(records: DataFrame, ratings: DataFrame, rows_per_grade: int = 1500, steps: int = 200, penalty: float = 1e-4) -> OrdinalModel:
+    """Action: fits on about ``rows_per_grade`` rows of each grade of (source_id, grade), chosen by a hash.
 
     Features are computed on Spark; the driver gets at most grades x rows_per_grade sparse rows of at most 2**13 + 6 values and
     runs ``steps`` of a full-batch adaptive gradient on the cumulative logit likelihood.  Each grade weighs the same.  Null
     text counts as empty, null grades are not used; without two grades the model is neutral.
     """
-    usable = records.select("source_id", F.coalesce("text", F.lit("")).alias("text"), "grade").where(F.col("grade").isNotNull())
-    sample = sample_rows(usable, "grade", rows_per_grade)
+    sample = labelled_sample(records, ratings.select("source_id", F.col("grade").cast("int").alias("grade")), "grade", rows_per_grade)
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -171,25 +169,23 @@ def grade_quality(records: DataFrame, model: OrdinalModel, keep_grade: int = 1,
     Null text scores as empty text.  A neutral model (fewer than two grades seen) keeps everything, with expected grade
     null and tail probability 1.  Null ids and repeated rows are scored like others; other columns are ignored.
     """
+    graded = records.select("source_id", grade_column(records, model, keep_grade, keep_probability)(F.col("text")).alias("g"))
+    return graded.select("source_id", "g.expected_grade", "g.tail_probability", "g.kept")
+
+
+def grade_column(records: DataFrame, model: OrdinalModel, keep_grade: int = 1, keep_probability: float = 0.5):
+    """Vectorised function of a text column giving struct(expected_grade, tail_probability, kept), to filter rows in place."""
     shared = records.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([
-        T.StructField("source_id", records.schema["source_id"].dataType), T.StructField("expected_grade", T.DoubleType()),
-        T.StructField("tail_probability", T.DoubleType()), T.StructField("kept", T.BooleanType()),
-    ])
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        for batch in batches:
-            n = len(batch)
-            if len(model.grades) < 2:
-                yield pd.DataFrame({"source_id": batch["source_id"], "expected_grade": [None] * n, "tail_probability": 1.0, "kept": True})
-                continue
-            above = score_texts(model, [t if isinstance(t, str) else "" for t in batch["text"]])
-            steps = np.diff(np.array(model.grades, dtype=float))
-            k = int(np.searchsorted(model.grades, keep_grade))
-            tail = np.ones(n) if k == 0 else np.zeros(n) if k > above.shape[1] else above[:, k - 1]
-            yield pd.DataFrame({
-                "source_id": batch["source_id"], "expected_grade": model.grades[0] + above @ steps, "tail_probability": tail, "kept": tail >= keep_probability,
-            })
-
-    return records.select("source_id", "text").mapInPandas(score, schema)
+    @F.pandas_udf("expected_grade double, tail_probability double, kept boolean")
+    def grade(texts: pd.Series) -> pd.DataFrame:
+        model, n = shared.value, len(texts)
+        if len(model.grades) < 2:
+            return pd.DataFrame({"expected_grade": pd.Series([None] * n, dtype=float), "tail_probability": [1.0] * n, "kept": [True] * n})
+        above = score_texts(model, [t if isinstance(t, str) else "" for t in texts])
+        steps = np.diff(np.array(model.grades, dtype=float))
+        k = int(np.searchsorted(model.grades, keep_grade))
+        tail = np.ones(n) if k == 0 else np.zeros(n) if k > above.shape[1] else above[:, k - 1]
+        return pd.DataFrame({"expected_grade": model.grades[0] + above @ steps, "tail_probability": tail, "kept": tail >= keep_probability})
+
+    return grade

@@ -204,9 +204,9 @@ def op7_mix_weights(spark, sf_dir):
 
 def quality_model(spark: SparkSession, sf_dir: str) -> OrdinalModel:
     """Grades from labels: 0 low quality, 1 good but toxic, 2 good."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", (F.col("quality") * (2 - F.col("toxic"))).cast("int").alias("grade"))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return fit_quality(docs.join(labels, "doc_id").select(F.col("doc_id").alias("source_id"), "text", "grade"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    ratings = labels.select(F.col("doc_id").alias("source_id"), (F.col("quality") * (2 - F.coalesce("toxic", F.lit(0)))).cast("int").alias("grade"))
+    return fit_quality(documents(spark, sf_dir), ratings)
 
 
 @query("op1_quality_ordinal")
@@ -228,8 +228,7 @@ def op10_language_id(spark, sf_dir):
 def op9_toxicity(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("source_id"), "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("source_id"), "toxic")
-    known = docs.where(~held_out(F.col("source_id"), 5, 0)).join(labels, "source_id")
-    scored = score_toxicity(docs, fit_toxicity(known))
+    scored = score_toxicity(docs, fit_toxicity(docs, labels.where(~held_out(F.col("source_id"), 5, 0))))
     return scored.select(
         F.col("source_id").alias("doc_id"), held_out(F.col("source_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hashing import sample_rows
+from .hashing import labelled_sample
 
 # Seed words of the grammar's classes in English, German, French and Spanish.
 INSULTS = (
@@ -173,16 +173,16 @@ def copy_key(text: str) -> int:
     return min((zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 2))), default=0)
 
 
-def fit_toxicity(records: DataFrame, rows_per_label: int = 6000, max_entries: int = 20_000) -> ToxicityModel:
-    """Action: learns lexicon weights from (source_id, text, toxic), on about ``rows_per_label`` rows of each label.
+def fit_toxicity(records: DataFrame, labels: DataFrame, rows_per_label: int = 6000, max_entries: int = 20_000) -> ToxicityModel:
+    """Action: learns lexicon weights from (source_id, text) and (source_id, toxic), on about ``rows_per_label`` of each label.
 
     Counts of words and word beginnings by label are summed on Spark over one text of each group of copies; entries that
     are significantly tied to the label become insults of the lexicon, the strongest ``max_entries`` at most (the bound of
     the broadcast).  The calibration is fitted on the sample's clause sums.  Null labels are not used, null text is empty.
     Without labels the seed words and a fixed calibration remain.
     """
-    usable = records.select("source_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1))
-    sample = sample_rows(usable, "toxic", rows_per_label)
+    usable = labels.select("source_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1))
+    sample = labelled_sample(records, usable, "toxic", rows_per_label)
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -241,11 +241,11 @@ def fit_toxicity(records: DataFrame, rows_per_label: int = 6000, max_entries: in
             yield pd.DataFrame({"total": [matcher.total(t) for t in batch["text"]], "toxic": batch["toxic"]})
 
     points = sample.select("text", "toxic").mapInPandas(sums, "total double, toxic int").toPandas()
-    labels = points["toxic"].to_numpy(dtype=float)
+    marks = points["toxic"].to_numpy(dtype=float)
     # the sample takes each label up to its bound: weights bring back the labels' shares among all labelled rows
     rows = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
-    weight = np.where(labels > 0, rows[1] / max(1, (labels > 0).sum()), rows[0] / max(1, (labels == 0).sum()))
-    slope, offset = calibrate(np.log1p(np.maximum(points["total"].to_numpy(), 0.0)), labels, weight)
+    weight = np.where(marks > 0, rows[1] / max(1, (marks > 0).sum()), rows[0] / max(1, (marks == 0).sum()))
+    slope, offset = calibrate(np.log1p(np.maximum(points["total"].to_numpy(), 0.0)), marks, weight)
     return ToxicityModel(words, stems, slope, offset)
 
 
