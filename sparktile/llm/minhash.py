@@ -133,7 +133,7 @@ def sketch(records: DataFrame, shingle: int, coordinates: int) -> DataFrame:
                 yield pd.DataFrame({
                     "source_id": batch["source_id"].iloc[at : at + len(sets)].reset_index(drop=True), "n_shingles": [s.size for s in sets],
                     "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if s.size else None for s in sets],
-                    "signature": [next(rows) if s.size else None for s in sets],
+                    "signature": pd.Series([next(rows) if s.size else None for s in sets], dtype=object),
                 })
                 at += len(sets)
 
@@ -161,7 +161,8 @@ def full_sets(records: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                         take.append(i)
                         if len(seen) < 100_000:  # copies within a task need to be sent once only
                             seen.add(k)
-                yield pd.DataFrame({"set_key": [keys[i] for i in take], "shingles": [sets[i].view(np.int64) for i in take]})
+                if take:
+                    yield pd.DataFrame({"set_key": [keys[i] for i in take], "shingles": [sets[i].view(np.int64) for i in take]})
 
     sets = records.select("text").mapInPandas(make, "set_key binary, shingles array<bigint>")
     return wanted.join(sets, "set_key").groupBy("class_no").agg(F.first("shingles").alias("shingles"))
