@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
-HEX_DIGITS = 3  # 16**3 = 4096 hash buckets, also the row bound of the broadcast offsets
+HEX_DIGITS = 3  # default: 16**3 = 4096 hash buckets
 
 
 def _offsets(counts: DataFrame) -> DataFrame:
@@ -20,18 +20,19 @@ def _offsets(counts: DataFrame) -> DataFrame:
     return counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
 
 
-def shuffled_index(df: DataFrame, keys: list[str], seed: int | str, name: str = "idx") -> DataFrame:
+def shuffled_index(df: DataFrame, keys: list[str], seed: int | str, name: str = "idx", digits: int = HEX_DIGITS) -> DataFrame:
     """0-based position of each row in the order of md5(seed:keys); ``keys`` must be unique.
 
-    The order depends on seed and keys alone, so retries and repartitioning do not change it.
+    The order depends on seed and keys alone, so retries and repartitioning do not change it. ``digits`` sets the number
+    of buckets, 16**digits: one task sorts rows / 16**digits rows, and the offsets have 16**digits rows (5 for 10**11 rows).
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
-    keyed = df.withColumn("_digest", digest).withColumn("_bucket", F.substring("_digest", 1, HEX_DIGITS))
+    keyed = df.withColumn("_digest", digest).withColumn("_bucket", F.substring("_digest", 1, digits))
     offsets = _offsets(keyed.groupBy("_bucket").agg(F.count("*").alias("_n")))
     inside = Window.partitionBy("_bucket").orderBy("_digest", *keys)
     return (
         keyed.withColumn("_rn", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "_bucket")
+        .join(offsets, "_bucket")
         .withColumn(name, F.col("_base") + F.col("_rn") - 1)
         .drop("_digest", "_bucket", "_rn", "_base")
     )

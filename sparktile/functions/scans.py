@@ -21,5 +21,10 @@ def best_before(df: DataFrame, group: list[str], order: str, value: str, mode: s
     carried = totals.select(*group, "_block", agg("_v").over(earlier).alias("_carry"))
     inside = Window.partitionBy(*group, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = cut.withColumn("_local", agg(value).over(inside))
-    # greatest and least skip nulls, so a missing side leaves the other
-    return local.join(carried, [*group, "_block"]).withColumn(out, both("_local", "_carry")).drop("_block", "_local", "_carry")
+    # null keys are groups like others; greatest and least skip nulls, so a missing side leaves the other
+    keys = [*group, "_block"]
+    side = carried.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_carry")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return local.join(side, same, "left").withColumn(out, both("_local", "_carry")).drop("_block", "_local", "_carry", *[f"_k{i}" for i in range(len(keys))])

@@ -14,9 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.joins import small_side
 from ..functions.paths import stem
-from .kernels import batch_row_spans, read_counts, ring_spans, row_spans
+from .kernels import read_counts, ring_spans, run_spans
 
 # Fixed value: category left out of masks unless others are named.
 IGNORED = ("inoculum",)
@@ -32,7 +31,7 @@ def annotation_classes(annotations: DataFrame, categories: DataFrame, ignore=IGN
     dropped = [c.lower() for c in (ignore or IGNORED)]
     batch = batch or []
     names = category_names(categories, (*batch, "id")).select(*batch, F.col("id").alias("category_id"), F.col("name").alias("category"))
-    named = annotations.join(small_side(names), [*batch, "category_id"], "left")
+    named = annotations.join(names, [*batch, "category_id"], "left")
     named = named.withColumn("category", F.coalesce("category", F.lit("")))
     return named.withColumn("ign", F.lower("category").isin(dropped))
 
@@ -43,28 +42,20 @@ def annotations_by_image(images: DataFrame, annotations: DataFrame, keys=("image
     return images.join(counts, list(keys), "left").withColumn("n_ann", F.coalesce("n_ann", F.lit(0).cast("long")))
 
 
-# A span as one long, so that arrays of spans cross Arrow as plain numbers: three 21-bit fields.
-FIELD = 21
-LIMIT = (1 << FIELD) - 1
-
-
-def _coded(y: str, x_start: str, x_end: str):
-    return F.shiftleft(F.col(y).cast("long"), 2 * FIELD) + F.shiftleft(F.col(x_start).cast("long"), FIELD) + F.col(x_end)
+def _per_owner(count: int, who, y, x_start, x_end) -> pd.Series:
+    """Spans of many owners to one flat array (y, x_start, x_end, y, ...) per owner."""
+    order = np.argsort(who, kind="stable")
+    flat = np.stack([y, x_start, x_end], axis=1)[order].astype(np.int32)
+    return pd.Series([part.ravel() for part in np.split(flat, np.bincount(who, minlength=count).cumsum()[:-1])], dtype=object)
 
 
-def _fields(code):
-    return (
-        F.shiftright(code, 2 * FIELD).cast("int").alias("y"),
-        F.shiftright(code, FIELD).bitwiseAND(LIMIT).cast("int").alias("x_start"),
-        code.bitwiseAND(LIMIT).cast("int").alias("x_end"),
+def _unfolded(df: DataFrame, keep: list[str], flat: str) -> DataFrame:
+    """One row per span of the flat array column."""
+    triples = F.transform(
+        F.expr(f"filter({flat}, (v, i) -> i % 3 = 0)"),
+        lambda y, k: F.struct(y.alias("y"), F.get(flat, 3 * k + 1).alias("x_start"), F.get(flat, 3 * k + 2).alias("x_end")),
     )
-
-
-def _per_row(count: int, who, y, x_start, x_end) -> pd.Series:
-    """Spans of many owners to one array of codes per owner."""
-    order = np.argsort(who, kind="stable")
-    codes = ((y << (2 * FIELD)) + (x_start << FIELD) + x_end)[order]
-    return pd.Series(np.split(codes, np.bincount(who, minlength=count).cumsum()[:-1]), dtype=object)
+    return df.select(*keep, F.inline(triples))
 
 
 def polygon_spans(annotations: DataFrame, keep: list[str]) -> DataFrame:
@@ -74,48 +65,32 @@ def polygon_spans(annotations: DataFrame, keep: list[str]) -> DataFrame:
     rings is filled at once, linear in its crossings; nothing is shuffled.
     """
 
-    @pandas_udf("array<long>")
+    @pandas_udf("array<int>")
     def fill(ring: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
-        return _per_row(len(ring), *ring_spans(list(ring), height, width))
+        return _per_owner(len(ring), *ring_spans(list(ring), height, width))
 
     rings = annotations.select(*keep, "width", "height", F.explode("polygons").alias("_ring"))
     rings = rings.where(F.size("_ring") >= 6)
-    coded = rings.select(*keep, F.explode(fill("_ring", "height", "width")).alias("_code"))
-    return coded.select(*keep, *_fields(F.col("_code")))
-
-
-PIXELS_AT_ONCE = 4_000_000  # foreground pixels a task expands together
+    return _unfolded(rings.select(*keep, fill("_ring", "height", "width").alias("_spans")), keep, "_spans")
 
 
 def rle_spans(annotations: DataFrame, keep: list[str]) -> DataFrame:
     """Spans of column-major run lengths: ``counts`` (array<long>) or ``counts_text`` (compressed).
 
-    ``width`` and ``height`` are those of the run-length raster, below 2**21. One Arrow pass turns
-    annotations into their row spans, so neither runs nor pixels are shuffled.
+    ``width`` and ``height`` are those of the run-length raster. One Arrow pass turns annotations into their row spans,
+    so neither runs nor pixels are shuffled; its work follows the runs and the row spans, not the pixels.
     """
 
-    @pandas_udf("array<long>")
+    @pandas_udf("array<int>")
     def spans(counts: pd.Series, text: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
         runs = [read_counts(s) if c is None else np.asarray(c, np.int64) for c, s in zip(counts, text)]
-        area = np.array([r[1::2].sum() for r in runs])
-        parts, at = [], 0
-        while at < len(runs):
-            size = max(1, int(np.searchsorted(area[at:].cumsum(), PIXELS_AT_ONCE, "right")))
-            part = runs[at : at + size], height[at : at + size], width[at : at + size]
-            if size == 1:
-                y, x_start, x_end = row_spans(part[0][0], int(part[1].iloc[0]), int(part[2].iloc[0]))
-                parts.append(_per_row(1, np.zeros(len(y), int), y, x_start, x_end))
-            else:
-                parts.append(_per_row(size, *batch_row_spans(*part)))
-            at += size
-        return pd.concat(parts, ignore_index=True) if parts else pd.Series([], dtype=object)
+        return _per_owner(len(runs), *run_spans(runs, height, width))
 
     have = annotations.columns
     counts = F.col("counts") if "counts" in have else F.lit(None).cast("array<long>")
     text = F.col("counts_text") if "counts_text" in have else F.lit(None).cast("string")
     runs = annotations.where(counts.isNotNull() | text.isNotNull())
-    coded = runs.select(*keep, F.explode(spans(counts, text, "height", "width")).alias("_code"))
-    return coded.select(*keep, *_fields(F.col("_code")))
+    return _unfolded(runs.select(*keep, spans(counts, text, "height", "width").alias("_spans")), keep, "_spans")
 
 
 def compose_mask(spans: DataFrame, keys=("image_id",)) -> DataFrame:
@@ -158,29 +133,32 @@ def paint_masks(images: DataFrame, spans: DataFrame, keys=("image_id",)) -> Data
     keys = list(keys)
 
     @pandas_udf("binary")
-    def paint(codes: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
-        def one(code, h, w):
+    def paint(flat: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+        def one(spans, h, w):
             edge = np.zeros((h, w + 1), np.int8)
-            if code is not None:
-                code = np.asarray(code, np.int64)
-                y = code >> (2 * FIELD)
-                np.add.at(edge, (y, (code >> FIELD) & LIMIT), 1)
-                np.add.at(edge, (y, (code & LIMIT) + 1), -1)
+            if spans is not None:
+                y, x_start, x_end = np.asarray(spans).reshape(-1, 3).T
+                np.add.at(edge, (y, x_start), 1)
+                np.add.at(edge, (y, x_end + 1), -1)
             return (np.cumsum(edge, 1, dtype=np.int8)[:, :w] * np.uint8(255)).astype(np.uint8).tobytes()
 
-        return pd.Series([one(*v) for v in zip(codes, height, width)])
+        return pd.Series([one(*v) for v in zip(flat, height, width)])
 
-    per_image = spans.groupBy(*keys).agg(F.collect_list(_coded("y", "x_start", "x_end")).alias("_codes"))
+    per_image = spans.groupBy(*keys).agg(F.flatten(F.collect_list(F.array("y", "x_start", "x_end"))).alias("_spans"))
     return images.join(per_image, keys, "left").select(
-        *keys, "width", "height", paint("_codes", "height", "width").alias("mask")
+        *keys, "width", "height", paint("_spans", "height", "width").alias("mask")
     )
 
 
-def prefix_names(df: DataFrame, batch_col: str, name_col: str, n: int = 5) -> DataFrame:
-    """Add out_name: the first n characters of the batch, an underscore, the name. Of colliding names the last batch stays."""
-    named = df.withColumn("out_name", F.concat(F.substring(batch_col, 1, n), F.lit("_"), F.col(name_col)))
-    last = named.groupBy("out_name").agg(F.max_by(F.struct(*named.columns), batch_col).alias("r"))
-    return last.select("r.*")
+def prefix_names(df: DataFrame, batch_col: str, name_col: str, n: int | None = None) -> DataFrame:
+    """Add out_name: the batch, an underscore, the name; and ``collided``, the rows that share this name and were dropped.
+
+    With ``n`` only the first n characters of the batch are used, so names may collide between batches; the last batch stays.
+    """
+    batch = F.col(batch_col) if n is None else F.substring(batch_col, 1, n)
+    named = df.withColumn("out_name", F.concat(batch, F.lit("_"), F.col(name_col)))
+    last = named.groupBy("out_name").agg(F.max_by(F.struct(*named.columns), batch_col).alias("r"), (F.count("*") - 1).alias("collided"))
+    return last.select("r.*", "collided")
 
 
 def restrict_to_images(masks: DataFrame, image_files: DataFrame, keys=("stem",), missing: bool = False) -> DataFrame:

@@ -219,48 +219,53 @@ def read_counts(text: str) -> np.ndarray:
     return value
 
 
-def row_spans(counts, height: int, width: int):
-    """Column-major runs (background first) to inclusive row spans: arrays y, x_start, x_end."""
-    counts = np.asarray(counts, np.int64)
-    grid = np.zeros(height * width, np.int8)
-    flags = np.repeat(np.arange(len(counts)) % 2, counts)[: height * width]
-    grid[: len(flags)] = flags
-    edge = np.diff(np.pad(grid.reshape(width, height).T, [(0, 0), (1, 1)]), axis=1)
-    y, x_start = np.nonzero(edge == 1)
-    return y, x_start, np.nonzero(edge == -1)[1] - 1
-
-
-def batch_row_spans(runs: list[np.ndarray], heights, widths):
-    """``row_spans`` of many small rasters at once: owner, y, x_start, x_end.
-
-    Foreground pixels get one number ordered by (owner, row, column); a span starts wherever
-    consecutive numbers do not follow each other or a row begins.
+def run_spans(runs: list[np.ndarray], heights, widths):
+    """Column-major runs (background first) of many rasters to inclusive row spans: owner, y, x_start, x_end.
+
+    A row span starts where a column's runs are not covered by those of the column before, and ends before the place where
+    the opposite holds. Both are differences of intervals, so the work follows runs and row spans, not pixels.
     """
-    length = np.concatenate(runs)
+    none = (np.zeros(0, np.int64),) * 4
+    length = np.concatenate(runs) if runs else np.zeros(0, np.int64)
+    if not length.size:
+        return none
     size = np.array([len(r) for r in runs])
     first = np.concatenate([[0], size.cumsum()[:-1]])
     owner = np.repeat(np.arange(len(runs)), size)
     end = length.cumsum()
     begin = end - length
-    begin = begin - begin[first][owner]
-    fg = (np.arange(len(length)) - first[owner]) % 2 == 1
-    length, begin, owner = length[fg], begin[fg], owner[fg]
+    begin = begin - np.repeat(begin[np.minimum(first, begin.size - 1)], size)
+    end = begin + length
     h, w = np.asarray(heights, np.int64), np.asarray(widths, np.int64)
-    base = np.concatenate([[0], (h * w).cumsum()[:-1]])
-    at = np.arange(length.sum()) - np.repeat(length.cumsum() - length, length)
-    who = np.repeat(owner, length)
-    p = np.repeat(begin, length) + at
-    inside = p < (h * w)[who]
-    who, p = who[inside], p[inside]
-    code = np.sort(base[who] + (p % h[who]) * w[who] + p // h[who])
-    who = np.searchsorted(base, code, "right") - 1
-    local = code - base[who]
-    y, x = local // w[who], local % w[who]
-    new = np.ones(len(code), bool)
-    new[1:] = (np.diff(code) != 1) | (np.diff(y) != 0) | (np.diff(who) != 0)
-    start = np.flatnonzero(new)
-    stop = np.append(start[1:], len(code)) - 1 if len(code) else start
-    return who[start], y[start], x[start], x[stop]
+    # each raster gets its own stretch of a line, with one empty column after the last
+    base = np.concatenate([[0], (h * (w + 1)).cumsum()])
+    fg = (np.arange(length.size) - first[owner]) % 2 == 1
+    owner, begin, end = owner[fg], begin[fg], np.minimum(end[fg], (h * w)[owner[fg]])
+    owner, begin, end = (v[begin < end] for v in (owner, begin, end))
+    if not owner.size:
+        return none
+    at, to, step = base[owner] + begin, base[owner] + end, h[owner]
+    places = np.concatenate([at, to, at + step, to + step])
+    kinds = np.concatenate([np.ones(at.size), -np.ones(at.size), np.zeros(2 * at.size)]).astype(np.int64)
+    moved = np.concatenate([np.zeros(2 * at.size), np.ones(at.size), -np.ones(at.size)]).astype(np.int64)
+    order = np.argsort(places, kind="stable")
+    places, here, before = places[order], kinds[order].cumsum(), moved[order].cumsum()
+
+    def positions(mask: np.ndarray) -> np.ndarray:
+        """All places of the stretches after the marked events."""
+        index = np.flatnonzero(mask[:-1] & (places[1:] > places[:-1]))
+        low, n = places[index], places[index + 1] - places[index]
+        return np.repeat(low - (n.cumsum() - n), n) + np.arange(n.sum())
+
+    def cells(line: np.ndarray):
+        who = np.searchsorted(base, line, "right") - 1
+        local = line - base[who]
+        return who, local % h[who], local // h[who]
+
+    who, y, x_start = cells(positions((here > 0) & (before <= 0)))
+    closer, y_end, x_stop = cells(positions((here <= 0) & (before > 0)))
+    opens, closes = np.lexsort((x_start, y, who)), np.lexsort((x_stop, y_end, closer))
+    return who[opens], y[opens], x_start[opens], x_stop[closes] - 1
 
 
 def ring_spans(rings: list[np.ndarray], heights, widths):

@@ -46,15 +46,16 @@ def running_best(log: DataFrame, metric: str, mode: str = "max") -> DataFrame:
 
 
 def best_epoch(log: DataFrame, metric: str, mode: str = "max") -> DataFrame:
-    """The whole best row per fold; ties go to the earliest epoch. An aggregate with partial results, no sort."""
+    """The whole best row per fold; ties go to the earliest epoch. An aggregate with partial results, no sort.
+
+    A fold whose metric is null throughout stays, with nulls.
+    """
     check_mode(mode)
     row = F.struct(*[c for c in log.columns if c not in FOLD])
-    rated = log.where(F.col(metric).isNotNull())
-    if mode == "max":
-        pick = F.max_by(row, F.struct(F.col(metric), -F.col("epoch")))
-    else:
-        pick = F.min_by(row, F.struct(F.col(metric), F.col("epoch")))
-    return rated.groupBy(*FOLD).agg(pick.alias("b")).select(*FOLD, "b.*")
+    rank = F.struct(F.col(metric), -F.col("epoch")) if mode == "max" else F.struct(F.col(metric), F.col("epoch"))
+    rank = F.when(F.col(metric).isNotNull(), rank)
+    pick = F.max_by(row, rank) if mode == "max" else F.min_by(row, rank)
+    return log.groupBy(*FOLD).agg(pick.alias("b")).select(*FOLD, "b.*")
 
 
 def latest_metric(log: DataFrame, *metrics: str) -> DataFrame:
@@ -65,11 +66,17 @@ def latest_metric(log: DataFrame, *metrics: str) -> DataFrame:
 
 
 def fold_results(log: DataFrame, metric: str, mode: str, fold_counts: DataFrame | None = None, latest: list[str] | None = None) -> DataFrame:
-    """Best row per fold; ``latest`` metrics are overridden by their last value, ``fold_counts`` (fold, ...) joined on."""
+    """Best row per fold; ``latest`` metrics are overridden by their last value, ``fold_counts`` joined on (run, fold), or on fold if it has
+    no run column."""
     latest = [m for m in (latest or ["val_dice_per_image", "val_iou_per_image"]) if m in log.columns]
     best = best_epoch(log, metric, mode).drop(*latest).withColumnRenamed("epoch", "best_epoch")
-    out = best.join(latest_metric(log, *latest), FOLD) if latest else best
-    return out.join(fold_counts, "fold", "left") if fold_counts is not None else out
+    out = best
+    if latest:
+        last = latest_metric(log, *latest).withColumnsRenamed({"run": "_run", "fold": "_fold"})
+        out = best.join(last, F.col("run").eqNullSafe(F.col("_run")) & F.col("fold").eqNullSafe(F.col("_fold"))).drop("_run", "_fold")
+    if fold_counts is None:
+        return out
+    return out.join(fold_counts, [k for k in FOLD if k in fold_counts.columns], "left")
 
 
 def _stats(metrics: list[str]):
@@ -102,7 +109,8 @@ def plateau_trace(
     An epoch improves when it beats the best accepted value by the relative ``threshold``. After
     more than ``patience`` epochs without improvement the rate is multiplied by ``factor``, not
     below ``min_lr``, and the count restarts; steps smaller than ``eps`` are not taken. Whether an
-    epoch improves depends on all accepted epochs before it, so a fold is read in order; rows
+    epoch improves depends on all accepted epochs before it, so a fold is read in order; epochs with
+    a null metric are not steps and give no row; rows
     stream through in sorted partitions and three numbers are kept per fold, nothing is gathered.
     """
     check_mode(mode)
@@ -137,8 +145,13 @@ def plateau_trace(
     return laid.mapInPandas(scan, "run string, fold int, epoch int, lr double, bad int, reduced boolean")
 
 
-def cv_summary(folds: DataFrame, metrics: list[str], num_images: int | None = None) -> DataFrame:
-    """One row per run: means, deviations, image count and the array of fold rows (one struct per fold)."""
+def cv_summary(folds: DataFrame, metrics: list[str], num_images: int | None = None, images: DataFrame | None = None) -> DataFrame:
+    """One row per run: means, deviations, image count and the array of fold rows (one struct per fold).
+
+    The image count is ``num_images``, or counted from ``images`` (one row an image).
+    """
     row = F.struct("fold", *[c for c in folds.columns if c not in FOLD])
     out = folds.groupBy("run").agg(*_stats(metrics), F.array_sort(F.collect_list(row)).alias("folds"))
-    return out.withColumn("num_original_images", F.lit(num_images).cast("long"))
+    if images is None:
+        return out.withColumn("num_original_images", F.lit(num_images).cast("long"))
+    return out.withColumn("num_original_images", images.agg(F.count("*")).scalar())

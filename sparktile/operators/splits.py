@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import small_side
 from ..functions.paths import stem
 from ..functions.ranking import ordered_index, shuffled_index
 
@@ -48,17 +47,15 @@ def kfold_splits(groups: DataFrame, n_splits: int, shuffle: bool = True, seed: i
     return expand_folds(assign_folds(groups, n_splits, shuffle, seed), n_splits)
 
 
-def manual_split(groups: DataFrame, val_ids) -> DataFrame:
-    """One fold whose val groups are named by id or by stem (a stem wins over an equal id).
+def resolve_ids(groups: DataFrame, val_ids) -> DataFrame:
+    """val_id, source_id for every distinct id asked for; source_id is null where no group has that name or stem.
 
-    ``val_ids`` is a Python list or a frame with a ``val_id`` column. Raises for an empty
-    list, for unknown ids and when nothing is left to train on.
+    ``val_ids`` is a Python list or a frame with a ``val_id`` column.
     """
-    spark = groups.sparkSession
     if isinstance(val_ids, DataFrame):
         wanted = val_ids.select(F.col("val_id").cast("string")).distinct()
     else:
-        wanted = spark.createDataFrame([(str(v),) for v in val_ids], "val_id string").distinct()
+        wanted = groups.sparkSession.createDataFrame([(str(v),) for v in val_ids], "val_id string").distinct()
     text = F.col("source_id").cast("string")
     # Of groups with one stem the last in input order is meant; an id equal to a stem yields to it.
     names = groups.select("source_id", "ord", F.explode(F.array(
@@ -67,15 +64,29 @@ def manual_split(groups: DataFrame, val_ids) -> DataFrame:
     )).alias("n")).select("source_id", "ord", "n.*")
     lookup = names.groupBy("val_id").agg(F.max_by("source_id", F.struct("by_stem", "ord", text)).alias("source_id"))
 
-    resolved = wanted.join(lookup, "val_id", "left")
+    return wanted.join(lookup, "val_id", "left")
+
+
+def unknown_ids(groups: DataFrame, val_ids) -> DataFrame:
+    """val_id of every id that names no group, as a lazy frame."""
+    return resolve_ids(groups, val_ids).where(F.col("source_id").isNull()).select("val_id")
+
+
+def manual_split(groups: DataFrame, val_ids) -> DataFrame:
+    """One fold whose val groups are named by id or by stem (a stem wins over an equal id).
+
+    Runs checks: raises for an empty list, for unknown ids (all of them are named; see ``unknown_ids`` for a frame of
+    them) and when nothing is left to train on.
+    """
+    resolved = resolve_ids(groups, val_ids)
     got = resolved.agg(
         F.count("*").alias("wanted"), F.count_if(F.col("source_id").isNull()).alias("unknown"), F.count_distinct("source_id").alias("val")
     ).first()
     if not got.wanted:
         raise ValueError("a manual split needs at least one validation id")
     if got.unknown:
-        first = resolved.where(F.col("source_id").isNull()).orderBy("val_id").limit(20)
-        shown = ", ".join(r.val_id for r in first.collect())
+        names = resolved.where(F.col("source_id").isNull()).select("val_id").orderBy("val_id")
+        shown = ", ".join(str(r.val_id) for r in names.toLocalIterator())
         raise ValueError(f"{got.unknown} validation ids are not in the dataset: {shown}")
     if got.val == groups.count():
         raise ValueError("no training groups are left after the manual split")
@@ -87,9 +98,9 @@ def manual_split(groups: DataFrame, val_ids) -> DataFrame:
 
 
 def apply_split(records: DataFrame, splits: DataFrame) -> DataFrame:
-    """Each record once per fold with its role. The splits are broadcast if counted small. Best
-    applied to image rows, before tiling: there no source_id is a hot join key."""
-    return records.join(small_side(splits), "source_id")
+    """Each record once per fold with its role. Best applied to image rows, before tiling: there no source_id is a hot
+    join key. Adaptive execution broadcasts the splits when their measured size allows."""
+    return records.join(splits, "source_id")
 
 
 def fold_summary(tiles: DataFrame, splits: DataFrame) -> DataFrame:

@@ -99,14 +99,21 @@ def q_coco_blank(spark, d):
     )
 
 
-PREFIX = f"""WITH {t.COCO_SQL}, n AS (SELECT batch, file_name, max(image_id) AS image_id, substr(batch,1,5)||'_'||file_name AS out_name FROM coco_images GROUP BY 1,2)
-SELECT out_name, max_by(batch, batch) AS batch, max_by(image_id, batch) AS image_id FROM n GROUP BY 1"""
+PREFIX = f"""WITH {t.COCO_SQL}, n AS (SELECT batch, file_name, substr(batch,1,5)||'_'||file_name AS out_name FROM coco_images)
+SELECT out_name, max(batch) AS batch, CAST(count(*) - 1 AS BIGINT) AS collided FROM n GROUP BY 1"""
 
 
 @query("q_coco_prefix", PREFIX)
 def q_coco_prefix(spark, d):
-    images = t.coco_images(spark, d).groupBy("batch", "file_name").agg(F.max("image_id").alias("image_id"))
-    return a.prefix_names(images, "batch", "file_name").select("out_name", "batch", "image_id")
+    """Five characters of the batch: which batch each name ends with, and how many rows it cost."""
+    return a.prefix_names(t.coco_images(spark, d), "batch", "file_name", 5).select("out_name", "batch", "collided")
+
+
+@query("q_prefix_collisions", f"""WITH {t.COCO_SQL}, n AS (SELECT batch||'_'||file_name AS out_name FROM coco_images)
+SELECT out_name, CAST(count(*) - 1 AS BIGINT) AS collided FROM n GROUP BY 1 HAVING count(*) > 1""")
+def q_prefix_collisions(spark, d):
+    """Whole batch names collide only where a batch lists one name twice."""
+    return a.prefix_names(t.coco_images(spark, d), "batch", "file_name").where("collided > 0").select("out_name", "collided")
 
 
 def _existing(missing):

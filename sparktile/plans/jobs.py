@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.joins import small_side
 from ..functions.paths import extension, stem
 from ..operators import annotations as ann
 from ..operators import patch_stats, scoring, splits, tiling, transforms
@@ -75,7 +74,7 @@ def prepare_samples(pairs: DataFrame, roles: DataFrame, cfg: Config, seed: int =
     per_image = roles.groupBy("source_id").agg(*[
         F.array_sort(F.collect_set(F.when(F.col("role") == r, F.col("fold")))).alias(r) for r in ("train", "val")
     ])
-    known = pairs.join(small_side(per_image), "source_id")
+    known = pairs.join(per_image, "source_id")
 
     def tiles(role):
         mine = known.where(F.size(role) > 0).withColumn("folds", F.col(role))
@@ -142,10 +141,12 @@ def export_masks(images: DataFrame, annotations: DataFrame, categories: DataFram
     return painted.join(names, key)
 
 
-def coco_to_masks(spark: SparkSession, root: str, out: str, ignore=ann.IGNORED) -> dict:
+def coco_to_masks(spark: SparkSession, root: str, out: str, ignore=ann.IGNORED, prefix: int | None = None) -> dict:
     """Turn all exports under ``root`` into <out>/images and <out>/masks, replacing both folders.
 
-    Returns counts: masks, images, blank (listed without annotations), skipped (masks without image file).
+    ``prefix`` limits the batch part of written names to so many characters; files of batches that then share a name are
+    replaced by the last batch's. Returns counts: masks, images, blank (listed without annotations), skipped (masks without
+    image file), collided (masks and files lost to an equal name).
     """
     images, annotations, categories = coco.read_coco_exports(spark, root)
     have = coco.image_files(spark, root)
@@ -158,16 +159,18 @@ def coco_to_masks(spark: SparkSession, root: str, out: str, ignore=ann.IGNORED)
 
     masks = export_masks(unique, annotations, categories, ignore)
     kept = ann.restrict_to_images(masks, have, ("batch", "stem"))
-    named = ann.prefix_names(kept.select("batch", "image_id", "stem"), "batch", "stem").select("batch", "image_id", "out_name")
+    stems = ann.prefix_names(kept.select("batch", "image_id", "stem"), "batch", "stem", prefix)
+    named = stems.select("batch", "image_id", "out_name")
     sinks.replace_folder(spark, f"{out}/masks")
     sinks.replace_folder(spark, f"{out}/images")
     n_masks = sinks.write_rasters(kept.join(named, ["batch", "image_id"]), f"{out}/masks", "mask", suffix="", name="out_name")
 
-    files_named = ann.prefix_names(have, "batch", "name").select("path", "out_name")
+    files_named = ann.prefix_names(have, "batch", "name", prefix).select("path", "out_name", "collided")
     content = spark.read.format("binaryFile").load(f"{root}/*/{coco.IMAGES}").select("path", "content")
-    n_images = sinks.copy_files(content.join(files_named, "path"), f"{out}/images")
+    n_images = sinks.copy_files(content.join(files_named.drop("collided"), "path"), f"{out}/images")
 
     counted = ann.annotations_by_image(unique, annotations, ("batch", "image_id"))
     blank = counted.where("n_ann = 0").count()
     skipped = ann.restrict_to_images(ann.with_stem(unique, "file_name"), have, ("batch", "stem"), missing=True).count()
-    return {"masks": n_masks, "images": n_images, "blank": blank, "skipped": skipped}
+    lost = stems.select("collided").unionByName(files_named.select("collided")).agg(F.sum("collided")).first()[0] or 0
+    return {"masks": n_masks, "images": n_images, "blank": blank, "skipped": skipped, "collided": lost}

@@ -71,10 +71,10 @@ def _folds(spark, d):
     return runs.fold_results(t.metric_log(spark, d), METRIC, "max")
 
 
-@query("q_fold_results", FOLDS + ", n AS (SELECT fold, CAST(count(*) AS BIGINT) AS epochs FROM metric_log GROUP BY 1) SELECT folds.*, n.epochs FROM folds JOIN n USING (fold)")
+@query("q_fold_results", FOLDS + ", n AS (SELECT run, fold, CAST(count(*) AS BIGINT) AS epochs FROM metric_log GROUP BY 1,2) SELECT folds.*, n.epochs FROM folds JOIN n USING (run, fold)")
 def q_fold_results(spark, d):
     log = t.metric_log(spark, d)
-    return runs.fold_results(log, METRIC, "max", log.groupBy("fold").agg(F.count("*").alias("epochs")))
+    return runs.fold_results(log, METRIC, "max", log.groupBy("run", "fold").agg(F.count("*").alias("epochs")))
 
 
 STATS = """round(avg(val_dice_per_patch),6) AS mean_val_dice_per_patch, round(stddev_pop(val_dice_per_patch),6) AS std_val_dice_per_patch,
@@ -91,10 +91,10 @@ def q_cv_stats(spark, d):
     return _rounded(runs.cv_stats(_folds(spark, d), METRICS))
 
 
-@query("q_cv_summary", FOLDS + f""" SELECT run, {STATS}, CAST(count(*) AS INTEGER) AS n_folds, CAST(32 AS BIGINT) AS num_original_images,
+@query("q_cv_summary", FOLDS + f""" SELECT run, {STATS}, CAST(count(*) AS INTEGER) AS n_folds, (SELECT CAST(count(DISTINCT vec_id//16) AS BIGINT) FROM embeddings) AS num_original_images,
  CAST(sum(best_epoch*fold) AS BIGINT) AS fold_check FROM folds GROUP BY run""")
 def q_cv_summary(spark, d):
-    s = _rounded(runs.cv_summary(_folds(spark, d), METRICS, num_images=32))
+    s = _rounded(runs.cv_summary(_folds(spark, d), METRICS, images=t.px_images(spark, d)))
     check = F.aggregate("folds", F.lit(0).cast("long"), lambda acc, f: acc + f["best_epoch"] * f["fold"])
     return s.select("*", F.size("folds").alias("n_folds"), check.alias("fold_check")).drop("folds")
 

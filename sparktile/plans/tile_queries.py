@@ -251,6 +251,16 @@ def q_manual_split(spark, d):
     return splits.manual_split(groups, want.join(known, "val_id", "left_semi"))
 
 
+@query("q_unknown_ids", f"""WITH {PAIR_SQL}, want AS (
+  SELECT CASE WHEN quality=1 THEN 'doc_'||doc_id ELSE 'doc_'||doc_id||'.JPG' END AS val_id FROM labels)
+SELECT val_id FROM want w WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE w.val_id=p.source_id OR w.val_id=p.stem)""")
+def q_unknown_ids(spark, d):
+    """Every validation id of all labels that names no group."""
+    doc = F.concat(F.lit("doc_"), "doc_id")
+    want = t.table(spark, d, "labels").select(F.when(F.col("quality") == 1, doc).otherwise(F.concat(doc, F.lit(".JPG"))).alias("val_id"))
+    return splits.unknown_ids(_groups(spark, d), want)
+
+
 @query("q_fold_summary", f"""{fg_sql(127)},
 folds AS (SELECT source_id, (row_number() OVER (ORDER BY md5('42:'||source_id)) - 1)%3 AS own FROM images),
 s AS (SELECT n AS fold, source_id, n=own AS val FROM folds, range(3) r(n)),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import file_name, stem
+from .files import refuse_hidden
 
 # Where an export keeps its document and its images.
 DOCUMENT, IMAGES = "annotations/instances_default.json", "images/default"
@@ -35,6 +36,7 @@ def _batch(path, below: str):
 
 def image_files(spark: SparkSession, root: str) -> DataFrame:
     """batch, path, name, stem of every file in the exports' image folders."""
+    refuse_hidden(spark, f"{root}/*/{IMAGES}")
     files = spark.read.format("binaryFile").load(f"{root}/*/{IMAGES}").select("path")
     name = file_name(F.col("path"))
     return files.select(_batch(F.col("path"), IMAGES).alias("batch"), "path", name.alias("name"), stem(name).alias("stem"))

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.joins import small_side
 from ..functions.paths import extension, file_name, stem
 from ..functions.pixels import LUMA_SHIFT, LUMA_WEIGHTS
 from ..operators.pairing import IMAGE_EXTENSIONS, dedupe_stems, select_images, with_names
@@ -26,11 +25,29 @@ def is_file(spark: SparkSession, path: str) -> bool:
     return fs.exists(where) and fs.getFileStatus(where).isFile()
 
 
+# What Spark and Hadoop write beside data.
+MARKERS = ("_SUCCESS", "_temporary", "_spark_metadata")
+
+
+def refuse_hidden(spark: SparkSession, folder: str) -> None:
+    """Fail if files under ``folder`` (a path or pattern) have names that start with a dot or an underscore.
+
+    Spark's file sources leave such names out without a word, which would change pairs; only those names are listed here.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + "/[._]*")
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    names = sorted(s.getPath().getName() for s in (found or ()))
+    lost = [n for n in names if n not in MARKERS and not n.endswith(".crc")]
+    if lost:
+        raise ValueError(f"{folder} has names that file sources hide; rename them: {', '.join(lost)}")
+
+
 def list_masks(spark: SparkSession, path: str) -> DataFrame:
     """Every file of a folder: path, length, modificationTime, source_id, stem. Contents are not read.
 
-    Names that start with a dot or an underscore are hidden from Spark's file sources.
+    Fails on names that start with a dot or an underscore, which Spark's file sources hide.
     """
+    refuse_hidden(spark, path)
     files = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
     return with_names(files)
 
@@ -119,8 +136,8 @@ def load_pairs(spark: SparkSession, images_dir: str, masks_dir: str, exts=IMAGE_
     result to Parquet once and let every later job start from there.
     """
     def older(listing):
-        """Files that a later one of the same stem replaces: few, so they are taken out by a broadcast."""
-        return small_side(listing.join(dedupe_stems(listing), ["stem", "path"], "left_anti").select("source_id"))
+        """Files that a later one of the same stem replaces."""
+        return listing.join(dedupe_stems(listing), ["stem", "path"], "left_anti").select("source_id")
 
     wanted = extension(F.col("source_id")).isin([e.lower() for e in exts])
     image_files, mask_files = list_images(spark, images_dir, exts), list_masks(spark, masks_dir)

@@ -16,12 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Share a scan of fewer partitions than cores over all of them, for views that expand each row.
-
-    Large inputs already have more partitions and pass through unshuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Share the rows over all shuffle partitions, for views that expand each row."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 # --- pixels: 16 embedding vectors make one 32x32 image of 8x8 blocks -------------------------

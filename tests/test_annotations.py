@@ -68,10 +68,11 @@ def test_run_lengths_list_and_text():
     masks += [np.zeros((4, 5), bool), np.ones((4, 5), bool)]
     runs = [runs_of(m.astype(int)) for m in masks]
     h, w = zip(*(m.shape for m in masks))
-    who, y, a, b = kernels.batch_row_spans(runs, h, w)
+    who, y, a, b = kernels.run_spans(runs, h, w)
     for i, m in enumerate(masks):
         assert np.array_equal(kernels.read_counts(_write_counts(runs[i])), runs[i])
-        for ys, xs, xe in ((y[who == i], a[who == i], b[who == i]), kernels.row_spans(runs[i], *m.shape)):
+        alone = kernels.run_spans([runs[i]], h[i : i + 1], w[i : i + 1])
+        for ys, xs, xe in ((y[who == i], a[who == i], b[who == i]), alone[1:]):
             back = np.zeros(m.shape, bool)
             for r, s, e in zip(ys, xs, xe):
                 assert not back[r, s : e + 1].any()
@@ -84,8 +85,7 @@ def test_known_text():
     assert kernels.read_counts("52203").tolist() == [5, 2, 2, 2, 5]
 
 
-def test_large_rle_takes_the_single_path(spark, monkeypatch):
-    monkeypatch.setattr(ann, "PIXELS_AT_ONCE", 10)
+def test_rle_of_many_images(spark):
     rng = np.random.default_rng(4)
     masks = [rng.random((9, 7)) < 0.5 for _ in range(6)]
     df = spark.createDataFrame([(i, 7, 9, [int(v) for v in runs_of(m.astype(int))]) for i, m in enumerate(masks)],
@@ -164,8 +164,8 @@ def test_export_job(spark, exports, tmp_path):
     out = tmp_path / "data"
     (out / "masks").mkdir(parents=True)
     (out / "masks" / "stale.png").write_bytes(b"x")
-    got = jobs.coco_to_masks(spark, exports, str(out))
-    assert got["skipped"] == 1 and got["blank"] == 1
+    got = jobs.coco_to_masks(spark, exports, str(out), prefix=5)
+    assert got["skipped"] == 1 and got["blank"] == 1 and got["collided"] == 2
     assert sorted(n for n in os.listdir(out / "masks") if not n.startswith(".")) == ["batch_a b.png", "batch_blank.png", "batch_c+d.png"]
     assert sorted(n for n in os.listdir(out / "images") if not n.startswith(".")) == ["batch_a b.png", "batch_blank.png", "batch_c+d.png"]
     masks = {r.stem: np.frombuffer(bytes(r.mask), np.uint8).reshape(6, 6) for r in files.decode_gray(files.read_images(spark, str(out / "masks"))).collect()}
@@ -182,8 +182,44 @@ def test_export_job(spark, exports, tmp_path):
     assert sorted(map(tuple, coco.incomplete_exports(spark, exports).collect())) == [("no_doc", "annotations"), ("no_images", "images")]
 
 
+def test_whole_batch_names_lose_nothing(spark, exports, tmp_path):
+    got = jobs.coco_to_masks(spark, exports, str(tmp_path / "all"))
+    names = ["batch 2_blank.png", "batch_1_a b.png", "batch_1_blank.png", "batch_1_c+d.png"]
+    assert got["collided"] == 0 and sorted(n for n in os.listdir(tmp_path / "all" / "masks") if not n.startswith(".")) == names
+
+
+def test_hidden_files_are_reported(spark, exports, tmp_path):
+    folder = tmp_path / "imgs"
+    folder.mkdir()
+    for name in ("a.png", "_b.png", ".c.png"):
+        (folder / name).write_bytes(b"x")
+    with pytest.raises(ValueError, match="_b.png"):
+        files.list_masks(spark, str(folder))
+    (folder / "_b.png").rename(folder / "b.png")
+    (folder / ".c.png").rename(folder / "c.png")
+    assert files.list_masks(spark, str(folder)).count() == 3
+
+
 def test_ignore_list_falls_back(spark):
     cats = spark.createDataFrame([(1, "Inoculum", 0), (2, "Dust", 1)], "id long, name string, pos int")
     anns = spark.createDataFrame([(1,), (2,), (3,)], "category_id long")
     for ignore, want in (((), {1}), (None, {1}), (("dust",), {2})):
         assert {r.category_id for r in ann.annotation_classes(anns, cats, ignore).where("ign").collect()} == want
+
+
+def test_spans_beyond_two_million_columns(spark):
+    wide = (1 << 21) + 100
+    rows = [(1, wide, 5, [[float(1 << 21), 1.0, float((1 << 21) + 9), 1.0, float((1 << 21) + 9), 2.0, float(1 << 21), 2.0]])]
+    found = ann.polygon_spans(spark.createDataFrame(rows, "image_id long, width int, height int, polygons array<array<double>>"), ["image_id"])
+    assert sorted(map(tuple, found.distinct().collect())) == [(1, y, 1 << 21, (1 << 21) + 9) for y in (1, 2)]
+    runs = [(2, wide, 2, [2 * (1 << 21) + 1, 3])]
+    spans = ann.rle_spans(spark.createDataFrame(runs, "image_id long, width int, height int, counts array<bigint>"), ["image_id"]).collect()
+    assert sorted(map(tuple, spans)) == [(2, 0, (1 << 21) + 1, (1 << 21) + 1), (2, 1, 1 << 21, (1 << 21) + 1)]
+
+
+def test_names_collide_only_when_shortened(spark):
+    files = spark.createDataFrame([("export-1", "a"), ("export-2", "a"), ("other", "a")], "batch string, name string")
+    whole = {r["out_name"]: r["collided"] for r in ann.prefix_names(files, "batch", "name").collect()}
+    assert whole == {"export-1_a": 0, "export-2_a": 0, "other_a": 0}
+    short = {r["out_name"]: (r["batch"], r["collided"]) for r in ann.prefix_names(files, "batch", "name", 5).collect()}
+    assert short == {"expor_a": ("export-2", 1), "other_a": ("other", 0)}

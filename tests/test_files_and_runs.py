@@ -268,3 +268,13 @@ def test_needs_a_shared_folder_off_local(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(Session())
+
+
+def test_null_keys_and_empty_folds_stay(spark):
+    rows = [(None, 0, 1, 0.5), (None, 0, 2, 0.7), ("r", None, 1, 0.1), ("r", 1, None, 0.2), ("r", 2, 1, None), ("r", 2, 2, None)]
+    log = spark.createDataFrame(rows, "run string, fold int, epoch int, m double")
+    flagged = runs.running_best(log, "m", "max").collect()
+    assert len(flagged) == len(rows) and {(r.epoch, r.is_best) for r in flagged if r.run is None} == {(1, True), (2, True)}
+    best = {(r.run, r.fold): (r.epoch, r.m) for r in runs.best_epoch(log, "m", "max").collect()}
+    assert best[(None, 0)] == (2, 0.7) and best[("r", 2)] == (None, None) and len(best) == 4
+    assert runs.fold_results(log.withColumn("val_dice_per_image", F.lit(1.0)), "m", "max").count() == 4

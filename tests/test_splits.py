@@ -67,3 +67,12 @@ def test_split_modes(groups):
     assert make_splits(groups, Config(split_mode="kfold", n_splits=3)).agg(F.count_distinct("fold")).first()[0] == 3
     with pytest.raises(ValueError, match="split mode"):
         make_splits(groups, Config(split_mode="random"))
+
+
+def test_every_unknown_id_is_named(spark):
+    groups = splits.distinct_groups(spark.createDataFrame([("a.png",), ("b.png",)], "source_id string"))
+    wrong = [f"x{i}" for i in range(50)]
+    assert {r.val_id for r in splits.unknown_ids(groups, ["a", *wrong]).collect()} == set(wrong)
+    with pytest.raises(ValueError) as error:
+        splits.manual_split(groups, ["a", *wrong])
+    assert all(w in str(error.value) for w in wrong)
