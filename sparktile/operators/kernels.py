@@ -202,6 +202,29 @@ def png_bytes(a: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines, 6)) + chunk(b"IEND", b"")
 
 
+# --- noise -------------------------------------------------------------------------------------
+
+# Increment and multipliers of the public splitmix64 mixing function.
+_MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def counter_uniform(key: int, index: np.ndarray) -> np.ndarray:
+    """Number in (0, 1) for each counter value: splitmix64 of key + index * increment, top 53 bits."""
+    step, first, second = (np.uint64(v) for v in _MIX)
+    z = np.uint64(key) + index.astype(np.uint64) * step
+    z = (z ^ (z >> np.uint64(30))) * first
+    z = (z ^ (z >> np.uint64(27))) * second
+    z ^= z >> np.uint64(31)
+    return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+
+
+def counter_normal(key: int, shape) -> np.ndarray:
+    """Standard normal numbers in row-major order, by Box and Muller from counters 2i and 2i + 1."""
+    i = np.arange(int(np.prod(shape)))
+    u, v = counter_uniform(key, 2 * i + 1), counter_uniform(key, 2 * i + 2)
+    return (np.sqrt(-2.0 * np.log(u)) * np.cos(2.0 * np.pi * v)).reshape(shape)
+
+
 # --- run lengths --------------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ for augmentation, where every tile draws its own parameters.
 
 from __future__ import annotations
 
+import hashlib
 from functools import partial
 
 import numpy as np
@@ -33,7 +34,7 @@ TRAIN_DEFAULTS = {
         "gaussian_blur_limit": (3, 5), "gaussian_sigma_limit": (0.1, 1.0),
         "defocus_radius": (1, 3), "defocus_alias_blur": (0.1, 0.3), "p": 0.2,
     },
-    "gauss_noise_p": 0.2,
+    "gauss_noise_p": 0.1,
     "gauss_noise_std": (0.2, 0.44),
 }
 
@@ -95,7 +96,7 @@ def _flip(image, mask, rng, axis):
 
 
 def _turn(image, mask, rng, k=None):
-    k = int(rng.integers(0, 4)) if k is None else k
+    k = rng.integers("turn_k", 0, 4) if k is None else k
     return np.rot90(image, k), np.rot90(mask, k)
 
 
@@ -128,14 +129,15 @@ def _defocus(image, mask, rng, radius, alias_blur):
 
 
 def _noise(image, mask, rng, std):
-    return kernels.to_u8(image + rng.normal(0.0, std * 255.0, image.shape)), mask
+    return kernels.to_u8(image + std * 255.0 * kernels.counter_normal(rng.key("noise"), image.shape)), mask
 
 
 def _drawn(step, **ranges):
     """Step whose parameters are drawn per tile: a (low, high) range is uniform, a callable draws itself."""
+    label = step.__name__.strip("_")
 
     def run(image, mask, rng):
-        drawn = {k: v(rng) if callable(v) else rng.uniform(*v) for k, v in ranges.items()}
+        drawn = {k: v(rng, f"{label}_{k}") if callable(v) else rng.uniform(f"{label}_{k}", *v) for k, v in ranges.items()}
         return step(image, mask, rng, **drawn)
 
     return run
@@ -145,14 +147,14 @@ def _choice(steps):
     """Exactly one of the steps, with equal chances."""
 
     def run(image, mask, rng):
-        return steps[int(rng.integers(len(steps)))](image, mask, rng)
+        return steps[rng.integers("choice", 0, len(steps))](image, mask, rng)
 
     return run
 
 
-def _gated(p, step):
+def _gated(name, p, step):
     def run(image, mask, rng):
-        return step(image, mask, rng) if rng.random() < p else (image, mask)
+        return step(image, mask, rng) if rng.random(name) < p else (image, mask)
 
     return run
 
@@ -162,9 +164,34 @@ def _gated(p, step):
 KEYS = ["source_id", "width", "height", "y0", "x0", "patch_size"]
 
 
-def _stream_key(tiles: DataFrame, seed: int, epoch: int) -> DataFrame:
-    """A random stream per tile that depends on its key only, so retries and repartitioning change nothing."""
-    return tiles.withColumn("_stream", F.xxhash64(F.lit(seed), F.lit(epoch), "source_id", "x0", "y0"))
+def stream_key(seed: int, epoch: int):
+    """Text that every draw of a tile is a hash of, so retries and repartitioning change nothing: seed:epoch:id:x0:y0."""
+    return F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), *[F.col(c).cast("string") for c in ("source_id", "x0", "y0")])
+
+
+def draw(stream, name: str):
+    """The draw called ``name`` of a stream as a column: 52 bits of md5(stream:name) as a number in [0, 1)."""
+    digits = F.substring(F.md5(F.concat(stream, F.lit(":" + name))), 1, 13)
+    return F.conv(digits, 16, 10).cast("long") / float(1 << 52)
+
+
+class Draws:
+    """The same draws inside a task, by name: what one step draws does not depend on the steps before it."""
+
+    def __init__(self, stream: str):
+        self.stream = stream
+
+    def key(self, name: str) -> int:
+        return int(hashlib.md5(f"{self.stream}:{name}".encode()).hexdigest()[:13], 16)
+
+    def random(self, name: str) -> float:
+        return self.key(name) / float(1 << 52)
+
+    def uniform(self, name: str, low: float, high: float) -> float:
+        return low + (high - low) * self.random(name)
+
+    def integers(self, name: str, low: int, high: int) -> int:
+        return low + int(self.random(name) * (high - low))
 
 
 def _unpack(r):
@@ -180,7 +207,7 @@ def _run(tiles: DataFrame, steps, seed: int, epoch: int, finish, column: str, ca
             sides, images, masks = [], [], []
             for r in pdf.itertuples(index=False):
                 image, mask = _unpack(r)
-                rng = np.random.Generator(np.random.Philox(key=r._asdict()["stream"] & (2**64 - 1)))
+                rng = Draws(r.stream)
                 for step in steps:
                     image, mask = step(image, mask, rng)
                 sides.append(mask.shape[0])
@@ -193,7 +220,7 @@ def _run(tiles: DataFrame, steps, seed: int, epoch: int, finish, column: str, ca
     kind = tiles.schema["source_id"].dataType.simpleString()
     schema = f"source_id {kind}, width int, height int, y0 int, x0 int, patch_size int, "
     schema += "".join(f"{c} {tiles.schema[c].dataType.simpleString()}, " for c in carry) + f"side int, {column}, mask binary"
-    source = _stream_key(tiles, seed, epoch).select(*keys, "image", "mask", F.col("_stream").alias("stream"))
+    source = tiles.select(*keys, "image", "mask", stream_key(seed, epoch).alias("stream"))
     return source.mapInPandas(work, schema)
 
 
@@ -237,7 +264,7 @@ def gauss_noise(tiles: DataFrame, std: float = 0.2, seed: int = 42, epoch: int =
 
 def one_of(tiles: DataFrame, steps, p: float = 1.0, seed: int = 42, epoch: int = 0) -> DataFrame:
     """Per tile and with chance p, exactly one of ``steps``."""
-    return apply_steps(tiles, [_gated(p, _choice(list(steps)))], seed, epoch)
+    return apply_steps(tiles, [_gated("one_of", p, _choice(list(steps)))], seed, epoch)
 
 
 def blur_steps(gaussian=(3, 1.0), radius: int = 2):
@@ -267,11 +294,11 @@ def _settings(cfg: dict | None) -> dict:
 
 
 def _whole(low, high, step=1):
-    return lambda rng: int(low) + step * int(rng.integers(0, (int(high) - int(low)) // step + 1))
+    return lambda rng, name: int(low) + step * rng.integers(name, 0, (int(high) - int(low)) // step + 1)
 
 
 def _pair(a, b):
-    return lambda rng: (rng.uniform(*a), rng.uniform(*b))
+    return lambda rng, name: (rng.uniform(name + "_x", *a), rng.uniform(name + "_y", *b))
 
 
 def train_steps(cfg: dict | None = None, image_size: int | None = None) -> list:
@@ -285,20 +312,42 @@ def train_steps(cfg: dict | None = None, image_size: int | None = None) -> list:
     ])
     steps = [partial(_resize, size=image_size)] if image_size is not None else []
     return steps + [
-        _gated(c["horizontal_flip_p"], partial(_flip, axis=1)),
-        _gated(c["vertical_flip_p"], partial(_flip, axis=0)),
-        _gated(c["random_rotate_90_p"], _turn),
-        _gated(a["p"], _drawn(
+        _gated("hflip", c["horizontal_flip_p"], partial(_flip, axis=1)),
+        _gated("vflip", c["vertical_flip_p"], partial(_flip, axis=0)),
+        _gated("turn", c["random_rotate_90_p"], _turn),
+        _gated("affine", a["p"], _drawn(
             _affine, translate=_pair(a["translate_x"], a["translate_y"]), scale=_pair(a["scale"], a["scale"]), rotate=tuple(a["rotate"])
         )),
-        _gated(t["p"], _drawn(_tone, brightness=tuple(t["brightness_limit"]), contrast=tuple(t["contrast_limit"]))),
-        _gated(g["p"], _drawn(_power, exponent=tuple(v / 100.0 for v in g["gamma_limit"]))),
-        _gated(h["p"], _drawn(_clahe, clip=tuple(h["clip_limit"]), grid=lambda rng: tuple(h["tile_grid_size"]))),
-        _gated(b["p"], blur),
-        _gated(c["gauss_noise_p"], _drawn(_noise, std=tuple(c["gauss_noise_std"]))),
+        _gated("tone", t["p"], _drawn(_tone, brightness=tuple(t["brightness_limit"]), contrast=tuple(t["contrast_limit"]))),
+        _gated("power", g["p"], _drawn(_power, exponent=tuple(v / 100.0 for v in g["gamma_limit"]))),
+        _gated("clahe", h["p"], _drawn(_clahe, clip=tuple(h["clip_limit"]), grid=lambda rng, name: tuple(h["tile_grid_size"]))),
+        _gated("blur", b["p"], blur),
+        _gated("noise", c["gauss_noise_p"], _drawn(_noise, std=tuple(c["gauss_noise_std"]))),
     ]
 
 
+def augment_draws(tiles: DataFrame, cfg: dict | None = None, seed: int = 42, epoch: int = 0) -> DataFrame:
+    """source_id, y0, x0 and what ``augment_tiles`` draws for the tile: which steps run, the turn and the drawn tone.
+
+    Built-in functions only: the plan of an epoch can be looked at, joined and checked without touching a pixel.
+    """
+    c, s = _settings(cfg), stream_key(seed, epoch)
+    chances = {
+        "hflip": c["horizontal_flip_p"], "vflip": c["vertical_flip_p"], "turn": c["random_rotate_90_p"], "affine": c["affine"]["p"],
+        "tone": c["random_brightness_contrast"]["p"], "power": c["random_gamma"]["p"], "clahe": c["clahe"]["p"], "blur": c["blur"]["p"], "noise": c["gauss_noise_p"],
+    }
+
+    def between(name, low, high):
+        return low + (high - low) * draw(s, name)
+
+    tone = c["random_brightness_contrast"]
+    return tiles.select(
+        "source_id", "y0", "x0", *[(draw(s, n) < float(p)).alias(n) for n, p in chances.items()],
+        F.floor(draw(s, "turn_k") * 4).cast("int").alias("turn_k"), F.floor(draw(s, "choice") * 2).cast("int").alias("blur_choice"),
+        between("tone_brightness", *tone["brightness_limit"]).alias("brightness"), between("tone_contrast", *tone["contrast_limit"]).alias("contrast"),
+    )
+
+
 def _norm(cfg):
     n = (cfg or {}).get("normalize", {})
     return _tensor(n.get("mean", MEAN), n.get("std", STD))

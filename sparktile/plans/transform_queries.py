@@ -229,16 +229,94 @@ def _summary(samples):
     return samples.select("source_id", "y0", "x0", F.length("mask").alias("mask_size"), F.round(total / F.size("tensor"), 6).alias("mean"))
 
 
-@query("q_gauss_noise")
+def _draw_sql(name, seed, epoch, t=""):
+    """The draw ``name`` of a tile in DuckDB."""
+    return f"(CAST('0x'||substr(md5('{seed}:{epoch}:'||{t}source_id||':'||{t}x0||':'||{t}y0||':{name}'),1,13) AS BIGINT)/4503599627370496.0::DOUBLE)"
+
+
+def _counter_sql(index, key):
+    """splitmix64 of key + index * increment as a number in (0, 1); products are taken in 128 bits and cut to 64."""
+    full = "18446744073709551616::UHUGEINT"
+    z0 = f"(({key} + ({index})::UHUGEINT * 11400714819323198485::UHUGEINT) % {full})::UBIGINT"
+
+    def mixed(z, shift, by):
+        return f"((xor({z}, {z} >> {shift}))::UHUGEINT * {by}::UHUGEINT % {full})::UBIGINT"
+
+    return z0, mixed
+
+
+def _noise_sql(std, seed):
+    z0, mixed = _counter_sql("j", "key")
+    return f"""WITH {RGB}, keyed AS (SELECT *, CAST('0x'||substr(md5('{seed}:0:'||source_id||':'||x0||':'||y0||':noise'),1,13) AS BIGINT)::UHUGEINT AS key FROM c),
+p AS (SELECT source_id, y0, x0, dy, dx, t, key, unnest([r,g,b]) AS v, unnest([0,1,2]) AS ch FROM keyed),
+n AS (SELECT *, 2*((dy*{P}+dx)*3+ch) AS i FROM p), w AS (SELECT *, unnest([i+1, i+2]) AS j, unnest([0,1]) AS second FROM n),
+a AS (SELECT *, {z0} AS z FROM w), b AS (SELECT * EXCLUDE z, {mixed("z", 30, 13787848793156543929)} AS z FROM a),
+d AS (SELECT * EXCLUDE z, {mixed("z", 27, 10723151780598845931)} AS z FROM b),
+u AS (SELECT source_id, y0, x0, dy, dx, t, ch, v, max(CASE WHEN second=0 THEN ((xor(z, z >> 31) >> 11)::DOUBLE+0.5)/9007199254740992.0 END) AS u,
+  max(CASE WHEN second=1 THEN ((xor(z, z >> 31) >> 11)::DOUBLE+0.5)/9007199254740992.0 END) AS w FROM d GROUP BY ALL),
+o AS (SELECT *, {U8.format(f"v + {std}::DOUBLE*255.0*(sqrt(-2.0*ln(u))*cos(2.0*pi()*w))")} AS o FROM u)
+SELECT source_id, y0, x0, dy, dx, max(CASE WHEN ch=0 THEN o END) AS r, max(CASE WHEN ch=1 THEN o END) AS g, max(CASE WHEN ch=2 THEN o END) AS b, t FROM o GROUP BY source_id, y0, x0, dy, dx, t"""
+
+
+@query("q_gauss_noise", _noise_sql(0.05, 7))
 def q_gauss_noise(spark, d):
-    return _summary(transforms.unit_tensor(transforms.gauss_noise(packed_tiles(spark, d), 0.05, seed=7)))
+    return tiling.unpack_tiles(transforms.gauss_noise(packed_tiles(spark, d), 0.05, seed=7))
+
+
+def _one_of_sql():
+    """Both blurs of every pixel, and the one that the tile draws, or the pixel itself."""
+    gauss, disk = (_filter_sql(k).split("SELECT c.source_id", 1) for k in (kernels.gaussian_kernel(3, 1.0), kernels.disk_kernel(2, 0.1)))
+    taps = [g[0].rsplit("k(oy, ox, w) AS", 1)[1] for g in (gauss, disk)]
+    bodies = ["SELECT c.source_id" + g[1].replace("FROM c, k JOIN", f"FROM c, k{i} k JOIN") for i, g in enumerate((gauss, disk))]
+    bands = ", ".join(f"CASE WHEN NOT on_ THEN c.{v} WHEN pick=0 THEN g.{v} ELSE h.{v} END AS {v}" for v in "rgb")
+    keys = "source_id, y0, x0, dy, dx"
+    return f"""WITH {RGB}, k0(oy, ox, w) AS {taps[0]}, k1(oy, ox, w) AS {taps[1]}, ga AS ({bodies[0]}), di AS ({bodies[1]}),
+w AS (SELECT DISTINCT source_id, y0, x0, {_draw_sql("one_of", 42, 0)} < 0.8 AS on_, CAST(floor({_draw_sql("choice", 42, 0)}*2) AS INTEGER) AS pick FROM c)
+SELECT c.source_id, c.y0, c.x0, c.dy, c.dx, {bands}, c.t FROM c JOIN w USING (source_id, y0, x0) JOIN ga g USING ({keys}) JOIN di h USING ({keys})"""
 
 
-@query("q_one_of")
+@query("q_one_of", _one_of_sql())
 def q_one_of(spark, d):
-    return _summary(transforms.unit_tensor(transforms.one_of(packed_tiles(spark, d), transforms.blur_steps(), p=0.8)))
+    return tiling.unpack_tiles(transforms.one_of(packed_tiles(spark, d), transforms.blur_steps(), p=0.8))
+
+
+def _gates_sql(names):
+    return ", ".join(f"{_draw_sql(n, 42, 3)} < {p}::DOUBLE AS {n}" for n, p in names.items())
+
+
+GATES = {"hflip": 0.8, "vflip": 0.6, "turn": 0.8, "affine": 0.6, "tone": 0.3, "power": 0.2, "clahe": 0.15, "blur": 0.2, "noise": 0.1}
+
+
+@query("q_augment_draws", f"""WITH {RGB} SELECT DISTINCT source_id, y0, x0, {_gates_sql(GATES)}, CAST(floor({_draw_sql("turn_k", 42, 3)}*4) AS INTEGER) AS turn_k,
+ CAST(floor({_draw_sql("choice", 42, 3)}*2) AS INTEGER) AS blur_choice, -0.2::DOUBLE + 0.4::DOUBLE*{_draw_sql("tone_brightness", 42, 3)} AS brightness,
+ -0.2::DOUBLE + 0.4::DOUBLE*{_draw_sql("tone_contrast", 42, 3)} AS contrast FROM c""")
+def q_augment_draws(spark, d):
+    """Gates, turn, blur and tone that an epoch of augmentation draws for every tile."""
+    return transforms.augment_draws(packed_tiles(spark, d), seed=42, epoch=3)
+
+
+# only steps whose result has a closed form per pixel: flips, quarter turns and tone
+CLOSED = {"train": {"affine": {"p": 0.0}, "random_gamma": {"p": 0.0}, "clahe": {"p": 0.0}, "blur": {"p": 0.0}, "gauss_noise_p": 0.0, "random_brightness_contrast": {"p": 0.5}}}
+
+
+def _augment_sql():
+    tone = ", ".join(f"CASE WHEN tone THEN {U8.format(f'{v}*(1.0+contrast)+255.0*brightness')} ELSE {v} END AS {v}" for v in "rgb")
+    return f"""WITH {RGB}, w AS (SELECT DISTINCT source_id, y0, x0, {_gates_sql({"hflip": 0.8, "vflip": 0.6, "turn": 0.8, "tone": 0.5})},
+  CAST(floor({_draw_sql("turn_k", 42, 3)}*4) AS INTEGER) AS k, -0.2::DOUBLE + 0.4::DOUBLE*{_draw_sql("tone_brightness", 42, 3)} AS brightness,
+  -0.2::DOUBLE + 0.4::DOUBLE*{_draw_sql("tone_contrast", 42, 3)} AS contrast FROM c),
+f AS (SELECT c.source_id, c.y0, c.x0, CASE WHEN vflip THEN {LAST}-dy ELSE dy END AS dy, CASE WHEN hflip THEN {LAST}-dx ELSE dx END AS dx, r, g, b, t, CASE WHEN turn THEN k ELSE 0 END AS k, tone, brightness, contrast
+  FROM c JOIN w USING (source_id, y0, x0)),
+p AS (SELECT source_id, y0, x0, CAST(CASE k WHEN 0 THEN dy WHEN 1 THEN {LAST}-dx WHEN 2 THEN {LAST}-dy ELSE dx END AS INTEGER) AS dy,
+  CAST(CASE k WHEN 0 THEN dx WHEN 1 THEN dy WHEN 2 THEN {LAST}-dx ELSE {LAST}-dy END AS INTEGER) AS dx, {tone}, t FROM f),
+v AS (SELECT source_id, y0, x0, dy*{P}+dx AS i, round((r/255.0-0.485)/0.229*1000)+round((g/255.0-0.456)/0.224*1000)+round((b/255.0-0.406)/0.225*1000) AS v, t FROM p)
+SELECT source_id, y0, x0, CAST(sum(v*(i%97)) AS BIGINT) AS moment, CAST(sum(t*i) AS BIGINT) AS mask_moment FROM v GROUP BY source_id, y0, x0"""
 
 
-@query("q_augment")
+@query("q_augment", _augment_sql())
 def q_augment(spark, d):
-    return _summary(transforms.augment_tiles(packed_tiles(spark, d), seed=42, epoch=3))
+    """Augmented samples reduced to position-weighted sums of tensor and mask."""
+    samples = transforms.augment_tiles(packed_tiles(spark, d), CLOSED, seed=42, epoch=3)
+    area = P * P
+    moment = F.aggregate(F.transform("tensor", lambda v, i: F.round(v.cast("double") * 1000) * (i % area % 97)), F.lit(0.0), lambda s, v: s + v)
+    mask = F.aggregate(F.sequence(F.lit(0), F.lit(area - 1)), F.lit(0).cast("long"), lambda s, i: s + F.when(F.substring("mask", i + 1, 1) == F.unhex(F.lit("00")), 0).otherwise(i))
+    return samples.select("source_id", "y0", "x0", moment.cast("long").alias("moment"), mask.alias("mask_moment"))
