@@ -2,8 +2,8 @@
 
 Shapes become inclusive row spans (image key, y, x_start, x_end). A mask is the union of kept
 spans minus the union of ignored spans, found per image row by a sweep over span edges. Edges
-are first summed per position, so one row of an image never holds more than width + 1 of them,
-however many annotations overlap.
+are summed per position before they are sorted, so one row of an image never sorts more than
+width + 1 of them, however many annotations overlap.
 """
 
 from __future__ import annotations
@@ -105,7 +105,8 @@ def compose_mask(spans: DataFrame, keys=("image_id",)) -> DataFrame:
         F.struct(F.col("x_start").alias("x"), weight.alias("d")),
         F.struct((F.col("x_end") + 1).alias("x"), (-weight).alias("d")),
     )))
-    summed = edges.groupBy(*keys, "y", "x").agg(F.sum("d").alias("d"))
+    # one shuffle on the image row serves both the sums per position and the sweep
+    summed = edges.repartition(*keys, "y").groupBy(*keys, "y", "x").agg(F.sum("d").alias("d"))
     line = Window.partitionBy(*keys, "y").orderBy("x")
     sofar = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     state = summed.select(*keys, "y", "x", F.sum("d").over(sofar).between(1, ignored - 1).alias("on"))

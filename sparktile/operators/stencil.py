@@ -4,14 +4,19 @@
 windows look one row back and ahead, so every raster must be dense: use padded tiles.
 
 ``colocate`` repartitions once by sample, after which all windows only sort within tasks; right
-for tiles, which are small. Without it each window shuffles on (sample, line), which spreads a
-raster of any size.
+for tiles, which are small. Without it, the default, each window shuffles on (sample, line), which
+spreads a raster of any size. Packed tiles need neither: ``stencil_packed`` works on each row alone.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+from . import kernels
 
 
 def _lines(sample: list[str], along: str, y: str, x: str):
@@ -49,24 +54,24 @@ def _dilate(df, values, sample, out, y, x):
     )
 
 
-def soft_erode(df: DataFrame, v: str, sample: list[str], out: str = "eroded", y: str = "y", x: str = "x", colocate: bool = True) -> DataFrame:
+def soft_erode(df: DataFrame, v: str, sample: list[str], out: str = "eroded", y: str = "y", x: str = "x", colocate: bool = False) -> DataFrame:
     df = colocated(df, sample) if colocate else df
     return _erode(df, [v], sample, "_out", y, x).withColumnRenamed(v + "_out", out)
 
 
-def soft_dilate(df: DataFrame, v: str, sample: list[str], out: str = "dilated", y: str = "y", x: str = "x", colocate: bool = True) -> DataFrame:
+def soft_dilate(df: DataFrame, v: str, sample: list[str], out: str = "dilated", y: str = "y", x: str = "x", colocate: bool = False) -> DataFrame:
     df = colocated(df, sample) if colocate else df
     return _dilate(df, [v], sample, "_out", y, x).withColumnRenamed(v + "_out", out)
 
 
-def soft_open(df: DataFrame, v: str, sample: list[str], out: str = "opened", y: str = "y", x: str = "x", colocate: bool = True) -> DataFrame:
+def soft_open(df: DataFrame, v: str, sample: list[str], out: str = "opened", y: str = "y", x: str = "x", colocate: bool = False) -> DataFrame:
     df = colocated(df, sample) if colocate else df
     df = _erode(df, [v], sample, "_e", y, x)
     df = _dilate(df, [v + "_e"], sample, "_out", y, x)
     return df.withColumnRenamed(v + "_e_out", out).drop(v + "_e")
 
 
-def soft_skeletons(df: DataFrame, values: dict[str, str], sample: list[str], iterations: int = 3, y: str = "y", x: str = "x", colocate: bool = True) -> DataFrame:
+def soft_skeletons(df: DataFrame, values: dict[str, str], sample: list[str], iterations: int = 3, y: str = "y", x: str = "x", colocate: bool = False) -> DataFrame:
     """Soft skeleton of several value columns at once; ``values`` maps input to output name.
 
     One erosion serves both the opening of a step and the mask of the next, and all columns
@@ -95,3 +100,27 @@ def soft_skeletons(df: DataFrame, values: dict[str, str], sample: list[str], ite
 
 def soft_skeleton(df: DataFrame, v: str, sample: list[str], iterations: int = 3, out: str = "skeleton", **where) -> DataFrame:
     return soft_skeletons(df, {v: out}, sample, iterations, **where)
+
+
+PACKED = {
+    "erode": kernels.erode,
+    "dilate": kernels.dilate,
+    "open": lambda a: kernels.dilate(kernels.erode(a)),
+}
+
+
+def stencil_packed(tiles: DataFrame, v: str, what: str, out: str, iterations: int = 3) -> DataFrame:
+    """Add ``out``, the eroded, dilated, opened tile or its skeleton, of square packed tiles ``v`` array<double>. No shuffle."""
+    if what != "skeleton" and what not in PACKED:
+        raise ValueError(f"unknown stencil {what}; use skeleton, {', '.join(PACKED)}")
+    work = (lambda a: kernels.skeleton(a, iterations)) if what == "skeleton" else PACKED[what]
+
+    @pandas_udf("array<double>")
+    def run(values: pd.Series) -> pd.Series:
+        def one(flat):
+            side = int(round(len(flat) ** 0.5))
+            return work(np.asarray(flat, float).reshape(1, side, side)).ravel()
+
+        return pd.Series([one(x) for x in values], dtype=object)
+
+    return tiles.withColumn(out, run(v))

@@ -211,25 +211,25 @@ TILE_PX = SAMPLE + ["dy", "dx"]
 
 @query("q_erode", f"WITH {CELLS}, {erode_sql('sc', 'p', 'v', 'e')} SELECT source_id,y0,x0,dy,dx,round(v,6) AS v FROM e")
 def q_erode(spark, d):
-    e = stencil.soft_erode(cells(spark, d).withColumn("p", sigmoid(logit())), "p", SAMPLE, "v", "dy", "dx")
+    e = stencil.soft_erode(cells(spark, d).withColumn("p", sigmoid(logit())), "p", SAMPLE, "v", "dy", "dx", colocate=True)
     return e.select(*TILE_PX, F.round("v", 6).alias("v"))
 
 
 @query("q_dilate", f"WITH {CELLS}, {dilate_sql('sc', 'p', 'v', 'e')} SELECT source_id,y0,x0,dy,dx,round(v,6) AS v FROM e")
 def q_dilate(spark, d):
-    e = stencil.soft_dilate(cells(spark, d).withColumn("p", sigmoid(logit())), "p", SAMPLE, "v", "dy", "dx")
+    e = stencil.soft_dilate(cells(spark, d).withColumn("p", sigmoid(logit())), "p", SAMPLE, "v", "dy", "dx", colocate=True)
     return e.select(*TILE_PX, F.round("v", 6).alias("v"))
 
 
 @query("q_open", f"WITH {CELLS}, {erode_sql('sc', 'p', 'w', 'e')}, {dilate_sql('e', 'w', 'v', 'f')} SELECT source_id,y0,x0,dy,dx,round(v,6) AS v FROM f")
 def q_open(spark, d):
-    e = stencil.soft_open(cells(spark, d).withColumn("p", sigmoid(logit())), "p", SAMPLE, "v", "dy", "dx")
+    e = stencil.soft_open(cells(spark, d).withColumn("p", sigmoid(logit())), "p", SAMPLE, "v", "dy", "dx", colocate=True)
     return e.select(*TILE_PX, F.round("v", 6).alias("v"))
 
 
 @query("q_skeleton", f"WITH {CELLS}, {skeleton_sql('sc', 'p', 'v', 'k', 3)} SELECT source_id,y0,x0,dy,dx,round(v,6) AS v FROM k")
 def q_skeleton(spark, d):
-    e = stencil.soft_skeleton(cells(spark, d).withColumn("p", sigmoid(logit())), "p", SAMPLE, 3, "v", y="dy", x="dx")
+    e = stencil.soft_skeleton(cells(spark, d).withColumn("p", sigmoid(logit())), "p", SAMPLE, 3, "v", y="dy", x="dx", colocate=True)
     return e.select(*TILE_PX, F.round("v", 6).alias("v"))
 
 
@@ -340,3 +340,37 @@ def packed_logits(spark, d):
 @query("q_evaluate_losses_packed", EVERY)
 def q_evaluate_losses_packed(spark, d):
     return losses.evaluate_losses_packed(packed_logits(spark, d), SPECS, SAMPLE).select("loss", F.round("value", 6).alias("value"))
+
+
+@query("q_dice_iou_patch_packed", f"WITH {TILE_SUMS} SELECT source_id, y0, x0, round(dice,6) AS dice, round(iou,6) AS iou FROM scored")
+def q_dice_iou_patch_packed(spark, d):
+    scored = metrics.dice_iou_packed(packed_logits(spark, d), SAMPLE)
+    return scored.select(*SAMPLE, F.round("dice", 6).alias("dice"), F.round("iou", 6).alias("iou"))
+
+
+def _stencil_packed(spark, d, what):
+    tiles = packed_logits(spark, d).withColumn("p", F.transform("logits", sigmoid))
+    done = stencil.stencil_packed(tiles, "p", what, "v")
+    cell = done.select(*SAMPLE, F.posexplode("v").alias("i", "v"))
+    side = F.lit(P)
+    return cell.select(*SAMPLE, F.floor(F.col("i") / side).cast("int").alias("dy"), (F.col("i") % side).cast("int").alias("dx"), F.round("v", 6).alias("v"))
+
+
+@query("q_erode_packed", f"WITH {CELLS}, {erode_sql('sc', 'p', 'v', 'e')} SELECT source_id,y0,x0,dy,dx,round(v,6) AS v FROM e")
+def q_erode_packed(spark, d):
+    return _stencil_packed(spark, d, "erode")
+
+
+@query("q_dilate_packed", f"WITH {CELLS}, {dilate_sql('sc', 'p', 'v', 'e')} SELECT source_id,y0,x0,dy,dx,round(v,6) AS v FROM e")
+def q_dilate_packed(spark, d):
+    return _stencil_packed(spark, d, "dilate")
+
+
+@query("q_open_packed", f"WITH {CELLS}, {erode_sql('sc', 'p', 'w', 'e')}, {dilate_sql('e', 'w', 'v', 'f')} SELECT source_id,y0,x0,dy,dx,round(v,6) AS v FROM f")
+def q_open_packed(spark, d):
+    return _stencil_packed(spark, d, "open")
+
+
+@query("q_skeleton_packed", f"WITH {CELLS}, {skeleton_sql('sc', 'p', 'v', 'k', 3)} SELECT source_id,y0,x0,dy,dx,round(v,6) AS v FROM k")
+def q_skeleton_packed(spark, d):
+    return _stencil_packed(spark, d, "skeleton")
