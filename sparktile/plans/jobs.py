@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import extension, stem
+from ..functions.paths import stem
 from ..operators import annotations as ann
 from ..operators import patch_stats, scoring, splits, tiling, transforms
 from ..operators.pairing import IMAGE_EXTENSIONS, pair_diagnostics
@@ -91,7 +91,8 @@ def segment(images: DataFrame, make_predict, cfg: Config) -> DataFrame:
     tiles = tiling.cut_tiles(images, cfg.patch_size, cfg.step)
     samples = transforms.eval_transform(tiles, cfg.augmentations, cfg.image_size)
     scores = scoring.score_tiles(samples, make_predict, cfg.image_size or cfg.patch_size, cfg.batch_size)
-    scores = scoring.resize_scores(scores, cfg.patch_size)
+    if cfg.image_size not in (None, cfg.patch_size):  # else every map has the tile's size and stays in the JVM
+        scores = scoring.resize_scores(scores, cfg.patch_size)
     blocks = scoring.stitch_packed(scores, images, cfg.block, cfg.patch_size, cfg.step)
     return scoring.render_blocks(blocks, images, cfg.threshold, cfg.block)
 
@@ -99,23 +100,24 @@ def segment(images: DataFrame, make_predict, cfg: Config) -> DataFrame:
 def segment_images(spark: SparkSession, path: str, make_predict, cfg: Config) -> DataFrame:
     """Batch inference over an image file or a folder of images; see ``segment`` for the result."""
     files.require_rows(files.list_images(spark, path, cfg.image_extensions), "input images")
-    images = files.read_images(spark, path)
-    if not files.is_file(spark, path):
-        images = images.where(extension(F.col("source_id")).isin([e.lower() for e in cfg.image_extensions]))
+    images = files.read_images(spark, path, exts=None if files.is_file(spark, path) else cfg.image_extensions)
     return segment(files.decode_rgb(images), make_predict, cfg)
 
 
 def write_segmentation(blocks: DataFrame, out: str, save_probabilities: bool = False) -> int:
     """<stem>_mask.png, <stem>_overlay.png and optionally <stem>_prob.png per image; the number of images.
 
-    The blocks are stored once in shared storage, so the model runs once for all three files.
+    The blocks are stored once in shared storage, so the model runs once for all three files. Of images with one stem the
+    last by name is written, as if files were written in that order.
     """
     from ..session import scratch_path
 
     spark = blocks.sparkSession
     stored = scratch_path(spark, "blocks")
     blocks.write.parquet(stored)
-    whole = scoring.assemble(spark.read.parquet(stored)).withColumn("stem", stem(F.col("source_id")))
+    kept = spark.read.parquet(stored)
+    last = kept.groupBy(stem(F.col("source_id")).alias("stem")).agg(F.max("source_id").alias("source_id"))
+    whole = scoring.assemble(kept.join(last.select("source_id"), "source_id", "left_semi")).withColumn("stem", stem(F.col("source_id")))
     n = sinks.write_rasters(whole, out, "mask")
     sinks.write_rasters(whole, out, "overlay")
     if save_probabilities:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.paths import extension, file_name, stem
+from ..functions.paths import file_name, stem
 from ..functions.pixels import LUMA_SHIFT, LUMA_WEIGHTS
-from ..operators.pairing import IMAGE_EXTENSIONS, dedupe_stems, select_images, with_names
+from ..operators.pairing import IMAGE_EXTENSIONS, pair_images_masks, select_images, with_names
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -64,12 +64,20 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
-def read_images(spark: SparkSession, path: str, drop_invalid: bool = False) -> DataFrame:
+def extension_glob(exts) -> str:
+    """File-name pattern for extensions in any case, which the reader applies before it opens a file."""
+    each = ["*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in exts]
+    return "{" + ",".join(each) + "}"
+
+
+def read_images(spark: SparkSession, path: str, drop_invalid: bool = False, exts=None) -> DataFrame:
     """Decoded rasters: source_id, stem, width, height, channels, data (BGR or grey bytes).
 
-    A file that does not decode has width and height -1, or is left out with ``drop_invalid``.
+    A file that does not decode has width and height -1, or is left out with ``drop_invalid``. With ``exts`` only files
+    with these extensions are opened.
     """
-    raw = spark.read.format("image").option("dropInvalid", str(drop_invalid).lower()).load(path).select("image.*")
+    reader = spark.read.format("image").option("dropInvalid", str(drop_invalid).lower())
+    raw = (reader.option("pathGlobFilter", extension_glob(exts)) if exts else reader).load(path).select("image.*")
     # origin is a URI: undo its percent escapes, in which a plus sign stands for itself
     name = file_name(F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B"))))
     return raw.select(
@@ -132,17 +140,15 @@ def image_records(pairs: DataFrame, images: DataFrame, drop_invalid: bool = Fals
 def load_pairs(spark: SparkSession, images_dir: str, masks_dir: str, exts=IMAGE_EXTENSIONS, drop_invalid: bool = False) -> DataFrame:
     """Matched pairs with payload: source_id, stem, width, height, image, mask.
 
-    Mask and image must agree in size and be readable. Both payloads meet in one shuffle on the stem; write the
-    result to Parquet once and let every later job start from there.
+    Mask and image must agree in size and be readable. Listings are paired first, by name alone, so a payload without a
+    partner never enters the one shuffle in which both payloads meet on the stem. Write the result to Parquet once and
+    let every later job start from there.
     """
-    def older(listing):
-        """Files that a later one of the same stem replaces."""
-        return listing.join(dedupe_stems(listing), ["stem", "path"], "left_anti").select("source_id")
-
-    wanted = extension(F.col("source_id")).isin([e.lower() for e in exts])
-    image_files, mask_files = list_images(spark, images_dir, exts), list_masks(spark, masks_dir)
-    images = read_images(spark, images_dir).where(wanted).join(older(image_files), "source_id", "left_anti")
-    masks = read_images(spark, masks_dir).join(older(mask_files), "source_id", "left_anti")
+    pairs = pair_images_masks(list_images(spark, images_dir, exts), list_masks(spark, masks_dir))
+    wanted = pairs.select("source_id")
+    partners = pairs.select(file_name(F.col("mask_path")).alias("source_id"))
+    images = read_images(spark, images_dir, exts=exts).join(wanted, "source_id", "left_semi")
+    masks = read_images(spark, masks_dir).join(partners, "source_id", "left_semi")
     # decoding comes after the join, so files without a partner are neither converted nor checked
     swap = {"width": "mask_width", "height": "mask_height", "channels": "mask_channels", "data": "mask_data", "source_id": "mask_id"}
     both = images.join(masks.withColumnsRenamed(swap), "stem")
