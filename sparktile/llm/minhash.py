@@ -168,6 +168,27 @@ def full_sets(records: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return wanted.join(sets, "set_key").groupBy("class_no").agg(F.first("shingles").alias("shingles"))
 
 
+def positional_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(class_no, component, shingles) to the pairs (a, b) of different components that may reach the similarity.
+
+    Exact prefix and position rules on the full sets: in the order of frequency, a linked pair shares one of the first
+    n - ceil(n * percent / 100) + 1 shingles of both, and what is left behind that place must hold the rest of the overlap.
+    A text with many shingles of its own has them in front, so it pairs with nothing, however large its list is.
+    """
+    each = members.select("class_no", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    df = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    ordered = each.join(df, "s").groupBy("class_no").agg(
+        F.first("component").alias("component"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "s"))).alias("ts")
+    )
+    front = F.slice("ts", F.lit(1), F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1)
+    posted = ordered.select("class_no", "component", "n", F.posexplode(front).alias("k", "t")).where("t.df > 1")
+    left = posted.select(F.col("t.s").alias("s"), F.col("class_no").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("k").alias("ka"))
+    right = posted.select(F.col("t.s").alias("s"), F.col("class_no").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("k").alias("kb"))
+    room = F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb")) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
+    rule = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & room
+    return left.join(right, (left["s"] == right["s"]) & rule).select("a", "b").distinct()
+
+
 def near_duplicates(
     records: DataFrame, shingle: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int | None = None,
 ) -> DataFrame:
@@ -181,8 +202,8 @@ def near_duplicates(
     class is posted under the rarest ``coordinates - matches + 1`` only (two classes that agree on ``matches`` coordinates must
     meet there, so frequent passages rarely pair anything).  Lists merge around leaders: every member meets three leaders of its
     list; agreeing coordinates are counted, pairs below ``matches`` dropped, and the rest confirmed on the full sets.  Members that
-    a component already joins are skipped; only members of one list in different components meet in a second merge, so no
-    group is expanded into all its pairs.
+    a component already joins are skipped; only members of one list in different components meet in a second merge, under
+    prefix and position rules on their full sets, so no group is expanded into all its pairs.
 
     Links between classes agreeing on fewer coordinates than ``matches`` are lost; the default lies 4.9 standard deviations below
     the expected number at ``percent`` (28 of 48 at 85, 24 at 80), about one link in a million right at the threshold and fewer
@@ -221,37 +242,37 @@ def near_duplicates(
     led = prefix.select("token", "class_no").join(leaders, "token").select("class_no", F.explode(F.array_distinct(F.array("l0", "l1", "l2"))).alias("other"))
     first = led.where("class_no <> other").select(F.least("class_no", "other").alias("a"), F.greatest("class_no", "other").alias("b")).distinct()
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Links among candidate pairs: enough agreeing coordinates, then the full sets."""
-        sig = classes.select("class_no", "signature", "n")
-        side = lambda c: sig.select(F.col("class_no").alias(c), F.col("signature").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
-        agree = F.size(F.array_intersect("sa", "sb")) >= matches
-        fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        close = keep(pairs.join(side("a"), "a").where(F.col("na") > 0).join(side("b"), "b").where(fits & agree).select("a", "b"), "close-pairs")
-        wanted = close.select(F.explode(F.array("a", "b")).alias("class_no")).distinct().join(classes.select("class_no", "set_key"), "class_no")
-        sets = keep(full_sets(records, wanted, shingle), "shingle-sets")
-        both = close.join(sets.select(F.col("class_no").alias("a"), F.col("shingles").alias("xa")), "a").join(
+    def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Pairs whose full sets are similar enough."""
+        both = pairs.join(sets.select(F.col("class_no").alias("a"), F.col("shingles").alias("xa")), "a").join(
             sets.select(F.col("class_no").alias("b"), F.col("shingles").alias("xb")), "b"
         )
         common = F.size(F.array_intersect("xa", "xb"))
-        return keep(both.select("a", "b", common.alias("i"), (F.size("xa") + F.size("xb") - common).alias("u")).where(100 * F.col("i") >= percent * F.col("u")).select("a", "b"), "links")
-
-    links = confirmed(first)
+        sized = both.select("a", "b", common.alias("i"), (F.size("xa") + F.size("xb") - common).alias("u"))
+        return keep(sized.where(100 * F.col("i") >= percent * F.col("u")).select("a", "b"), "links")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return keep(full_sets(records, wanted.join(classes.select("class_no", "set_key"), "class_no"), shingle), "shingle-sets")
+
+    sig = classes.select("class_no", "signature", "n")
+    side = lambda c: sig.select(F.col("class_no").alias(c), F.col("signature").alias(f"s{c}"), F.col("n").alias(f"n{c}"))
+    agree = F.size(F.array_intersect("sa", "sb")) >= matches
+    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    close = keep(first.join(side("a"), "a").join(side("b"), "b").where(fits & agree).select("a", "b"), "close-pairs")
+    links = linked(close, sets_of(close.select(F.explode(F.array("a", "b")).alias("class_no")).distinct()))
     joined = connected_components(links)
-    # members of one list that are still apart: their pairs have not been told by a leader
+    # members of one list that are still apart: what a leader could not tell
     placed = prefix.select("token", "class_no").join(joined.select(F.col("node").alias("class_no"), "component"), "class_no", "left").select(
         "token", "class_no", F.coalesce("component", "class_no").alias("component")
     )
     apart = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    loose = keep(placed.join(apart, "token"), "loose")
-    left = loose.select("token", F.col("class_no").alias("a"), F.col("component").alias("ca"))
-    right = loose.select("token", F.col("class_no").alias("b"), F.col("component").alias("cb"))
-    second = keep(
-        left.join(right, "token").where("a < b and ca <> cb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "second-pairs"
-    )
-    if not second.isEmpty():
-        links = keep(links.union(confirmed(second)), "all-links")
-        joined = connected_components(links)
+    loose = keep(placed.join(apart, "token").select("class_no", "component").distinct(), "loose")
+    if not loose.isEmpty():
+        sets = sets_of(loose.select("class_no"))
+        second = keep(positional_pairs(sets.join(loose, "class_no"), percent), "second-pairs")
+        if not second.isEmpty():
+            links = keep(links.union(linked(second, sets)).distinct(), "all-links")
+            joined = connected_components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("class_no")).groupBy("class_no").agg(F.count(F.lit(1)).alias("n_links"))
     member = (
         classes.select("class_no", "set_key", "rep").join(joined.withColumnRenamed("node", "class_no"), "class_no", "left")
