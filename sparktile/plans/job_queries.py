@@ -161,3 +161,64 @@ def q_loss_history(spark, d):
     pixels, _ = _training(spark, d)
     near = models.neighbourhood(pixels, ["z"], ["source_id"])
     return models.loss_history(models.default_estimator([*FEATURES, "z_max", "z_min"], "label", 5).fit(near))
+
+
+def _coco_folder(spark, d):
+    """The annotated orders as export folders: one document per batch, beside it an image folder with one file."""
+    root = scratch_path(spark, "coco")
+    images = t.coco_images(spark, d)
+    shapes = t.coco_polygons(spark, d).join(images.select("image_id", "batch"), "image_id")
+    listed = images.groupBy("batch").agg(F.collect_list(F.struct(F.col("image_id").alias("id"), "file_name", "width", "height")).alias("images"))
+    drawn = shapes.groupBy("batch").agg(
+        F.collect_list(F.struct("image_id", "category_id", F.col("polygons").alias("segmentation"))).alias("annotations")
+    )
+    categories = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(n).alias("name")) for i, n in ((1, "old"), (2, "hypha"), (1, "Inoculum"))])
+    docs = listed.join(drawn, "batch").select("batch", F.to_json(F.struct(categories.alias("categories"), "images", "annotations")).alias("doc"))
+    folder = sinks.task_folder(spark, root)
+
+    def write(frames):
+        from pyarrow import fs as pafs
+
+        for pdf in frames:
+            for batch, doc in zip(pdf.batch, pdf.doc):
+                store, base = pafs.FileSystem.from_uri(folder)
+                for below, name, body in (("annotations", "instances_default.json", doc.encode()), ("images/default", "img_0.jpg", b"x")):
+                    store.create_dir(f"{base}/{batch}/{below}", recursive=True)
+                    sinks.put_file(f"{folder}/{batch}/{below}", name, body)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    docs.mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    return root
+
+
+@query("q_coco_export", f"""WITH {t.COCO_SQL}, s AS (SELECT image_id, CAST(count(*) AS BIGINT) AS fg, CAST(sum(y*64+x) AS BIGINT) AS moment FROM coco_fg GROUP BY 1)
+SELECT batch, image_id, coalesce(fg, 0) AS fg, coalesce(moment, 0) AS moment FROM coco_images LEFT JOIN s USING (image_id)""")
+def q_coco_export(spark, d):
+    """Export documents written, read back, typed and painted: the label export up to its rasters."""
+    from ..sources.coco import read_coco_exports
+
+    masks = jobs.export_masks(*read_coco_exports(spark, _coco_folder(spark, d)))
+
+    @pandas_udf("fg long, moment long")
+    def sums(mask: pd.Series) -> pd.DataFrame:
+        at = [np.flatnonzero(np.frombuffer(m, np.uint8)) for m in mask]
+        return pd.DataFrame({"fg": [len(a) for a in at], "moment": [int(a.sum()) for a in at]})
+
+    return masks.select("batch", "image_id", sums("mask").alias("s")).select("batch", "image_id", "s.*")
+
+
+@query("q_fold_errors", """WITH n AS (SELECT count(DISTINCT vec_id//16) AS have FROM embeddings), a(n_splits) AS (VALUES (0), (1), (2), (5), (1000000))
+SELECT CAST(n_splits AS INTEGER) AS n_splits, CASE WHEN n_splits < 2 THEN 'n_splits must be at least 2'
+ WHEN have < n_splits THEN n_splits||' folds need at least as many groups, found '||have ELSE 'ok' END AS verdict FROM a, n""")
+def q_fold_errors(spark, d):
+    """What the checks of grouped folds say about the images of the table."""
+    groups = splits.distinct_groups(t.px_images(spark, d))
+
+    def verdict(n):
+        try:
+            splits.check_folds(groups, n)
+            return "ok"
+        except ValueError as e:
+            return str(e)
+
+    return spark.createDataFrame([(n, verdict(n)) for n in (0, 1, 2, 5, 1_000_000)], "n_splits int, verdict string")
