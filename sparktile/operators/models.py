@@ -13,16 +13,16 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from . import metrics, runs, stencil
 
 
 def neighbourhood(pixels: DataFrame, bands: list[str], sample: list[str], y: str = "y", x: str = "x") -> DataFrame:
-    """Add <band>_max and <band>_min over each pixel's neighbours, as extra features."""
-    out = pixels  # whole images: windows on single lines, so that a huge image is not one task's work
-    for b in bands:
-        out = stencil.soft_dilate(out, b, sample, f"{b}_max", y, x, colocate=False)
-        out = stencil.soft_erode(out, b, sample, f"{b}_min", y, x, colocate=False)
-    return out
+    """Add <band>_max and <band>_min over each pixel's neighbours, as extra features.
+
+    Windows run on single lines, so that a huge image is not one task's work, and all bands share them.
+    """
+    return stencil.soft_extremes(pixels, bands, sample, y, x)
 
 
 def default_estimator(features: list[str], label: str, max_iter: int = 20, reg: float = 0.0) -> Pipeline:
@@ -62,10 +62,14 @@ def fit_pixel_model(
 
     ``settings`` are keyword sets for ``default_estimator`` (one per epoch number). Returns the
     best model per fold and the metric log. Each fit is a distributed job; the loop covers
-    folds and settings only.
+    folds and settings only. The pixels and their features are written once under
+    ``spark.checkpoint.dir`` and every fit reads them from there.
     """
     runs.check_mode(mode)
     spark, sample = pixels.sparkSession, sample or ["source_id"]
+    stored = scratch_path(spark, "fit-pixels")
+    pixels.write.parquet(stored)
+    pixels = spark.read.parquet(stored)
     settings = settings or [{}]
     folds = sorted(r.fold for r in splits.select("fold").distinct().collect())
     best, rows = {}, []

@@ -71,6 +71,12 @@ def soft_open(df: DataFrame, v: str, sample: list[str], out: str = "opened", y:
     return df.withColumnRenamed(v + "_e_out", out).drop(v + "_e")
 
 
+def soft_extremes(df: DataFrame, values: list[str], sample: list[str], y: str = "y", x: str = "x") -> DataFrame:
+    """Add <value>_max (3x3) and <value>_min (plus shape) for several columns at once: one window per axis and kind serves all."""
+    df = _dilate(df, values, sample, "_max", y, x)
+    return _erode(df, values, sample, "_min", y, x)
+
+
 def soft_skeletons(df: DataFrame, values: dict[str, str], sample: list[str], iterations: int = 3, y: str = "y", x: str = "x", colocate: bool = False) -> DataFrame:
     """Soft skeleton of several value columns at once; ``values`` maps input to output name.
 

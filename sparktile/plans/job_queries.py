@@ -163,6 +163,24 @@ def q_loss_history(spark, d):
     return models.loss_history(models.default_estimator([*FEATURES, "z_max", "z_min"], "label", 5).fit(near))
 
 
+@query("q_loss_start", f"""WITH {t.PX_SQL}, s AS (SELECT avg(CAST(m>127 AS INTEGER)) AS p FROM px)
+SELECT CAST(0 AS INTEGER) AS iteration, round(-(p*ln(p) + (1-p)*ln(1-p)), 5) AS loss FROM s""")
+def q_loss_start(spark, d):
+    """The fit starts from the share of the classes, so its first loss is their entropy."""
+    pixels, _ = _training(spark, d)
+    history = models.loss_history(models.default_estimator(FEATURES, "label", 2).fit(pixels))
+    return history.where("iteration = 0").withColumn("loss", F.round("loss", 5))
+
+
+@query("q_neighbourhood", f"""WITH {t.PX_SQL}, n AS (SELECT a.source_id, a.y, a.x, max(b.m) AS hi,
+  min(CASE WHEN a.y=b.y OR a.x=b.x THEN b.m END) AS lo FROM px a JOIN px b ON b.source_id=a.source_id AND abs(b.y-a.y)<=1 AND abs(b.x-a.x)<=1 GROUP BY 1,2,3)
+SELECT source_id, y, x, hi AS m_max, lo AS m_min FROM n""")
+def q_neighbourhood(spark, d):
+    """Features from each pixel's neighbours."""
+    near = models.neighbourhood(t.px(spark, d).select("source_id", "y", "x", "m"), ["m"], ["source_id"])
+    return near.select("source_id", "y", "x", "m_max", "m_min")
+
+
 def _coco_folder(spark, d):
     """The annotated orders as export folders: one document per batch, beside it an image folder with one file."""
     root = scratch_path(spark, "coco")
