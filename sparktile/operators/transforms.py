@@ -82,6 +82,58 @@ def to_chw(tiles: DataFrame, side: int, bands=BANDS) -> DataFrame:
     return tiles.select("source_id", "y0", "x0", F.inline(entries))
 
 
+def _reader(offset, pixel, last: int):
+    """Whether the place at hand reads ``pixel`` at ``offset`` once its index is mirrored into 0..last."""
+
+    def reads(place):
+        at = place + offset
+        return (place >= 0) & (place <= last) & (F.when(at < 0, -at).when(at > last, 2 * last - at).otherwise(at) == pixel)
+
+    return reads
+
+
+def _spread(tiles: DataFrame, keys: list[str], axes: list[str], kernel: np.ndarray, side: int, bands) -> DataFrame:
+    """Weighted sum of neighbours with a mirrored border, as a scatter: every pixel goes to the places that read it.
+
+    ``kernel`` has one dimension per axis. The sums combine map-side; a place gets at most as many rows as the kernel has taps.
+    """
+    last = side - 1
+    targets = F.array(*[
+        F.struct(F.lit(float(kernel[at])).alias("w"), *[F.lit(int(o) - n // 2).alias(f"o{i}") for i, (o, n) in enumerate(zip(at, kernel.shape))])
+        for at in map(tuple, np.argwhere(kernel))
+    ])
+    out = tiles.withColumn("_t", F.explode(targets))
+    for i, axis in enumerate(axes):
+        # place p reads pixel q at offset o when p + o, mirrored at both ends, is q
+        o, q = F.col(f"_t.o{i}"), F.col(axis)
+        places = F.array_distinct(F.array(q - o, -q - o, 2 * last - q - o))
+        out = out.withColumn(f"_p{i}", F.explode(F.filter(places, _reader(o, q, last))))
+    moved = [F.col(f"_p{i}").cast("int").alias(a) for i, a in enumerate(axes)]
+    others = [k for k in keys if k not in axes]
+    return out.groupBy(*others, *moved).agg(*[F.sum(F.col("_t.w") * F.col(b)).alias(b) for b in bands])
+
+
+def _blurred(tiles: DataFrame, sample: list[str], blurred: DataFrame, bands) -> DataFrame:
+    """Blurred bands, rounded to bytes, with the untouched columns of ``tiles``."""
+    keys = [*sample, "dy", "dx"]
+    rest = tiles.select(*keys, *[c for c in tiles.columns if c not in keys and c not in bands])
+    return blurred.select(*keys, *[F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.col(b) + 0.5))).cast("int").alias(b) for b in bands]).join(rest, keys)
+
+
+def gaussian_blur_long(tiles: DataFrame, sample: list[str], side: int, size: int, sigma: float, bands=BANDS) -> DataFrame:
+    """Gaussian blur of dense long tiles, one axis after the other."""
+    taps, keys = kernels.gaussian_taps(size, sigma), [*sample, "dy", "dx"]
+    rows = _spread(tiles.select(*keys, *bands), keys, ["dy"], taps, side, bands)
+    return _blurred(tiles, sample, _spread(rows, keys, ["dx"], taps, side, bands), bands)
+
+
+def defocus_long(tiles: DataFrame, sample: list[str], side: int, radius: int, alias_blur: float = 0.0, bands=BANDS) -> DataFrame:
+    """Disk blur of dense long tiles."""
+    keys = [*sample, "dy", "dx"]
+    kernel = kernels.disk_kernel(radius, alias_blur)
+    return _blurred(tiles, sample, _spread(tiles.select(*keys, *bands), keys, ["dy", "dx"], kernel, side, bands), bands)
+
+
 # --- steps on one packed tile: (image HxWx3 bytes, mask HxW bytes, generator) -> (image, mask) ----
 
 
@@ -121,7 +173,7 @@ def _clahe(image, mask, rng, clip, grid):
 
 
 def _gaussian(image, mask, rng, size, sigma):
-    return kernels.to_u8(kernels.correlate(image, kernels.gaussian_kernel(size, sigma))), mask
+    return kernels.to_u8(kernels.correlate_lines(image, kernels.gaussian_taps(size, sigma))), mask
 
 
 def _defocus(image, mask, rng, radius, alias_blur):

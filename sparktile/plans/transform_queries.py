@@ -133,6 +133,16 @@ def q_defocus(spark, d):
     return tiling.unpack_tiles(transforms.defocus(packed_tiles(spark, d), 2, 0.3))
 
 
+@query("q_gauss_blur_long", _filter_sql(kernels.gaussian_kernel(5, 0.8)))
+def q_gauss_blur_long(spark, d):
+    return transforms.gaussian_blur_long(long_tiles(spark, d), KEY[:3], P, 5, 0.8)
+
+
+@query("q_defocus_long", _filter_sql(kernels.disk_kernel(2, 0.3)))
+def q_defocus_long(spark, d):
+    return transforms.defocus_long(long_tiles(spark, d), KEY[:3], P, 2, 0.3)
+
+
 def _taps_sql(v, n):
     at = f"least({n - 1}.0, greatest(0.0, ({v}+0.5)*0.5-0.5))"
     return f"CAST(floor({at}) AS INTEGER)", f"CAST(least({n - 1}, floor({at})+1) AS INTEGER)", f"({at}-floor({at}))"
