@@ -232,7 +232,7 @@ def test_suffix_order_and_prefixes(bound):
         strings += strings[:1] * (case % 3)
         most = rng.choice([3, 50])
         with tempfile.TemporaryDirectory() as folder:
-            sorter = ShardSorter(folder, most, bound)
+            sorter = ShardSorter(folder, most, bound, in_memory=bound)
             text = sorter.text_of(iter(strings), sum(len(s) + 1 for s in strings))
             blocks = list(sorter.sort(text))
         got, common = np.concatenate([p for p, _ in blocks]).tolist(), np.concatenate([c for _, c in blocks]).tolist()
