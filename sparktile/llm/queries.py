@@ -300,7 +300,27 @@ def op4_minhash(spark, sf_dir):
     return found.select(F.col("source_id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
-@query("op8_suffix_dedup")
+OP8_SQL = r"""
+with t as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (
+  select doc_id, i, substr(h, 2 * i + 1, 100) as s
+  from (select doc_id, h, unnest(generate_series(0, len(h) // 2 - 50)) as i from t where len(h) >= 100)
+), m as (select s, min(doc_id) as first from w group by s),
+g as (select w.doc_id, w.i, lag(w.i) over (partition by w.doc_id order by w.i) as before from w join m on m.s = w.s where m.first < w.doc_id),
+k as (select doc_id, i, sum(case when before is null or i > before + 50 then 1 else 0 end) over (partition by doc_id order by i rows unbounded preceding) as grp from g),
+sp as (select doc_id, min(i) as a, max(i) + 50 as b from k group by doc_id, grp),
+r as (select *, lag(b, 1, 0) over (partition by doc_id order by a) as before from sp),
+kept as (
+  select r.doc_id, sum(b - a) as n, count(*) as spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) as rest
+  from r join t on t.doc_id = r.doc_id group by r.doc_id
+)
+select t.doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(n, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans,
+  sha256(unhex(coalesce(rest, h))) as kept_sha256
+from t left join kept on kept.doc_id = t.doc_id
+"""
+
+
+@query("op8_suffix_dedup", OP8_SQL)
 def op8_suffix_dedup(spark, sf_dir):
     records = documents(spark, sf_dir).select("source_id", F.col("text").alias("payload"))
     cut = remove_repeats(records, 50)
