@@ -16,7 +16,7 @@ HEADLINE = [
     "q_coco_polygon", "q_coco_rle", "q_coco_painted", "q_coco_prefix", "q_hflip", "q_gauss_blur", "q_augment",
     "q_eval_transform", "q_score_tiles", "q_stitch", "q_stitch_packed", "q_overlay", "q_dice_iou_patch",
     "q_dice_iou_image", "q_dice_iou_image_packed", "q_skeleton", "q_evaluate_losses", "q_evaluate_losses_packed",
-    "q_best_epoch", "q_running_best", "q_plateau", "q_cv_summary", "q_segment_images",
+    "q_dice_iou_patch_packed", "q_skeleton_packed", "q_best_epoch", "q_running_best", "q_plateau", "q_cv_summary", "q_segment_images",
 ]
 
 
