@@ -104,11 +104,8 @@ def format_conversations(turns: DataFrame, costs: PartCosts = PartCosts()) -> Da
     )
     head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(BODY))
     body = F.array_join(F.transform("parts", lambda p: p["written"]), "")
-    files = F.transform(
-        F.filter(F.transform("parts", lambda p, i: F.struct(i.alias("part"), p["kind"].alias("kind"), p["source_id"].alias("source_id"), p["tokens"].alias("tokens"))),
-                 lambda p: p["kind"].isin("image", "audio", "document")),
-        lambda p: p,
-    )
+    numbered = F.transform("parts", lambda p, i: F.struct(i.alias("part"), *[p[c].alias(c) for c in ("kind", "source_id", "tokens")]))
+    files = F.filter(numbered, lambda p: p["kind"].isin("image", "audio", "document"))
     written = seen.select("conv_id", F.struct("turn", "role", body.alias("body"), F.length(head).alias("head_chars"), F.concat(head, body, F.lit(END)).alias("written"), files.alias("files")).alias("t"))
     grouped = written.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     sized = F.transform("ts", lambda t: F.struct((t["role"] == "assistant").alias("learn"), t["head_chars"].alias("head"), F.length(t["body"]).alias("body"), F.length(t["written"]).alias("all")))
@@ -131,10 +128,11 @@ def format_conversations(turns: DataFrame, costs: PartCosts = PartCosts()) -> Da
 
 def parse_conversations(formatted: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss_spans) back to ``turns`` array<struct<role,text>> and ``loss_texts`` array<string>, unescaped."""
-    pieces = F.slice(F.split("formatted", r"<\|end\|>"), 1, F.size(F.split("formatted", r"<\|end\|>")) - 1)
+    cut = F.split("formatted", r"<\|end\|>")
+    pieces = F.slice(cut, 1, F.size(cut) - 1)
 
     def turn(piece: Column) -> Column:
-        at = F.locate(BODY, piece) if isinstance(piece, str) else F.instr(piece, BODY)
+        at = F.instr(piece, BODY)
         role = F.substring(piece, F.lit(len(TURN) + 1), at - 1 - len(TURN))
         return F.struct(unescape(role).alias("role"), unescape(F.substring(piece, at + len(BODY), F.length(piece))).alias("text"))
 

@@ -33,7 +33,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         )
         moved = old.join(near, "node").select("node", F.col("component").alias("before"), F.least("component", "m").alias("c"))
         jump = old.select(F.col("node").alias("c"), F.col("component").alias("j"))
-        labels = moved.join(jump, "c", "left").select(
-            "node", F.least("c", F.coalesce("j", F.col("c"))).alias("component")
-        , (F.least("c", F.coalesce("j", F.col("c"))) < F.col("before")).alias("changed"))
+        least = F.least("c", F.coalesce("j", F.col("c")))
+        labels = moved.join(jump, "c", "left").select("node", least.alias("component"), (least < F.col("before")).alias("changed"))
         step += 1
