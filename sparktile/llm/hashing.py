@@ -9,15 +9,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 
 CHARS_AT_ONCE = 1 << 20
 GAP = 2  # blanks after each slice, so that n-grams of up to three characters do not run into the next
 
 
+def text_session(spark: SparkSession) -> SparkSession:
+    """Ship the package and keep Arrow batches small: a thousand texts or 16 MB, so that long texts do not pile up in workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return ship_package(spark)
+
+
 def sample_rows(rows: DataFrame, strata: str, most: int, keys: tuple[str, ...] = ("source_id", "text")) -> DataFrame:
     """About ``most`` rows of each value of ``strata`` (all, if it has fewer), chosen by a hash of ``keys``.
 

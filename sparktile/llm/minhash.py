@@ -22,7 +22,7 @@ from .graph import connected_components
 
 COORDINATES = 48
 SPREAD = 4.9  # standard deviations below the expected number of agreeing coordinates at which a pair is given up
-BYTES_AT_ONCE = 1 << 21
+BYTES_AT_ONCE = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

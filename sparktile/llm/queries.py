@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.catalog import Query
-from ..session import scratch_path, ship_package
+from ..session import scratch_path
 from .bit_packing import read_token_index, write_token_pages
 from .chat import format_conversations, parse_conversations, text_part
 from .decontamination import find_contamination
+from .hashing import text_session
 from .language_id import fit_language_model, identify_language
 from .minhash import near_duplicates
 from .mixing import mix_batches, word_count
@@ -28,7 +29,7 @@ def query(name: str, sql: str | None = None):
     def register(fn: Query) -> Query:
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(ship_package(spark), sf_dir)
+            return fn(text_session(spark), sf_dir)
 
         QUERIES[name] = run
         if sql is not None:
