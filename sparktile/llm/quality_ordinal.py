@@ -47,7 +47,7 @@ def text_measures(text: str) -> list[float]:
         return [0.0] * EXTRA
     # a deflate window sees repetition within 32 KiB, so one chunk after another keeps memory flat
     packed = sum(len(zlib.compress(raw[i : i + (1 << 16)], 1)) for i in range(0, len(raw), 1 << 16))
-    upper = sum(map(str.isupper, text)) if len(text) < 4096 else len(text) - len(text.translate(_NO_UPPER))
+    upper = len(text) - len(text.translate(_NO_UPPER))
     marks = len(text) - len(text.translate(_NO_SYMBOLS))
     return [
         min(1.0, packed / len(raw)), len(set(words)) / len(words), len(set(lines)) / len(lines), upper / len(text),
@@ -55,7 +55,7 @@ def text_measures(text: str) -> list[float]:
     ]
 
 
-_NO_UPPER = {c: None for c in range(0x250) if chr(c).isupper()}
+_NO_UPPER = {c: None for c in range(0x110000) if chr(c).isupper()}
 _NO_SYMBOLS = {c: None for c in SYMBOLS}
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparktile.llm import toxicity as tox
 from sparktile.llm.language_id import fit_language_model, identify_language
-from sparktile.llm.quality_ordinal import fit_quality, grade_quality
+from sparktile.llm.quality_ordinal import fit_quality, grade_quality, text_measures
 from sparktile.llm.quality_rules import Rule, quality_rules
 from sparktile.llm.queries import QUERIES
 from conftest import SF_DIR
@@ -89,6 +89,13 @@ def test_ordinal_model_grades_in_order(spark):
     assert grade_quality(rows(spark, []), model).count() == 0
 
 
+@pytest.mark.parametrize("word", ["ЖЁЛТЫЙ ", "ΓΡΑΦΗ ", "ԲԱՌ ", "ẠẢẤ ", "LOUD ", "𐐀𐐁 "])
+def test_upper_case_share_does_not_depend_on_length(word):
+    for n in (4095, 4096, 9000):
+        text = (word * n)[:n]
+        assert text_measures(text)[3] == sum(map(str.isupper, text)) / n > 0.6
+
+
 def test_quality_query_separates_labels(spark):
     labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
     got = QUERIES["op1_quality_ordinal"](spark, SF_DIR).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("p")).collect()
