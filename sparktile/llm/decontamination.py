@@ -20,6 +20,7 @@ from ..session import scratch_path
 
 WINDOW = 10
 SIEVE_BITS = 22
+PAIR_BITS = 24
 # bytes of words stay (A-Z folded to lower case); all others separate
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -71,13 +72,26 @@ def term_counts(records: DataFrame, terms: DataFrame) -> DataFrame:
     return terms.join(sums, "term", "left").select("term", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def build_index(records: DataFrame, terms: DataFrame, reach: int, path: str) -> DataFrame:
-    """Action: writes the positional index of ``terms`` over (source_id, row_key, text): one row a record.
+def least_table(led: DataFrame) -> bytes:
+    """2**SIEVE_BITS bytes by hash of a posted term: 0 if there is none, else the smallest ``need`` of its windows."""
+    least = bytearray(1 << SIEVE_BITS)
+    slots = led.groupBy((F.crc32(F.col("term").cast("binary")) % (1 << SIEVE_BITS)).cast("int").alias("s")).agg(F.min("need").alias("need"))
+    for row in slots.toLocalIterator():
+        least[row[0]] = min(255, max(1, row[1]))
+    return bytes(least)
+
+
+def build_index(records: DataFrame, led: DataFrame, reach: int, path: str) -> DataFrame:
+    """Action: writes the positional index of ``led`` (term, words, need) over (source_id, row_key, text): one row a record.
 
     ``postings`` holds (term, position, before, around): the words within ``reach`` of the position travel with it, so other
-    terms' lists are intersected at their offset without reading these (possibly very long) lists.
+    terms' lists are intersected at their offset without reading these (possibly very long) lists.  A place is posted if at least
+    ``need`` different words around it stand in a window that its term leads; two tables of fixed size tell, and their
+    collisions only post more.
     """
-    shared = records.sparkSession.sparkContext.broadcast(sieve(terms))
+    context = records.sparkSession.sparkContext
+    together = led.select("term", F.explode(F.array_distinct("words")).alias("other")).select(F.concat_ws(" ", "term", "other").alias("term"))
+    shared = context.broadcast((least_table(led), sieve(together, PAIR_BITS)))
     posting = T.StructType([
         T.StructField("term", T.StringType()), T.StructField("position", T.LongType()), T.StructField("before", T.IntegerType()),
         T.StructField("around", T.ArrayType(T.StringType())),
@@ -88,18 +102,23 @@ def build_index(records: DataFrame, terms: DataFrame, reach: int, path: str) ->
     ])
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flags, mask = shared.value, (1 << SIEVE_BITS) - 1
+        (least, pairs), mask, pair_mask, crc32 = shared.value, (1 << SIEVE_BITS) - 1, (1 << PAIR_BITS) - 1, zlib.crc32
         for batch in batches:
             sizes, lists = [], []
             for text in batch["text"]:
-                words = words_of(text)
-                lists.append([
-                    {
-                        "term": w.decode("utf-8", "replace"), "position": i, "before": min(i, reach),
-                        "around": [x.decode("utf-8", "replace") for x in words[max(0, i - reach) : i + reach + 1]],
-                    }
-                    for i, w in enumerate(words) if flags[zlib.crc32(w) & mask]
-                ])
+                words, posted = words_of(text), []
+                for i, w in enumerate(words):
+                    code = crc32(w)
+                    need = least[code & mask]
+                    if not need:
+                        continue
+                    around, code = words[max(0, i - reach) : i + reach + 1], crc32(b" ", code)
+                    if need > 1 and sum([pairs[crc32(x, code) & pair_mask] for x in set(around)]) < need:
+                        continue
+                    posted.append({
+                        "term": w.decode("utf-8", "replace"), "position": i, "before": min(i, reach), "around": [x.decode("utf-8", "replace") for x in around],
+                    })
+                lists.append(posted)
                 sizes.append(len(words))
             yield pd.DataFrame({"source_id": batch["source_id"], "row_key": batch["row_key"], "n_words": sizes, "postings": lists})
 
@@ -111,12 +130,13 @@ def find_contamination(records: DataFrame, items: DataFrame, window: int = WINDO
     """(source_id, text) and (item_id, text) to one row per record: ``n_words``, ``n_hit`` (words inside an exact window),
     ``item_ids`` (sorted array of items with exact windows), ``near_items`` (items with proximity matches only) and ``contaminated``.
 
-    Method: positional inverted index.  (1) Count the test terms over all records.  (2) Each window is led by its rarest term;
-    only leading terms are posted, each posting with the words around it, and the index is written under
-    ``spark.checkpoint.dir``.  (3) Windows meet postings in a join on the leading term; the lists of the other terms are
-    intersected at their offsets.  All offsets equal: exact phrase.  At least ``near_share`` of the terms within ``slop``
-    words of their place: proximity match.  The test side enters tasks as a flag table of fixed size (2**22) only; the
-    join itself is a shuffle join with skew handling, or a broadcast if the measured size allows.
+    Method: positional inverted index.  (1) Count the test terms over all records.  (2) Each window is led by as many of its
+    rarest places as a proximity match cannot miss all (three of ten at 0.8); leading terms are posted, each posting with the words
+    around it, and the index is written under ``spark.checkpoint.dir``.  (3) Windows meet postings in a join on the leading
+    term; the lists of the other terms are intersected at their offsets.  All offsets equal: exact phrase.  At least
+    ``near_share`` of the terms within ``slop`` words of their place, wherever the window is laid: proximity match.  The test side
+    enters tasks as tables of fixed size (2**22 and 2**24) only; the join itself is a shuffle join with skew handling, or a
+    broadcast if the measured size allows.
 
     Null texts have no words.  Rows that share source_id and text get equal results; rows with one source_id and different
     texts are told apart; null ids are kept.  Null item ids count as an item named null, left out of ``item_ids``.  Items
@@ -129,25 +149,35 @@ def find_contamination(records: DataFrame, items: DataFrame, window: int = WINDO
     windows = spark.read.parquet(windows_path)
     placed = windows.select("window_id", F.posexplode("words").alias("offset", "term"))
     counts = term_counts(rows, placed.select("term").distinct())
-    rarest = F.min(F.struct("n", "term", "offset")).alias("lead")
-    lead = placed.join(counts, "term").groupBy("window_id").agg(rarest).where(F.col("lead.n") > 0)
+    rarest = F.sort_array(F.collect_list(F.struct("n", "term", "offset")))
+    # of so many places one is among any ``near_share`` of the window; terms that no record has cannot be met
+    fewest = F.ceil(near_share * F.size("places")).cast("int")
+    posted = F.least(F.size("places") - fewest + 1, F.size("places"))
+    lead = (
+        placed.join(counts, "term").groupBy("window_id").agg(rarest.alias("places"))
+        .select("window_id", (F.size("places") - fewest).alias("spare"), F.explode(F.slice("places", 1, posted)).alias("lead")).where(F.col("lead.n") > 0)
+    )
     led_path = scratch_path(spark, "test-leads")
     (
         windows.dropDuplicates(["window_id"]).join(lead, "window_id")
-        .select("item_id", "at", "words", F.col("lead.term").alias("term"), F.col("lead.offset").alias("offset")).write.parquet(led_path)
+        .select(
+            "item_id", "at", "words", F.col("lead.term").alias("term"), F.col("lead.offset").alias("offset"),
+            (F.size(F.array_distinct("words")) - F.col("spare")).alias("need"),
+        ).write.parquet(led_path)
     )
     led = spark.read.parquet(led_path)
-    index = build_index(rows, led.select("term").distinct(), window - 1 + slop, scratch_path(spark, "token-index"))
+    index = build_index(rows, led, window - 1 + 2 * slop, scratch_path(spark, "token-index"))
     postings = index.where(F.size("postings") > 0).select("row_key", F.explode("postings").alias("p")).select("row_key", "p.*")
-    met = postings.join(led, "term")
-    first = F.col("before") - F.col("offset")  # place in ``around`` at which the window would start
-    exact = (first >= 0) & (F.slice("around", F.greatest(first, F.lit(0)) + 1, F.size("words")) == F.col("words"))
+    # the posted term may itself be up to ``slop`` words off its place
+    met = postings.join(led, "term").withColumn("shift", F.explode(F.sequence(F.lit(-slop), F.lit(slop))))
+    first = F.col("before") - F.col("offset") + F.col("shift")  # place in ``around`` at which the window would start
+    exact = (F.col("shift") == 0) & (first >= 0) & (F.slice("around", F.greatest(first, F.lit(0)) + 1, F.size("words")) == F.col("words"))
     within = F.size(F.filter(
         F.transform("words", lambda w, j: F.array_contains(F.slice("around", F.greatest(first + j - slop, F.lit(0)) + 1, F.greatest(F.least(F.lit(2 * slop + 1), first + j + slop + 1), F.lit(0))), w)),
         lambda x: x,
     ))
     judged = met.select(
-        "row_key", "item_id", (F.col("position") - F.col("offset")).alias("start"), F.size("words").alias("length"), exact.alias("exact"),
+        "row_key", "item_id", (F.col("position") - F.col("offset") + F.col("shift")).alias("start"), F.size("words").alias("length"), exact.alias("exact"),
         (within >= near_share * F.size("words")).alias("near"),
     ).where(F.col("exact") | F.col("near"))
     spans = judged.where("exact").groupBy("row_key", "start").agg(F.max("length").alias("length"))

@@ -196,6 +196,50 @@ def test_proximity_matches(spark):
     assert got[1]["near_items"] == ["1"] and not got[1]["contaminated"] and got[2]["item_ids"] == ["1"] and got[3]["near_items"] == []
 
 
+def brute_near(texts, items, n=10, slop=2, share=0.8):
+    """Items that some window, laid anywhere, meets with ``share`` of its terms within ``slop`` words, and none exactly."""
+    exact, out = {repr((k, t)): found for (k, t), (_, _, _, found) in zip(texts, brute_contamination(texts, items, n))}, []
+    for key, t in texts:
+        ws, near = words_of(t), set()
+        for item, body in items:
+            all_words = words_of(body)
+            for at in range(max(1, len(all_words) - n + 1)) if all_words else ():
+                window = all_words[at : at + n]
+                for s in range(-n - slop, len(ws) + slop):
+                    held = sum(w in ws[max(0, s + j - slop) : max(0, s + j + slop + 1)] for j, w in enumerate(window))
+                    if held >= share * len(window):
+                        near.add(str(item))
+        out.append((key, sorted(near - set(exact[repr((key, t))]))))
+    return out
+
+
+def test_proximity_matches_without_the_rarest_word(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    words = item.split()
+    texts = [(100 + k, " ".join(w for w in words if w != words[k])) for k in range(10)]  # every word is met somewhere
+    swapped = lambda *ks: " ".join(f"miss{k}" if k in ks else w for k, w in enumerate(words))
+    texts += [(k, swapped(k)) for k in range(10)] + [(20, swapped(0, 9)), (21, swapped(1, 2, 6))]
+    rng = random.Random(8)
+    lexicon = ["the", "of", "a", "to", "in"] * 3 + [f"w{i}" for i in range(25)]
+    long = " ".join(rng.choices(lexicon, k=16))
+    items = [(1, item), (2, long), (3, "short item here only now"), (4, "the the of"), (5, "nowhere met alpha words stand apart of each other here too")]
+    for k in range(40):
+        changed = rng.choices(lexicon, k=4) + long.split() + rng.choices(lexicon, k=4)
+        for _ in range(rng.randrange(6)):
+            place = rng.randrange(len(changed))
+            changed[place : place + rng.randrange(2)] = [rng.choice(lexicon)] * rng.randrange(3)
+        texts.append((200 + k, " ".join(changed)))
+    texts += [(300, "short thing here only now"), (301, "now only here item short"), (302, "only now and short item")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = find_contamination(rows(spark, texts), benchmark).select("source_id", "near_items").collect()
+    assert sorted(map(tuple, got)) == sorted(brute_near(texts, items))
+    found = dict(map(tuple, got))
+    assert all(found[k] == ["1"] for k in range(10)) and found[20] == ["1"] and found[21] == []
+    # the rarest word is in no text at all
+    alone = find_contamination(rows(spark, [(1, swapped(5))]), benchmark.where("item_id = 1")).first()
+    assert alone["near_items"] == ["1"] and not alone["contaminated"]
+
+
 # ---- mixing
 
 
