@@ -322,11 +322,20 @@ v AS (SELECT source_id, y0, x0, dy*{P}+dx AS i, round((r/255.0-0.485)/0.229*1000
 SELECT source_id, y0, x0, CAST(sum(v*(i%97)) AS BIGINT) AS moment, CAST(sum(t*i) AS BIGINT) AS mask_moment FROM v GROUP BY source_id, y0, x0"""
 
 
-@query("q_augment", _augment_sql())
-def q_augment(spark, d):
-    """Augmented samples reduced to position-weighted sums of tensor and mask."""
-    samples = transforms.augment_tiles(packed_tiles(spark, d), CLOSED, seed=42, epoch=3)
+def _moments(samples):
+    """Samples reduced to position-weighted sums of tensor and mask."""
     area = P * P
     moment = F.aggregate(F.transform("tensor", lambda v, i: F.round(v.cast("double") * 1000) * (i % area % 97)), F.lit(0.0), lambda s, v: s + v)
     mask = F.aggregate(F.sequence(F.lit(0), F.lit(area - 1)), F.lit(0).cast("long"), lambda s, i: s + F.when(F.substring("mask", i + 1, 1) == F.unhex(F.lit("00")), 0).otherwise(i))
     return samples.select("source_id", "y0", "x0", moment.cast("long").alias("moment"), mask.alias("mask_moment"))
+
+
+@query("q_augment")
+def q_augment(spark, d):
+    """Samples of an epoch with the default chances of all steps."""
+    return _moments(transforms.augment_tiles(packed_tiles(spark, d), seed=42, epoch=3))
+
+
+@query("q_augment_closed", _augment_sql())
+def q_augment_closed(spark, d):
+    return _moments(transforms.augment_tiles(packed_tiles(spark, d), CLOSED, seed=42, epoch=3))

@@ -126,3 +126,88 @@ def test_one_of_picks_exactly_one(tiles):
     seen = {bytes(r.image)[0] for r in transforms.one_of(tiles, [a, b]).collect()}
     assert seen == {0, 255}
     assert rows(transforms.one_of(tiles, [a, b], p=0.0).select("image", *ORDER)) == rows(tiles.select("image", *ORDER))
+
+
+def brute_augment(tile, seed, epoch):
+    """One tile through the documented default chain, pixel by pixel; only CLAHE and the counter's normals come from the kernels."""
+    import hashlib
+    import math
+
+    n, c = tile.patch_size, (tile.patch_size - 1) / 2
+    key = lambda name: int(hashlib.md5(f"{seed}:{epoch}:{tile.source_id}:{tile.x0}:{tile.y0}:{name}".encode()).hexdigest()[:13], 16)
+    draw = lambda name, low=0.0, high=1.0: low + (high - low) * (key(name) / 2.0**52)
+    byte = lambda v: min(255, max(0, math.floor(v + 0.5)))
+    image = np.frombuffer(bytes(tile.image), np.uint8).reshape(n, n, 3).tolist()
+    mask = np.frombuffer(bytes(tile.mask), np.uint8).reshape(n, n).tolist()
+    around = range(n)
+    pixelwise = lambda f: [[[byte(f(v)) for v in px] for px in row] for row in image]
+    mirror = lambda i: -i if i < 0 else 2 * (n - 1) - i if i >= n else i
+    ran = set()
+    runs = lambda name, p: draw(name) < p and (ran.add(name) or True)
+    if runs("hflip", 0.8):
+        image, mask = [r[::-1] for r in image], [r[::-1] for r in mask]
+    if runs("vflip", 0.6):
+        image, mask = image[::-1], mask[::-1]
+    if runs("turn", 0.8):
+        for _ in range(int(draw("turn_k") * 4)):
+            image, mask = ([[a[y][n - 1 - x] for y in around] for x in around] for a in (image, mask))
+    if runs("affine", 0.6):
+        tx, ty = (round(draw(f"affine_translate_{k}", -0.05, 0.05) * n) for k in "xy")
+        fx, fy = (draw(f"affine_scale_{k}", 0.9, 1.1) for k in "xy")
+        turn = math.radians(draw("affine_rotate", -30, 30))
+        at = lambda a, y, x, none: a[y][x] if 0 <= y < n and 0 <= x < n else none
+        out, low = [], []
+        for y in around:
+            for x in around:
+                u, v = x - c - tx, y - c - ty
+                sy, sx = (-math.sin(turn) * u + math.cos(turn) * v) / fy + c, (math.cos(turn) * u + math.sin(turn) * v) / fx + c
+                iy, ix = math.floor(sy), math.floor(sx)
+                corners = [(at(image, iy + j, ix + i, [0, 0, 0]), abs(1 - j - (sy - iy)) * abs(1 - i - (sx - ix))) for j in (0, 1) for i in (0, 1)]
+                out.append([byte(sum(px[k] * w for px, w in corners)) for k in range(3)])
+                low.append(at(mask, math.floor(sy + 0.5), math.floor(sx + 0.5), 0))
+        image, mask = ([a[y * n : (y + 1) * n] for y in around] for a in (out, low))
+    if runs("tone", 0.3):
+        up, by = draw("tone_brightness", -0.2, 0.2), draw("tone_contrast", -0.2, 0.2)
+        image = pixelwise(lambda v: v * (1.0 + by) + 255.0 * up)
+    if runs("power", 0.2):
+        exponent = draw("power_exponent", 0.9, 1.1)
+        image = pixelwise(lambda v: (v / 255.0) ** exponent * 255.0)
+    if runs("clahe", 0.15):
+        image = kernels.equalize(np.array(image, np.uint8), draw("clahe_clip", 1.0, 3.0), (8, 8)).tolist()
+    if runs("blur", 0.2):
+        if int(draw("choice") * 2) == 0:
+            size, sigma = 3 + 2 * int(draw("gaussian_size") * 2), draw("gaussian_sigma", 0.1, 1.0)
+            line = [math.exp(-((i - size // 2) ** 2) / (2 * sigma**2)) for i in range(size)]
+            kernel = np.outer(line, line) / sum(line) ** 2
+        else:
+            kernel = kernels.disk_kernel(1 + int(draw("defocus_radius") * 3), draw("defocus_alias_blur", 0.1, 0.3))
+        h = kernel.shape[0] // 2
+        taps = [(j - h, i - h, float(kernel[j, i])) for j in range(2 * h + 1) for i in range(2 * h + 1) if kernel[j, i]]
+        image = [[[byte(sum(w * image[mirror(y + j)][mirror(x + i)][k] for j, i, w in taps)) for k in range(3)] for x in around] for y in around]
+    if runs("noise", 0.1):
+        normal = kernels.counter_normal(key("noise"), (n, n, 3))
+        std = draw("noise_std", 0.2, 0.44)
+        image = [[[byte(image[y][x][k] + std * 255.0 * normal[y, x, k]) for k in range(3)] for x in around] for y in around]
+    # halves go away from zero, as in Spark's round
+    whole = lambda v: math.copysign(math.floor(abs(v) + 0.5), v)
+    unit = [[whole(float(np.float32((v / 255.0 - m) / s)) * 1000) for v in range(256)] for m, s in zip(transforms.MEAN, transforms.STD)]
+    moment = sum(unit[k][image[y][x][k]] * ((y * n + x) % 97) for y in around for x in around for k in range(3))
+    return int(moment), sum(y * n + x for y in around for x in around if mask[y][x]), ran
+
+
+def test_default_epoch_matches_brute_force(spark):
+    from conftest import SF_DIR
+    from sparktile.plans import QUERIES
+    from sparktile.plans.transform_queries import packed_tiles
+
+    got = {(r.source_id, r.y0, r.x0): (r.moment, r.mask_moment) for r in QUERIES["q_augment"](spark, SF_DIR).collect()}
+    seen, off = set(), []
+    for tile in packed_tiles(spark, SF_DIR).collect():
+        moment, mask, ran = brute_augment(tile, 42, 3)
+        seen |= ran
+        a, b = got.pop((tile.source_id, tile.y0, tile.x0))
+        assert b == mask
+        if a != moment:  # a sum that ends at a half may be rounded to the next level
+            off.append(abs(a - moment))
+    assert not got and seen == {"hflip", "vflip", "turn", "affine", "tone", "power", "clahe", "blur", "noise"}
+    assert len(off) <= 3 and max(off, default=0) <= 20 * 97
