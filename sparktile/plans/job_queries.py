@@ -181,17 +181,23 @@ def q_neighbourhood(spark, d):
     return near.select("source_id", "y", "x", "m_max", "m_min")
 
 
+FOLDER_ROWS = 100_000  # images and annotations of an export folder, so that a document stays far below the size of a row
+
+
 def _coco_folder(spark, d):
-    """The annotated orders as export folders: one document per batch, beside it an image folder with one file."""
+    """The annotated orders as export folders <batch>--<k> of bounded size: one document each, beside it an image folder with one file."""
     root = scratch_path(spark, "coco")
     images = t.coco_images(spark, d)
+    folders = 1 + (images.count() + t.coco_polygons(spark, d).count()) // FOLDER_ROWS
+    images = images.withColumn("batch", F.concat("batch", F.lit("--"), F.pmod(F.xxhash64("image_id"), F.lit(folders)).cast("string")))
     shapes = t.coco_polygons(spark, d).join(images.select("image_id", "batch"), "image_id")
     listed = images.groupBy("batch").agg(F.collect_list(F.struct(F.col("image_id").alias("id"), "file_name", "width", "height")).alias("images"))
     drawn = shapes.groupBy("batch").agg(
         F.collect_list(F.struct("image_id", "category_id", F.col("polygons").alias("segmentation"))).alias("annotations")
     )
     categories = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(n).alias("name")) for i, n in ((1, "old"), (2, "hypha"), (1, "Inoculum"))])
-    docs = listed.join(drawn, "batch").select("batch", F.to_json(F.struct(categories.alias("categories"), "images", "annotations")).alias("doc"))
+    docs = listed.join(drawn, "batch", "left").withColumn("annotations", F.coalesce("annotations", F.array()))
+    docs = docs.select("batch", F.to_json(F.struct(categories.alias("categories"), "images", "annotations")).alias("doc"))
     folder = sinks.task_folder(spark, root)
 
     def write(frames):
@@ -222,7 +228,8 @@ def q_coco_export(spark, d):
         at = [np.flatnonzero(np.frombuffer(m, np.uint8)) for m in mask]
         return pd.DataFrame({"fg": [len(a) for a in at], "moment": [int(a.sum()) for a in at]})
 
-    return masks.select("batch", "image_id", sums("mask").alias("s")).select("batch", "image_id", "s.*")
+    batch = F.regexp_replace("batch", r"--\d+$", "").alias("batch")
+    return masks.select(batch, "image_id", sums("mask").alias("s")).select("batch", "image_id", "s.*")
 
 
 @query("q_fold_errors", """WITH n AS (SELECT count(DISTINCT vec_id//16) AS have FROM embeddings), a(n_splits) AS (VALUES (0), (1), (2), (5), (1000000))

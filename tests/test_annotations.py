@@ -223,3 +223,22 @@ def test_names_collide_only_when_shortened(spark):
     assert whole == {"export-1_a": 0, "export-2_a": 0, "other_a": 0}
     short = {r["out_name"]: (r["batch"], r["collided"]) for r in ann.prefix_names(files, "batch", "name", 5).collect()}
     assert short == {"expor_a": ("export-2", 1), "other_a": ("other", 0)}
+
+
+def test_export_folders_are_of_bounded_size(spark, sf_dir, monkeypatch):
+    from pyspark.sql import functions as F
+
+    import __spark_entry__ as entry
+    from oracle import connect, mismatch
+    from sparktile.plans import job_queries
+    from sparktile.sources.coco import read_coco_exports
+
+    most = 400
+    monkeypatch.setattr(job_queries, "FOLDER_ROWS", most, raising=False)
+    images, annotations, _ = read_coco_exports(spark, job_queries._coco_folder(spark, sf_dir))
+    sizes = images.select("batch").unionByName(annotations.select("batch")).groupBy("batch").count()
+    total, largest = sizes.agg(F.sum("count"), F.max("count")).first()
+    assert total > 5 * most and largest <= most
+    # few rows a folder: some have images but no annotation
+    monkeypatch.setattr(job_queries, "FOLDER_ROWS", 60, raising=False)
+    assert mismatch(entry.queries()["q_coco_export"](spark, sf_dir), connect(sf_dir), entry.oracle_sql()["q_coco_export"]) is None
