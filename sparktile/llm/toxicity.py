@@ -143,20 +143,35 @@ class Matcher:
         return (kind, 1.0 if kind in ("threat", "target") else 0.0) if kind else ("other", 0.0)
 
     def total(self, text: str) -> float:
-        """Sum of the weights of all clauses that hold a match."""
+        """Sum of the weights of all clauses that hold a match.
+
+        Of a long clause only whole words within ``CLAUSE_CHARS`` of a match are read; parts that touch are read as one.
+        """
         low = text.lower()
-        done, total = -1, 0.0
+        total, a, b, ended = 0.0, 0, 0, True  # [a, b) is to be read; no further word belongs to it once it has ended
+
+        def read() -> float:
+            return self.grammar.clause([self.classify(m.group()) for m in WORD.finditer(low, a, b)]) if a < b else 0.0
+
         for end, size in self.automaton.iter(low):
             start = end - size + 1
-            if start <= done or (start and low[start - 1].isalpha()):
+            if start < b and (ended or end + CLAUSE_CHARS <= b) or (start and low[start - 1].isalpha()):
                 continue
-            a = max((m.end() for m in CLAUSE_END.finditer(low, max(0, start - CLAUSE_CHARS), start)), default=max(0, start - CLAUSE_CHARS))
-            stop = CLAUSE_END.search(low, end, end + CLAUSE_CHARS)
-            b = stop.start() if stop else min(len(low), end + CLAUSE_CHARS)
-            a = max(a, done + 1)
-            total += self.grammar.clause([self.classify(m.group()) for m in WORD.finditer(low, a, b)])
-            done = b
-        return total
+            reach = max(b, start - CLAUSE_CHARS)
+            since = max((m.end() for m in CLAUSE_END.finditer(low, reach, start)), default=None)
+            if ended or since is not None or reach > b:
+                total += read()
+                a = reach if since is None else since
+                cut = WORD.match(low, a - 1) if a else None
+                if cut and cut.end() > a:  # inside a word
+                    a = cut.end()
+                b = a
+            stop = CLAUSE_END.search(low, max(b, end), end + CLAUSE_CHARS)
+            b, ended = (stop.start(), True) if stop else (max(b, min(len(low), end + CLAUSE_CHARS)), False)
+            cut = WORD.match(low, b - 1) if b and not ended else None
+            if cut:  # on to the end of the word
+                b = max(b, cut.end())
+        return total + read()
 
 
 def word_forms(text: str) -> set[str]:

@@ -128,6 +128,22 @@ def test_toxicity_learns_stems_and_survives_odd_rows(spark):
     assert bare.stems == {} and tox.score_toxicity(rows(spark, []), bare).count() == 0
 
 
+def test_long_clauses_are_read_in_whole_words():
+    import random
+
+    rng = random.Random(4)
+    matcher = tox.Matcher(tox.ToxicityModel({"idiot": 3.0}, {"schm": 3.0}))
+    whole = lambda text: sum(matcher.grammar.clause([matcher.classify(w) for w in tox.WORD.findall(c)]) for c in tox.CLAUSE_END.split(text.lower()))
+    blank = lambda n: " " * n
+    for n in range(385, 402):
+        for text in (f"idiot{blank(n)}idiot", f"idiot {'x' * n} schmackel", f"idiot{blank(n)}xidiot", f"idiot{blank(n)}idiot{blank(n)}kill you", f"xidiot{blank(n)}idiot", f"idiot{blank(n - 5)}kill   you"):
+            assert matcher.total(text) == pytest.approx(whole(text))
+    for _ in range(400):
+        lexicon = ["idiot", "schmackel", "kill", "you", "not", "said"] + ["plain", "xidiot", "w" * 20] * rng.randrange(30)
+        text = " ".join(rng.choice(lexicon) + rng.choice(["", "", "", blank(9), rng.choice(["", ". "])]) for _ in range(rng.randrange(300)))
+        assert matcher.total(text) == pytest.approx(whole(text))
+
+
 def test_toxicity_held_out_accuracy(spark):
     sf = SF_DIR.replace("sf0.001", "sf0.01")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
