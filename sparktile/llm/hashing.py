@@ -45,8 +45,9 @@ def labelled_sample(records: DataFrame, labels: DataFrame, label: str, most: int
     """(source_id, text, label) for about ``most`` ids of each label value, written once for the passes of a fit.
 
     The ids are drawn from the narrow ``labels`` (source_id, label) before any text is read: at most classes x ``most`` rows,
-    give or take chance, whatever the input; that bounded table is broadcast to the texts, so these are not shuffled.  Null ids
-    and null labels are not used; null text is empty.
+    give or take chance, whatever the input; that bounded table is broadcast to the texts, so these are not shuffled.  Of rows
+    that share a drawn id, the text with the smallest hash stands for all, picked per task first.  Null ids and null labels are
+    not used; null text is empty.
     """
     spark = records.sparkSession
     drawn_path, path = scratch_path(spark, "drawn-labels"), scratch_path(spark, "labelled-sample")
@@ -54,7 +55,8 @@ def labelled_sample(records: DataFrame, labels: DataFrame, label: str, most: int
     sample_rows(ids, label, most, ("source_id",)).write.parquet(drawn_path)
     drawn = F.broadcast(spark.read.parquet(drawn_path))
     texts = records.select("source_id", F.coalesce("text", F.lit("")).alias("text"))
-    texts.join(drawn, "source_id").write.parquet(path)
+    smallest = F.min(F.struct(F.xxhash64("text"), "text")).getField("text").alias("text")
+    texts.join(drawn, "source_id").groupBy("source_id", label).agg(smallest).select("source_id", "text", label).write.parquet(path)
     return spark.read.parquet(path)
 
 

@@ -144,6 +144,17 @@ def test_long_clauses_are_read_in_whole_words():
         assert matcher.total(text) == pytest.approx(whole(text))
 
 
+def test_sample_holds_one_text_of_an_id(spark):
+    from sparktile.llm.hashing import labelled_sample
+
+    data = rows(spark, [(1, f"text {k}") for k in range(500)] + [(2, "a"), (2, None), (3, "b"), (None, "c")])
+    labels = spark.createDataFrame([(1, 0), (1, 0), (1, 1), (2, 1), (3, None), (None, 1)], "source_id long, grade int")
+    got = sorted((r["source_id"], r["grade"]) for r in labelled_sample(data.repartition(3), labels, "grade", 100).collect())
+    assert got == [(1, 0), (1, 1), (2, 1)]
+    first, again = (labelled_sample(data.repartition(n), labels, "grade", 100) for n in (1, 5))
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, again.collect()))
+
+
 def test_toxicity_held_out_accuracy(spark):
     sf = SF_DIR.replace("sf0.001", "sf0.01")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
