@@ -168,17 +168,20 @@ def find_contamination(records: DataFrame, items: DataFrame, window: int = WINDO
     led = spark.read.parquet(led_path)
     index = build_index(rows, led, window - 1 + 2 * slop, scratch_path(spark, "token-index"))
     postings = index.where(F.size("postings") > 0).select("row_key", F.explode("postings").alias("p")).select("row_key", "p.*")
+    met = postings.join(led, "term").where(F.size(F.array_intersect("around", "words")) >= F.col("need"))
+    first = F.col("before") - F.col("offset")  # place in ``around`` at which the window would start
+    exact = (first >= 0) & (F.slice("around", F.greatest(first, F.lit(0)) + 1, F.size("words")) == F.col("words"))
+
+    def near_at(shift):
+        at = first + shift
+        held = F.transform("words", lambda w, j: F.array_contains(F.slice("around", F.greatest(at + j - slop, F.lit(0)) + 1, F.greatest(F.least(F.lit(2 * slop + 1), at + j + slop + 1), F.lit(0))), w))
+        return F.size(F.filter(held, lambda x: x)) >= near_share * F.size("words")
+
     # the posted term may itself be up to ``slop`` words off its place
-    met = postings.join(led, "term").withColumn("shift", F.explode(F.sequence(F.lit(-slop), F.lit(slop))))
-    first = F.col("before") - F.col("offset") + F.col("shift")  # place in ``around`` at which the window would start
-    exact = (F.col("shift") == 0) & (first >= 0) & (F.slice("around", F.greatest(first, F.lit(0)) + 1, F.size("words")) == F.col("words"))
-    within = F.size(F.filter(
-        F.transform("words", lambda w, j: F.array_contains(F.slice("around", F.greatest(first + j - slop, F.lit(0)) + 1, F.greatest(F.least(F.lit(2 * slop + 1), first + j + slop + 1), F.lit(0))), w)),
-        lambda x: x,
-    ))
+    near = F.when(exact, F.lit(True)).otherwise(F.exists(F.array(*map(F.lit, sorted(range(-slop, slop + 1), key=abs))), near_at))
     judged = met.select(
-        "row_key", "item_id", (F.col("position") - F.col("offset") + F.col("shift")).alias("start"), F.size("words").alias("length"), exact.alias("exact"),
-        (within >= near_share * F.size("words")).alias("near"),
+        "row_key", "item_id", (F.col("position") - F.col("offset")).alias("start"), F.size("words").alias("length"), exact.alias("exact"),
+        near.alias("near"),
     ).where(F.col("exact") | F.col("near"))
     spans = judged.where("exact").groupBy("row_key", "start").agg(F.max("length").alias("length"))
     reach = Window.partitionBy("row_key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
