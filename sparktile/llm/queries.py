@@ -16,6 +16,7 @@ from .hashing import text_session
 from .language_id import fit_language_model, identify_language
 from .minhash import near_duplicates
 from .mixing import mix_batches, word_count
+from .periodic_runs import periodic_runs
 from .quality_ordinal import OrdinalModel, fit_quality, grade_quality
 from .quality_rules import quality_rules
 from .suffix_dedup import remove_repeats
@@ -326,3 +327,67 @@ def op8_suffix_dedup(spark, sf_dir):
     records = documents(spark, sf_dir).select("source_id", F.col("text").alias("payload"))
     cut = remove_repeats(records, 50)
     return cut.select(F.col("source_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def crc32_sql(code_units: str) -> str:
+    """DuckDB text for the unsigned crc32 of a list of byte values."""
+    return f"""xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform({code_units}, lambda b: [b, 0, 0, 0, 0, 0, 0, 0]::bigint[]))),
+      lambda c, b: xor(xor(c, b) >> 1, 3988292384::bigint * (xor(c, b) & 1))), 4294967295::bigint)"""
+
+
+OP13_SQL = rf"""
+with d as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w0,
+    {crc32_sql("list_transform(string_split(coalesce(doc_id::varchar, ''), ''), lambda x: ascii(x)::bigint)")} as h from documents
+), g as (select *, h // 10 as g, len(w0)::bigint as n from d),
+pa as (select *, case when n > 0 then g % n end as a from g),
+pp as (select *, 1 + (n - a) // (3 + g % 8) as p from pa),
+t as (
+  select doc_id, n, case when h % 10 = 0 and n > 0 then list_transform(w0, lambda x, i: case when i > a then w0[a + (i - 1 - a) % p + 1] else x end) else w0 end as w from pp
+), wi as (select doc_id, n, unnest(w) as x, unnest(generate_series(0, n - 1)) as i from t where n > 0),
+six as (
+  select doc_id, i, x || ' ' || lead(x, 1) over o || ' ' || lead(x, 2) over o || ' ' || lead(x, 3) over o || ' ' || lead(x, 4) over o || ' ' || lead(x, 5) over o as s
+  from wi window o as (partition by doc_id order by i)
+), pairs as (select a.doc_id, b.i - a.i as q, a.i from six a join six b on a.doc_id = b.doc_id and a.s = b.s and a.i < b.i),
+isl as (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as grp from pairs),
+st as (select doc_id, q, min(i) as start, count(*) + 5 as same from isl group by doc_id, q, grp),
+runs as (select doc_id, start, same + q as length, min(q) as period from st where same >= q and same + q >= 12 group by doc_id, start, same + q),
+m as (select doc_id, i + start + period as i from (select doc_id, start, period, unnest(generate_series(0, length - period - 1)) as i from runs)),
+dropped as (select distinct doc_id, i from m),
+kept as (
+  select wi.doc_id, string_agg(x, ' ' order by wi.i) as s from wi left join dropped on dropped.doc_id = wi.doc_id and dropped.i = wi.i
+  where dropped.i is null group by wi.doc_id
+), r as (
+  select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as s,
+    min(struct_pack(l := -length, s := start, p := period)) as best from runs group by doc_id
+)
+select t.doc_id, coalesce(n_runs, 0)::bigint as n_runs, best.s::bigint as start, (-best.l)::bigint as length, best.p::bigint as period,
+  (1000 * -best.l // best.p)::bigint as exponent_milli, sha256(coalesce(r.s, '')) as runs_sha256, sha256(coalesce(kept.s, '')) as collapsed_sha256
+from t left join r on r.doc_id = t.doc_id left join kept on kept.doc_id = t.doc_id
+"""
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) to (source_id, text): in one text of ten, by crc32 of the id, the words from a place on repeat a block."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    dealt = docs.select(F.col("doc_id").alias("source_id"), "text", F.floor(h / 10).alias("g"), F.coalesce(h % 10 == 0, F.lit(False)).alias("chosen"))
+    words = F.when(F.col("chosen"), F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    dealt = dealt.withColumn("words", words).withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    dealt = dealt.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), times)), F.lit(1), F.col("n") - F.col("a"))
+    changed = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    return dealt.select("source_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs", OP13_SQL)
+def op13_periodic_runs(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = periodic_runs(with_periodic_tails(docs), sequence="text")
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.withColumn("best", longest).select(
+        F.col("source_id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), F.col("best.s").alias("start"), (-F.col("best.l")).alias("length"),
+        F.col("best.p").alias("period"), F.expr("-1000 * best.l div best.p").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
