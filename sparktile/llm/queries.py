@@ -13,6 +13,7 @@ from .bit_packing import read_token_index, write_token_pages
 from .chat import format_conversations, parse_conversations, text_part
 from .decontamination import find_contamination
 from .hashing import text_session
+from .importance import resample
 from .language_id import fit_language_model, identify_language
 from .minhash import near_duplicates
 from .mixing import mix_batches, word_count
@@ -391,3 +392,38 @@ def op13_periodic_runs(spark, sf_dir):
         F.col("best.p").alias("period"), F.expr("-1000 * best.l div best.p").alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+def words_sql(table: str, key: str) -> str:
+    return rf"""select {key}, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws from {table}"""
+
+
+OP12_SQL = rf"""
+with d as ({words_sql("documents", "doc_id")}), b as ({words_sql("benchmark", "item_id")}),
+df as (select doc_id, unnest(ws) as f from d), bf as (select unnest(ws) as f from b),
+v as (select f, hex(encode(f)) as x from (select f from df union select f from bf)),
+k as (
+  select f, {crc32_sql("list_transform(generate_series(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::bigint)")} % 10000 as bucket from v
+), s as (select bucket, count(*) as s from df join k using (f) group by bucket),
+t as (select bucket, count(*) as t from bf join k using (f) group by bucket),
+gain as (
+  select s.bucket, floor(1000 * ln((coalesce(t, 0)::double + 1) * ((select count(*) from df)::double + 10000)
+    / ((s::double + 1) * ((select count(*) from bf)::double + 10000))))::bigint as gain
+  from s left join t on t.bucket = s.bucket
+), w as (select doc_id, sum(gain)::bigint as weight from df join k using (f) join gain using (bucket) group by doc_id),
+r as (
+  select d.doc_id, len(ws)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    ('0x' || substr(sha256('2024:' || coalesce(d.doc_id::varchar, '')), 1, 8))::bigint as h
+  from d left join w on w.doc_id = d.doc_id
+), sc as (select doc_id, n_features, weight, (weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296))))::bigint as score from r),
+o as (select doc_id, row_number() over (order by score desc, doc_id) as n from sc where n_features >= 20)
+select sc.doc_id, n_features, weight, score, case when n <= (select (10 * count(*)) // 100 from o) then n end::bigint as rank
+from sc left join o on o.doc_id = sc.doc_id
+"""
+
+
+@query("op12_importance_resampling", OP12_SQL)
+def op12_importance_resampling(spark, sf_dir):
+    drawn = resample(documents(spark, sf_dir), benchmark_items(spark, sf_dir), features="text", percent=10, least=20)
+    return drawn.withColumnRenamed("source_id", "doc_id")
