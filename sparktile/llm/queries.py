@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import Query
 from ..session import scratch_path
+from .archives import read_archives, write_archives
 from .bit_packing import read_token_index, write_token_pages
 from .chat import format_conversations, parse_conversations, text_part
 from .decontamination import find_contamination
@@ -427,3 +428,29 @@ from sc left join o on o.doc_id = sc.doc_id
 def op12_importance_resampling(spark, sf_dir):
     drawn = resample(documents(spark, sf_dir), benchmark_items(spark, sf_dir), features="text", percent=10, least=20)
     return drawn.withColumnRenamed("source_id", "doc_id")
+
+
+OP11_SQL = r"""
+with p as (select page_id, coalesce(html, '') as html from pages),
+m as (select html, max(page_id) as keeper from p group by html),
+h as (select p.page_id, strlen(p.html)::bigint as n, sha1(p.html) as x, keeper from p join m on m.html = p.html)
+select page_id, n as payload_bytes,
+  array_to_string(list_transform(generate_series(0, 31), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(x, (5 * i // 4 + 1)::int, 2))::int >> (3 - 5 * i % 4)::int) & 31) + 1, 1)), '') as payload_digest,
+  case when keeper is null or page_id = keeper then 'response' else 'revisit' end as record_type,
+  case when keeper is null or page_id = keeper then null else keeper end as refers_to
+from h
+"""
+
+
+@query("op11_warc", OP11_SQL)
+def op11_warc(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(
+        F.col("page_id").alias("source_id"), F.col("url").alias("path"), F.encode("html", "UTF-8").alias("content")
+    )
+    path = scratch_path(spark, "archives")
+    write_archives(pages, path, media="text/html; charset=utf-8")
+    back = read_archives(spark, path, payload=False)
+    return back.select(
+        F.col("source_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")
+    )
