@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,11 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
 
 
+def word_codes(words: list[bytes]) -> np.ndarray:
+    """crc32 of each word."""
+    return np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words))
+
+
 def word_array(text: Column) -> Column:
     """The same words in built-in functions, for the test items."""
     folded = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -59,12 +65,11 @@ def term_counts(records: DataFrame, terms: DataFrame) -> DataFrame:
     shared = records.sparkSession.sparkContext.broadcast(sieve(terms))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flags, mask, totals = shared.value, (1 << SIEVE_BITS) - 1, Counter()
+        flags, mask, totals = np.frombuffer(shared.value, np.uint8), (1 << SIEVE_BITS) - 1, Counter()
         for batch in batches:
             for text in batch["text"]:
-                for w, n in Counter(words_of(text)).items():
-                    if flags[zlib.crc32(w) & mask]:
-                        totals[w] += n
+                words = words_of(text)
+                totals.update([words[i] for i in np.flatnonzero(flags[word_codes(words) & mask]).tolist()])
         if totals:
             yield pd.DataFrame({"term": [w.decode("utf-8", "replace") for w in totals], "n": list(totals.values())})
 
@@ -103,15 +108,16 @@ def build_index(records: DataFrame, led: DataFrame, reach: int, path: str) -> Da
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         (least, pairs), mask, pair_mask, crc32 = shared.value, (1 << SIEVE_BITS) - 1, (1 << PAIR_BITS) - 1, zlib.crc32
+        table = np.frombuffer(least, np.uint8)
         for batch in batches:
             sizes, lists = [], []
             for text in batch["text"]:
                 words, posted = words_of(text), []
-                for i, w in enumerate(words):
-                    code = crc32(w)
-                    need = least[code & mask]
-                    if not need:
-                        continue
+                codes = word_codes(words)
+                needs = table[codes & mask]
+                led = np.flatnonzero(needs)
+                for i, need, code in zip(led.tolist(), needs[led].tolist(), codes[led].tolist()):
+                    w = words[i]
                     around, code = words[max(0, i - reach) : i + reach + 1], crc32(b" ", code)
                     if need > 1 and sum([pairs[crc32(x, code) & pair_mask] for x in set(around)]) < need:
                         continue
