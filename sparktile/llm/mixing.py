@@ -117,9 +117,11 @@ def mixing_plan(records: DataFrame, weights: Sequence[float], share: float = 1.0
         .withColumn("rest", F.col("target") - F.col("whole") * F.col("batch_size")),
         "mixing-targets",
     )
+    # a target of whole times its batch leaves nothing for one more, not even for rows of size 0
     thresholds = nested_thresholds(sized, targets).select(F.col("batch").alias("tb"), "threshold")
+    one_more = F.when(F.col("rest") > 0, F.col("threshold")).otherwise(F.lit(-1)).cast("long").alias("threshold")
     return keep(
-        targets.join(thresholds, F.col("batch").eqNullSafe(F.col("tb"))).select("batch", "batch_size", "target", "whole", "threshold"), "mixing-plan"
+        targets.join(thresholds, F.col("batch").eqNullSafe(F.col("tb"))).select("batch", "batch_size", "target", "whole", one_more), "mixing-plan"
     )
 
 
