@@ -164,7 +164,7 @@ def may_repeat(ids: np.ndarray, ends: np.ndarray, min_length: int) -> np.ndarray
     """
     n, gram = ids.size, -(-min_length // 2)
     hashed = np.zeros(n, dtype=np.uint64)
-    for k in range(gram):
+    for k in range(min(gram, n)):
         hashed[: n - k] = (hashed[: n - k] ^ ids[k:].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         hashed ^= hashed >> np.uint64(29)
     bits = np.uint64(max(1, int(n).bit_length()))

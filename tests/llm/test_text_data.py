@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from sparktile.llm.bit_packing import PieceEncoder, bits_for, block_offsets, pack_ids, read_token_index, unpack_ids, write_token_pages
 from sparktile.llm.chat import PART_TYPE, PartCosts, format_conversations, parse_conversations
@@ -52,7 +53,10 @@ def test_packing_round_trip_and_random_access(bits):
 def test_pieces_encode_like_whole_texts():
     encoder = PieceEncoder.of(tokenizer_file())
     texts = ["a  b\n\nc", "it's, don't!! x.\n y", "  lead", "tail  ", "\n\n", "", " ", "é, ñ! ü\t. z", "a.b,c 12,5 x!y", "<|endoftext|> hi", "I'll, we've.\u0085 q", "a\x1c b\x1c,c", "日本 語. x"]
-    want = [np.array(e.ids, dtype="<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    end = "<|endoftext|>"
+    texts += [end, end + end, f"hello {end} world", f"{end} a", f"a {end}", f"x.{end},y", f"two  {end}  \n{end}\n z", f"{end}!a", f"a{end}b c", "<|endof text|>"]
+    fresh = Tokenizer.from_file(tokenizer_file())
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in fresh.encode_batch(texts, add_special_tokens=False)]
     assert encoder.encode(texts) == want and encoder.encode(texts) == want
 
 
@@ -262,6 +266,9 @@ def test_mix_comes_near_targets_and_repeats(spark):
     for taken, target in sums.values():
         assert abs(taken - target) <= 60
     assert mix_batches(frame.where("false"), (1,)).count() == 0
+    # a batch at its cap, with rows of size 0: three times each, none four times
+    capped = spark.createDataFrame([(i, "big", 100) for i in range(50)] + [(100 + i, "small", i % 2) for i in range(40)], "source_id long, batch string, size int")
+    assert {r.copies for r in mix_batches(capped, (1, 50)).where("batch = 'small'").collect()} == {3}
 
 
 # ---- repeated strings
