@@ -183,8 +183,8 @@ def unpack_blocks(blocks: DataFrame) -> DataFrame:
     )
 
 
-def cut_blocks(images: DataFrame, columns: list[str], block: int = BLOCK) -> DataFrame:
-    """Cut packed rasters (image HWC or mask HW bytes) along the block lattice, without a shuffle."""
+def cut_blocks(images: DataFrame, columns: list[str], block: int = BLOCK, keep: tuple = ()) -> DataFrame:
+    """Cut packed rasters (image HWC or mask HW bytes) along the block lattice, without a shuffle; ``keep`` repeats columns of the image."""
     kind = images.schema["source_id"].dataType.simpleString()
     columns = list(columns)
 
@@ -196,11 +196,12 @@ def cut_blocks(images: DataFrame, columns: list[str], block: int = BLOCK) -> Dat
                 for i in range(0, len(at), 64):
                     part = at[i : i + 64]
                     yield pd.DataFrame({
-                        "source_id": r.source_id, "by": [a for a, _ in part], "bx": [b for _, b in part],
+                        "source_id": r.source_id, **{c: getattr(r, c) for c in keep}, "by": [a for a, _ in part], "bx": [b for _, b in part],
                         **{c: [p[a * block : (a + 1) * block, b * block : (b + 1) * block].tobytes() for a, b in part] for c, p in planes.items()},
                     })
 
-    schema = f"source_id {kind}, by int, bx int, " + ", ".join(f"{c} binary" for c in columns)
+    schema = f"source_id {kind}, " + "".join(f"{c} {images.schema[c].dataType.simpleString()}, " for c in keep)
+    schema += "by int, bx int, " + ", ".join(f"{c} binary" for c in columns)
     return images.select("source_id", "width", "height", *columns).mapInPandas(cut, schema)
 
 

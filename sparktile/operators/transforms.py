@@ -410,6 +410,16 @@ def augment_tiles(tiles: DataFrame, cfg: dict | None = None, seed: int = 42, epo
     return _run(tiles, train_steps(cfg, image_size), seed, epoch, _norm(cfg), "tensor array<float>", carry)
 
 
+def eval_kernel(cfg: dict | None = None, image_size: int | None = None):
+    """What ``eval_transform`` does to one tile: HWC bytes to CHW floats."""
+    finish = _norm(cfg)
+
+    def prepare(image):
+        return finish(image if image_size is None else _resize(image, image[..., 0], None, image_size)[0])
+
+    return prepare
+
+
 def eval_transform(tiles: DataFrame, cfg: dict | None = None, image_size: int | None = None, carry=()) -> DataFrame:
     """Evaluation samples: optional resize, then normalised CHW ``tensor``."""
     steps = [partial(_resize, size=image_size)] if image_size is not None else []

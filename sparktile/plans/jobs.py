@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import stem
 from ..operators import annotations as ann
-from ..operators import patch_stats, scoring, splits, tiling, transforms
+from ..operators import blocks, patch_stats, scoring, splits, tiling, transforms
 from ..operators.pairing import IMAGE_EXTENSIONS, pair_diagnostics
+from ..session import scratch_path
 from ..sources import coco, files, sinks
 
 
@@ -88,33 +89,38 @@ def prepare_samples(pairs: DataFrame, roles: DataFrame, cfg: Config, seed: int =
 
 def segment(images: DataFrame, make_predict, cfg: Config) -> DataFrame:
     """Score packed RGB images and return stitched, rendered blocks: prob, mask, overlay."""
-    tiles = tiling.cut_tiles(images, cfg.patch_size, cfg.step)
-    samples = transforms.eval_transform(tiles, cfg.augmentations, cfg.image_size)
-    scores = scoring.score_tiles(samples, make_predict, cfg.image_size or cfg.patch_size, cfg.batch_size)
-    if cfg.image_size not in (None, cfg.patch_size):  # else every map has the tile's size and stays in the JVM
-        scores = scoring.resize_scores(scores, cfg.patch_size)
-    blocks = scoring.stitch_packed(scores, images, cfg.block, cfg.patch_size, cfg.step)
-    return scoring.render_blocks(blocks, images, cfg.threshold, cfg.block)
+    return segment_blocks(blocks.block_images(images.select("source_id", "width", "height", "image"), cfg.block), make_predict, cfg)
+
+
+def segment_blocks(table: DataFrame, make_predict, cfg: Config) -> DataFrame:
+    """The same from a block table, for images of any size: no task or row holds an image.
+
+    The table is read twice, for scores and for colours; write it before if it is costly to make.
+    """
+    prepare = transforms.eval_kernel(cfg.augmentations, cfg.image_size)
+    return blocks.score_blocks(
+        table, make_predict, cfg.patch_size, cfg.step, prepare, cfg.image_size or cfg.patch_size, cfg.batch_size, cfg.threshold, cfg.block
+    )
 
 
 def segment_images(spark: SparkSession, path: str, make_predict, cfg: Config) -> DataFrame:
     """Batch inference over an image file or a folder of images; see ``segment`` for the result."""
     files.require_rows(files.list_images(spark, path, cfg.image_extensions), "input images")
     images = files.read_images(spark, path, exts=None if files.is_file(spark, path) else cfg.image_extensions)
-    return segment(files.decode_rgb(images), make_predict, cfg)
+    stored = scratch_path(spark, "image-blocks")  # files are decoded once
+    blocks.block_images(files.decode_rgb(images).select("source_id", "width", "height", "image"), cfg.block).write.parquet(stored)
+    return segment_blocks(spark.read.parquet(stored), make_predict, cfg)
 
 
-def write_segmentation(blocks: DataFrame, out: str, save_probabilities: bool = False) -> int:
+def write_segmentation(table: DataFrame, out: str, save_probabilities: bool = False) -> int:
     """<stem>_mask.png, <stem>_overlay.png and optionally <stem>_prob.png per image; the number of images.
 
     The blocks are stored once in shared storage, so the model runs once for all three files. Of images with one stem the
     last by name is written, as if files were written in that order.
     """
-    from ..session import scratch_path
-
-    spark = blocks.sparkSession
+    spark = table.sparkSession
     stored = scratch_path(spark, "blocks")
-    blocks.write.parquet(stored)
+    table.write.parquet(stored)
     kept = spark.read.parquet(stored)
     last = kept.groupBy(stem(F.col("source_id")).alias("stem")).agg(F.max("source_id").alias("source_id"))
     whole = scoring.assemble(kept.join(last.select("source_id"), "source_id", "left_semi")).withColumn("stem", stem(F.col("source_id")))

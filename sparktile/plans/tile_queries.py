@@ -9,12 +9,13 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions import binarize_mask
 from ..functions import stem as stem_of
-from ..operators import pairing, patch_stats, splits, tiling
+from ..operators import blocks, pairing, patch_stats, splits, tiling
 from ..sources import tables as t
 from .catalog import query
 
 P, S = 16, 12  # patch and stride on the 32x32 images
 BIG_P, BIG_S = 64, 48  # on the part-sized images
+BLOCK = 13  # lattice side of the block tables: tiles cross two blocks and more on each axis
 
 
 def positions_sql(length: str, p: int, s: int) -> str:
@@ -138,7 +139,7 @@ def q_tile_samples(spark, d):
         return pd.DataFrame({"mask_moment": m @ at, "image_moment": (i @ np.array([1, 2, 3])) @ at})
 
     manifest = tiling.filter_empty_tiles(_fg(spark, d), 128)
-    tiles = tiling.tile_samples(manifest, t.px_packed(spark, d), P, S)
+    tiles = blocks.cut_block_tiles(blocks.block_pixels(t.with_rgb(t.px(spark, d)), BLOCK), P, S, BLOCK, manifest=manifest)
     return tiles.withColumn("v", moments("image", "mask")).select("source_id", "y0", "x0", "patch_size", "v.*")
 
 
