@@ -11,6 +11,7 @@ from .functions import (
     threshold_mask,
     tile_positions,
 )
+from .operators.blocks import block_images, block_pixels, cut_block_tiles, halo_blocks, score_blocks
 from .operators.annotations import (
     annotation_classes,
     annotations_by_image,
@@ -97,10 +98,11 @@ from .operators.transforms import (
     to_chw,
     vflip,
 )
-from .plans.jobs import Config, analyze_patches, coco_to_masks, prepare_samples, segment_images, write_segmentation
+from .plans.jobs import Config, analyze_patches, coco_to_masks, prepare_samples, segment_blocks, segment_images, write_segmentation
 from .session import get_spark
 from .sources.coco import read_coco_exports
 from .sources.files import decode_gray, decode_rgb, image_records, list_images, list_masks, load_pairs, read_images
+from .sources.headers import read_headers
 from .sources.sinks import write_metrics_csv, write_rasters, write_summary_json
 
 __all__ = [name for name in dir() if not name.startswith("_")]

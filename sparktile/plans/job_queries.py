@@ -10,7 +10,7 @@ from pyspark.sql.functions import pandas_udf
 from ..functions.pixels import luma
 from ..operators import models, scoring, splits, tiling, transforms
 from ..session import scratch_path
-from ..sources import files, sinks
+from ..sources import files, headers, sinks
 from ..sources import tables as t
 from . import jobs
 from .catalog import query
@@ -75,7 +75,7 @@ def q_raster_roundtrip(spark, d):
 def q_image_records(spark, d):
     path = _png_folder(spark, d, "image", "overlay")
     listed = files.list_images(spark, path).select("source_id", "stem")
-    return files.image_records(listed, files.read_images(spark, path))
+    return files.image_records(listed, headers.read_headers(spark, path))
 
 
 @query("q_decode_gray", f"""WITH {t.PX_SQL} SELECT source_id, CAST(sum((19595*m + 38470*(255-m) + 7471*((m*7)%256) + 32768)//65536) AS BIGINT) AS total FROM px GROUP BY 1""")

@@ -23,17 +23,22 @@ def replace_folder(spark: SparkSession, path: str) -> None:
     fs.mkdirs(where)
 
 
-def task_folder(spark: SparkSession, path: str) -> str:
-    """The folder as a URI that pyarrow.fs opens inside tasks."""
-    fs, where = hadoop_path(spark, path)
-    fs.mkdirs(where)
-    uri = where.toUri().toString()
+def store_uri(spark: SparkSession, path: str) -> str:
+    """``path`` as a URI that pyarrow.fs opens inside tasks."""
+    uri = hadoop_path(spark, path)[1].toUri().toString()
     scheme, rest = uri.split(":", 1)
     if scheme == "file":
         return "file://" + "/" + rest.lstrip("/")
     return ("s3" if scheme in ("s3a", "s3n") else scheme) + ":" + rest
 
 
+def task_folder(spark: SparkSession, path: str) -> str:
+    """The folder, made if need be, as a URI that pyarrow.fs opens inside tasks."""
+    fs, where = hadoop_path(spark, path)
+    fs.mkdirs(where)
+    return store_uri(spark, path)
+
+
 def put_file(folder: str, name: str, body: bytes) -> None:
     """Write under a private name, then rename: a repeated or speculative task does no harm."""
     from pyarrow import fs as pafs
