@@ -1,33 +1,23 @@
-"""COCO exports: one JSON document per batch folder, with an image folder beside it."""
+"""COCO exports: one JSON document per batch folder, read by byte ranges, with an image folder beside it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.paths import file_name, stem
 from .files import refuse_hidden
+from .json_ranges import RANGE_BYTES, array_elements, json_documents, range_index
 
 # Where an export keeps its document and its images.
 DOCUMENT, IMAGES = "annotations/instances_default.json", "images/default"
 
 # segmentation is a list of rings or a run-length object, so it is read as text and typed later
-SCHEMA = T.StructType([
-    T.StructField("categories", T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType())]))),
-    T.StructField("images", T.ArrayType(T.StructType([
-        T.StructField("id", T.LongType()), T.StructField("file_name", T.StringType()),
-        T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()),
-    ]))),
-    T.StructField("annotations", T.ArrayType(T.StructType([
-        T.StructField("image_id", T.LongType()), T.StructField("category_id", T.LongType()),
-        T.StructField("segmentation", T.StringType()),
-    ]))),
-])
-
-
-def _unescaped(path):
-    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+ARRAYS = {
+    "images": "id long, file_name string, width int, height int",
+    "annotations": "image_id long, category_id long, segmentation string",
+    "categories": "id long, name string",
+}
 
 
 def _batch(path, below: str):
@@ -42,21 +32,24 @@ def image_files(spark: SparkSession, root: str) -> DataFrame:
     return files.select(_batch(F.col("path"), IMAGES).alias("batch"), "path", name.alias("name"), stem(name).alias("stem"))
 
 
-def read_coco_exports(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(images, annotations, categories) of all complete exports, each with a ``batch`` column;
-    ``pos`` is the place in the document's list.
+def read_coco_exports(spark: SparkSession, root: str, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(images, annotations, categories) of all complete exports, each with a ``batch`` column; ``pos`` orders a document's list.
 
-    A document is one JSON value and is parsed by one task; its arrays are then rows that spread
-    over the cluster with the first shuffle.
+    Action: one pass sums up the documents' byte ranges (``range_bytes`` each); the frames are lazy, and each reads only the ranges
+    that hold its list, in as many tasks as there are ranges, whatever the number of documents.
     """
-    docs = spark.read.schema(SCHEMA).option("multiLine", True).json(f"{root}/*/{DOCUMENT}")
-    docs = docs.withColumn("batch", _batch(_unescaped(F.col("_metadata.file_path")), DOCUMENT))
-    docs = docs.join(image_files(spark, root).select("batch").distinct(), "batch", "left_semi")
-
-    images = docs.select("batch", F.posexplode("images").alias("pos", "i")).select("batch", "pos", "i.*")
-    images = images.withColumnRenamed("id", "image_id")
-    annotations = docs.select("batch", F.inline("annotations"))
-    categories = docs.select("batch", F.posexplode("categories").alias("pos", "c")).select("batch", "c.*", "pos")
+    have = image_files(spark, root).select("batch").distinct()
+    docs = json_documents(spark, f"{root}/*/{DOCUMENT}")
+    complete = docs.join(have, _batch(F.col("path"), DOCUMENT) == F.col("batch"), "left_semi")
+    index = range_index(complete, list(ARRAYS), range_bytes)
+
+    def rows(name: str) -> DataFrame:
+        parsed = array_elements(index, name).withColumn("e", F.from_json("text", ARRAYS[name]))
+        return parsed.select(_batch(F.col("path"), DOCUMENT).alias("batch"), "pos", "e.*")
+
+    images = rows("images").withColumnRenamed("id", "image_id")
+    annotations = rows("annotations").drop("pos")
+    categories = rows("categories").select("batch", "id", "name", "pos")
     return images, annotations, categories
 
 

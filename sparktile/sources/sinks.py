@@ -32,6 +32,16 @@ def store_uri(spark: SparkSession, path: str) -> str:
     return ("s3" if scheme in ("s3a", "s3n") else scheme) + ":" + rest
 
 
+def open_store(path: str):
+    """(file system, path in it) inside a task, for a path as Spark lists it."""
+    from pyarrow import fs as pafs
+
+    scheme, _, rest = path.partition(":")
+    if scheme in ("", "file") or path.startswith("/"):
+        return pafs.LocalFileSystem(), "/" + (rest if scheme == "file" else path).lstrip("/")
+    return pafs.FileSystem.from_uri(("s3" if scheme in ("s3a", "s3n") else scheme) + ":" + rest)
+
+
 def task_folder(spark: SparkSession, path: str) -> str:
     """The folder, made if need be, as a URI that pyarrow.fs opens inside tasks."""
     fs, where = hadoop_path(spark, path)
