@@ -184,31 +184,42 @@ def q_neighbourhood(spark, d):
 FOLDER_ROWS = 100_000  # images and annotations of an export folder, so that a document stays far below the size of a row
 
 
+def has_file(image_id):
+    """Which images of the exports come with a file."""
+    return F.floor(image_id / 2) % 10 == 0
+
+
 def _coco_folder(spark, d):
-    """The annotated orders as export folders <batch>--<k> of bounded size: one document each, beside it an image folder with one file."""
+    """The annotated orders as export folders <batch>--<k> of bounded size: one document each, beside it the files of its images
+    in ten."""
     root = scratch_path(spark, "coco")
     images = t.coco_images(spark, d)
     folders = 1 + (images.count() + t.coco_polygons(spark, d).count()) // FOLDER_ROWS
-    images = images.withColumn("batch", F.concat("batch", F.lit("--"), F.pmod(F.xxhash64("image_id"), F.lit(folders)).cast("string")))
+    images = images.withColumn("batch", F.concat("batch", F.lit("--"), F.pmod(F.xxhash64("file_name"), F.lit(folders)).cast("string")))
     shapes = t.coco_polygons(spark, d).join(images.select("image_id", "batch"), "image_id")
-    listed = images.groupBy("batch").agg(F.collect_list(F.struct(F.col("image_id").alias("id"), "file_name", "width", "height")).alias("images"))
+    listed = images.groupBy("batch").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("image_id").alias("id"), "file_name", "width", "height"))).alias("images"),
+        F.collect_set(F.when(has_file(F.col("image_id")), F.col("file_name"))).alias("files"),
+    )
     drawn = shapes.groupBy("batch").agg(
         F.collect_list(F.struct("image_id", "category_id", F.col("polygons").alias("segmentation"))).alias("annotations")
     )
     categories = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(n).alias("name")) for i, n in ((1, "old"), (2, "hypha"), (1, "Inoculum"))])
     docs = listed.join(drawn, "batch", "left").withColumn("annotations", F.coalesce("annotations", F.array()))
-    docs = docs.select("batch", F.to_json(F.struct(categories.alias("categories"), "images", "annotations")).alias("doc"))
+    docs = docs.select("batch", F.to_json(F.struct(categories.alias("categories"), "images", "annotations")).alias("doc"), "files")
     folder = sinks.task_folder(spark, root)
 
     def write(frames):
         from pyarrow import fs as pafs
 
         for pdf in frames:
-            for batch, doc in zip(pdf.batch, pdf.doc):
+            for batch, doc, names in zip(pdf.batch, pdf.doc, pdf.files):
                 store, base = pafs.FileSystem.from_uri(folder)
-                for below, name, body in (("annotations", "instances_default.json", doc.encode()), ("images/default", "img_0.jpg", b"x")):
+                for below in ("annotations", "images/default"):
                     store.create_dir(f"{base}/{batch}/{below}", recursive=True)
-                    sinks.put_file(f"{folder}/{batch}/{below}", name, body)
+                sinks.put_file(f"{folder}/{batch}/annotations", "instances_default.json", doc.encode())
+                for name in ["extra.jpg", *names]:
+                    sinks.put_file(f"{folder}/{batch}/images/default", name, name.encode())
             yield pd.DataFrame({"n": [len(pdf)]})
 
     docs.mapInPandas(write, "n long").agg(F.sum("n")).collect()
@@ -232,6 +243,28 @@ def q_coco_export(spark, d):
     return masks.select(batch, "image_id", sums("mask").alias("s")).select("batch", "image_id", "s.*")
 
 
+@query("q_coco_to_masks", f"""WITH {t.COCO_SQL}, u AS (SELECT batch, file_name, max(image_id) AS image_id FROM coco_images GROUP BY 1,2),
+s AS (SELECT image_id, CAST(count(*) AS BIGINT) AS fg, CAST(sum(y*64+x) AS BIGINT) AS moment FROM coco_fg GROUP BY 1),
+w AS (SELECT batch, file_name, image_id FROM u WHERE image_id//2 % 10 = 0)
+SELECT 'mask' AS kind, batch||'_'||replace(file_name, '.jpg', '.png') AS name, coalesce(fg, 0) AS fg, coalesce(moment, 0) AS moment FROM w LEFT JOIN s USING (image_id)
+UNION ALL SELECT 'image', batch||'_'||file_name, CAST(length(file_name) AS BIGINT), CAST(-1 AS BIGINT) FROM w
+UNION ALL SELECT 'image', batch||'_extra.jpg', CAST(9 AS BIGINT), CAST(-1 AS BIGINT) FROM (SELECT DISTINCT batch FROM coco_images)""")
+def q_coco_to_masks(spark, d):
+    """The whole label export, and what is then in its two folders: masks by their foreground, copies by their length."""
+    out = scratch_path(spark, "coco-out")
+    jobs.coco_to_masks(spark, _coco_folder(spark, d), out)
+
+    @pandas_udf("fg long, moment long")
+    def sums(data: pd.Series) -> pd.DataFrame:
+        at = [np.flatnonzero(np.frombuffer(m, np.uint8)) for m in data]
+        return pd.DataFrame({"fg": [len(a) for a in at], "moment": [int(a.sum()) for a in at]})
+
+    plain = lambda c: F.regexp_replace(c, r"--\d+_", "_").alias("name")
+    masks = files.read_images(spark, f"{out}/masks").select(F.lit("mask").alias("kind"), plain("source_id"), sums("data").alias("s"))
+    copies = files.list_masks(spark, f"{out}/images").select(F.lit("image").alias("kind"), plain("source_id"), F.col("length").alias("fg"), F.lit(-1).cast("long").alias("moment"))
+    return masks.select("kind", "name", "s.*").unionByName(copies.distinct())
+
+
 @query("q_fold_errors", """WITH n AS (SELECT count(DISTINCT vec_id//16) AS have FROM embeddings), a(n_splits) AS (VALUES (0), (1), (2), (5), (1000000))
 SELECT CAST(n_splits AS INTEGER) AS n_splits, CASE WHEN n_splits < 2 THEN 'n_splits must be at least 2'
  WHEN have < n_splits THEN n_splits||' folds need at least as many groups, found '||have ELSE 'ok' END AS verdict FROM a, n""")

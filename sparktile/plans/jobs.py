@@ -12,7 +12,7 @@ from ..operators import annotations as ann
 from ..operators import blocks, patch_stats, scoring, splits, tiling, transforms
 from ..operators.pairing import IMAGE_EXTENSIONS, pair_diagnostics
 from ..session import scratch_path
-from ..sources import coco, files, sinks
+from ..sources import coco, committed, files, sinks
 
 
 @dataclass
@@ -115,20 +115,18 @@ def segment_images(spark: SparkSession, path: str, make_predict, cfg: Config) ->
 def write_segmentation(table: DataFrame, out: str, save_probabilities: bool = False) -> int:
     """<stem>_mask.png, <stem>_overlay.png and optionally <stem>_prob.png per image; the number of images.
 
-    The blocks are stored once in shared storage, so the model runs once for all three files. Of images with one stem the
-    last by name is written, as if files were written in that order.
+    The blocks are stored once in shared storage, so the model runs once; files are put together from lines of blocks, so no
+    row or task holds an image, and appear together when all are written. Of images with one stem the last by name is written,
+    as if files were written in that order.
     """
     spark = table.sparkSession
     stored = scratch_path(spark, "blocks")
     table.write.parquet(stored)
     kept = spark.read.parquet(stored)
     last = kept.groupBy(stem(F.col("source_id")).alias("stem")).agg(F.max("source_id").alias("source_id"))
-    whole = scoring.assemble(kept.join(last.select("source_id"), "source_id", "left_semi")).withColumn("stem", stem(F.col("source_id")))
-    n = sinks.write_rasters(whole, out, "mask")
-    sinks.write_rasters(whole, out, "overlay")
-    if save_probabilities:
-        sinks.write_rasters(whole, out, "prob")
-    return n
+    named = kept.join(last, "source_id")
+    committed.write_block_rasters(named, out, ("mask", "overlay", *(("prob",) if save_probabilities else ())))
+    return last.count()
 
 
 def export_masks(images: DataFrame, annotations: DataFrame, categories: DataFrame, ignore=ann.IGNORED) -> DataFrame:
@@ -156,29 +154,33 @@ def coco_to_masks(spark: SparkSession, root: str, out: str, ignore=ann.IGNORED,
     replaced by the last batch's. Returns counts: masks, images, blank (listed without annotations), skipped (masks without
     image file), collided (masks and files lost to an equal name).
     """
-    images, annotations, categories = coco.read_coco_exports(spark, root)
-    have = coco.image_files(spark, root)
+    def stored(frame: DataFrame, label: str) -> DataFrame:
+        frame.write.parquet(path := scratch_path(spark, label))
+        return spark.read.parquet(path)
+
+    # documents are parsed once, masks painted once
+    images, annotations, categories = (stored(f, "coco") for f in coco.read_coco_exports(spark, root))
+    have = stored(coco.image_files(spark, root), "coco-files")
     complete = images.select("batch").distinct()
     have = have.join(complete, "batch", "left_semi")
     # of two entries with one stem in a batch the later one in the document stays
-    unique = images.withColumn("stem", stem(F.col("file_name"))).groupBy("batch", "stem").agg(
+    unique = stored(images.withColumn("stem", stem(F.col("file_name"))).groupBy("batch", "stem").agg(
         F.max_by(F.struct("image_id", "file_name", "width", "height"), "pos").alias("i")
-    ).select("batch", "i.*")
+    ).select("batch", "i.*"), "coco-unique")
 
     masks = export_masks(unique, annotations, categories, ignore)
     kept = ann.restrict_to_images(masks, have, ("batch", "stem"))
-    stems = ann.prefix_names(kept.select("batch", "image_id", "stem"), "batch", "stem", prefix)
-    named = stems.select("batch", "image_id", "out_name")
-    sinks.replace_folder(spark, f"{out}/masks")
-    sinks.replace_folder(spark, f"{out}/images")
-    n_masks = sinks.write_rasters(kept.join(named, ["batch", "image_id"]), f"{out}/masks", "mask", suffix="", name="out_name")
+    wanted = ann.restrict_to_images(ann.with_stem(unique, "file_name"), have, ("batch", "stem"))
+    stems = ann.prefix_names(wanted.select("batch", "image_id", "stem"), "batch", "stem", prefix)
+    named = stems.select("batch", "image_id", F.concat("out_name", F.lit(".png")).alias("out_name"))
+    pngs = kept.withColumn("content", sinks.encoded("mask")(F.col("mask"), F.col("height"), F.col("width")))
+    committed.write_files(pngs.join(named, ["batch", "image_id"]), f"{out}/masks", replace=True)
 
-    files_named = ann.prefix_names(have, "batch", "name", prefix).select("path", "out_name", "collided")
+    files_named = stored(ann.prefix_names(have, "batch", "name", prefix).select("path", "out_name", "collided"), "coco-names")
     content = spark.read.format("binaryFile").load(f"{root}/*/{coco.IMAGES}").select("path", "content")
-    n_images = sinks.copy_files(content.join(files_named.drop("collided"), "path"), f"{out}/images")
+    committed.write_files(content.join(files_named.drop("collided"), "path"), f"{out}/images", replace=True)
 
-    counted = ann.annotations_by_image(unique, annotations, ("batch", "image_id"))
-    blank = counted.where("n_ann = 0").count()
+    blank = ann.annotations_by_image(unique, annotations, ("batch", "image_id")).where("n_ann = 0").count()
     skipped = ann.restrict_to_images(ann.with_stem(unique, "file_name"), have, ("batch", "stem"), missing=True).count()
     lost = stems.select("collided").unionByName(files_named.select("collided")).agg(F.sum("collided")).first()[0] or 0
-    return {"masks": n_masks, "images": n_images, "blank": blank, "skipped": skipped, "collided": lost}
+    return {"masks": stems.count(), "images": files_named.count(), "blank": blank, "skipped": skipped, "collided": lost}

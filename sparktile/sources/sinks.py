@@ -67,6 +67,16 @@ def _encode(body: bytes, h: int, w: int, kind: str) -> bytes:
     return png_bytes(np.frombuffer(body, np.uint8).reshape(shape))
 
 
+def encoded(kind: str):
+    """A function of columns (bytes, height, width) that gives a PNG."""
+
+    @F.pandas_udf("binary")
+    def encode(body: pd.Series, height: pd.Series, width: pd.Series) -> pd.Series:
+        return pd.Series([_encode(b, h, w, kind) for b, h, w in zip(body, height, width)])
+
+    return encode
+
+
 def write_rasters(df: DataFrame, path: str, kind: str = "mask", column: str | None = None, suffix: str | None = None, name: str = "stem") -> int:
     """Write one PNG per row as <name><suffix>.png and return how many.
 
