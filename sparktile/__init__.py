@@ -79,11 +79,13 @@ from .operators.tiling import (
     unpack_images,
     unpack_tiles,
 )
+from .operators.training import apply_model, ridge_cv, train_tiles
 from .operators.transforms import (
     affine,
     augment_tiles,
     brightness_contrast,
     clahe,
+    clahe_long,
     defocus,
     eval_transform,
     gamma,
@@ -101,6 +103,7 @@ from .operators.transforms import (
 from .plans.jobs import Config, analyze_patches, coco_to_masks, prepare_samples, segment_blocks, segment_images, write_segmentation
 from .session import get_spark
 from .sources.coco import read_coco_exports
+from .sources.committed import write_block_rasters, write_files
 from .sources.files import decode_gray, decode_rgb, image_records, list_images, list_masks, load_pairs, read_images
 from .sources.headers import read_headers
 from .sources.sinks import write_metrics_csv, write_rasters, write_summary_json

@@ -56,13 +56,11 @@ def dice_iou_from_logits(df: DataFrame, sample: list[str], logit: Column, target
 
 def dice_iou_packed(tiles: DataFrame, sample: list[str], logits: str = "logits", mask: str = "mask", threshold: float = 0.5, smooth: float = SMOOTH) -> DataFrame:
     """The same per packed tile: ``logits`` array<float or double>, ``mask`` 0/1 bytes. One narrow Arrow pass, no shuffle."""
-    bar = np.log(threshold / (1.0 - threshold))  # sigmoid(z) >= threshold where z >= bar
-
     @pandas_udf("inter double, pred double, target double")
     def sums(z: pd.Series, m: pd.Series) -> pd.DataFrame:
         out = []
         for scores, truth in zip(z, m):
-            hit, t = np.asarray(scores) >= bar, np.frombuffer(truth, np.uint8) > 0
+            hit, t = 1.0 / (1.0 + np.exp(-np.asarray(scores, np.float64))) >= threshold, np.frombuffer(truth, np.uint8) > 0
             out.append(((hit & t).sum(), hit.sum(), t.sum()))
         return pd.DataFrame(out, columns=["inter", "pred", "target"], dtype="float64")
 

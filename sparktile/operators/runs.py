@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,7 +79,10 @@ def fold_results(log: DataFrame, metric: str, mode: str, fold_counts: DataFrame
         out = best.join(last, F.col("run").eqNullSafe(F.col("_run")) & F.col("fold").eqNullSafe(F.col("_fold"))).drop("_run", "_fold")
     if fold_counts is None:
         return out
-    return out.join(fold_counts, [k for k in FOLD if k in fold_counts.columns], "left")
+    keys = [k for k in FOLD if k in fold_counts.columns]
+    counts = fold_counts.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])  # a null fold is a fold
+    return out.join(counts, same, "left").drop(*[f"_{k}" for k in keys])
 
 
 def _stats(metrics: list[str]):

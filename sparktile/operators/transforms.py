@@ -12,7 +12,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pixels import clip_u8
@@ -134,6 +134,78 @@ def defocus_long(tiles: DataFrame, sample: list[str], side: int, radius: int, al
     return _blurred(tiles, sample, _spread(tiles.select(*keys, *bands), keys, ["dy", "dx"], kernel, side, bands), bands)
 
 
+def _mirrored(length: int, cells: int) -> list[list[int]]:
+    """For each place of an axis the cells it counts in, once more for every mirrored copy that fills the last cells up."""
+    size, turn = -(-length // cells), 2 * max(length - 1, 1)
+    out: list[list[int]] = [[] for _ in range(length)]
+    for p in range(cells * size):
+        q = p % turn
+        out[min(q, turn - q) if length > 1 else 0].append(p // size)
+    return out
+
+
+def equalize_pixels(tiles: DataFrame, sample: list[str], side: int, value: str, clip: float, grid=(8, 8), out: str = "equalized") -> DataFrame:
+    """Contrast-limited adaptive equalisation of a byte column of dense long tiles, in built-in functions: adds ``out``.
+
+    Histograms per (tile, cell, value) with map-side sums; clipping, sharing of the excess and the curve's running sum are
+    windows over one cell's 256 rows; a pixel meets the curves of all cells at its value in one join on (tile, value).
+    """
+    (gh, gw), full = grid, F.lit(255.0)
+    ch, cw = -(-side // gh), -(-side // gw)
+    limit, cell = max(1, int(clip * ch * cw / 256)), [*sample, "_cy", "_cx"]
+
+    def cells(axis: str, count: int):
+        return F.explode(F.get(F.array(*[F.array(*map(F.lit, c)) for c in _mirrored(side, count)]), F.col(axis)))
+
+    seen = tiles.select(*sample, "dx", F.col(value).alias("_v"), cells("dy", gh).alias("_cy")).select(*sample, "_v", "_cy", cells("dx", gw).alias("_cx"))
+    counted = seen.groupBy(*cell, "_v").agg(F.count("*").alias("_n"))
+    bins = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: F.struct(v.alias("_v"), F.lit(0).cast("long").alias("_n")))
+    dense = counted.unionByName(counted.select(*cell).distinct().select(*cell, F.inline(bins))).groupBy(*cell, "_v").agg(F.sum("_n").alias("_n"))
+    whole = Window.partitionBy(*cell)
+    dense = dense.withColumn("_extra", F.sum(F.greatest(F.col("_n") - limit, F.lit(0))).over(whole)).withColumn("_rest", F.col("_extra") % 256)
+    apart = F.greatest(F.lit(1), F.floor(F.lit(256) / F.greatest(F.col("_rest"), F.lit(1))))
+    one = (F.col("_rest") > 0) & (F.col("_v") % apart == 0) & (F.floor(F.col("_v") / apart) < F.col("_rest"))
+    shared = dense.withColumn("_n", F.least(F.col("_n"), F.lit(limit)) + F.floor(F.col("_extra") / 256) + one.cast("int"))
+    upto = F.sum("_n").over(whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    curve = F.least(full, F.floor(upto * (255.0 / (ch * cw)) + 0.5).cast("double"))
+    placed = F.struct((F.col("_cy") * gw + F.col("_cx")).alias("c"), curve.alias("l"))
+    curves = shared.select(*sample, "_v", placed.alias("_p")).groupBy(*sample, "_v").agg(F.array_sort(F.collect_list("_p"))["l"].alias("_curves"))
+    # a tile's curves are 256 rows of gh * gw numbers, against side**2 pixels
+    both = tiles.withColumn("_v", F.col(value)).join(curves, [*sample, "_v"])
+
+    def place(axis: str, size: int, count: int):
+        at = (F.col(axis) + 0.5) / size - 0.5
+        low = F.floor(at).cast("int")
+        inside = lambda x: F.greatest(F.lit(0), F.least(F.lit(count - 1), x))
+        return inside(low), inside(low + 1), at - low
+
+    (ya, yb, wy), (xa, xb, wx) = place("dy", ch, gh), place("dx", cw, gw)
+    line = lambda y: F.get("_curves", y * gw + xa) * (1 - wx) + F.get("_curves", y * gw + xb) * wx
+    return both.withColumn(out, F.floor(line(ya) * (1 - wy) + line(yb) * wy + 0.5).cast("int")).drop("_v", "_curves")
+
+
+def clahe_long(tiles: DataFrame, sample: list[str], side: int, clip: float = 2.0, grid=(8, 8)) -> DataFrame:
+    """``clahe`` of dense long tiles with r, g, b: grey tiles directly, colour tiles on CIE lightness with a and b kept."""
+    r, g, b = (F.col(c) for c in BANDS)
+    coloured = tiles.groupBy(*sample).agg(F.bool_or((r != g) | (g != b)).alias("_coloured"))
+    tiles_ = tiles.join(coloured, sample)
+    linear = [F.when(c / 255.0 > 0.04045, F.pow((c / 255.0 + 0.055) / 1.055, F.lit(2.4))).otherwise(c / 255.0 / 12.92) for c in (r, g, b)]
+    t = [sum(float(m) * v for m, v in zip(row, linear)) / float(w) for row, w in zip(kernels.RGB_TO_XYZ, kernels.WHITE)]
+    f = [F.when(v > kernels.LAB_EDGE, F.cbrt(v)).otherwise(7.787 * v + 16 / 116) for v in t]
+    as_byte = lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v + 0.5))).cast("int")
+    tiles_ = tiles_.withColumns({"_fx": f[0], "_fy": f[1], "_fz": f[2]})
+    lit = tiles_.withColumn("_light", F.when(F.col("_coloured"), as_byte((116 * F.col("_fy") - 16) * 2.55)).otherwise(r))
+    done = equalize_pixels(lit, sample, side, "_light", clip, grid, "_e")
+    fy = (F.col("_e") / 2.55 + 16) / 116
+    back = [fy + F.col("_fx") - F.col("_fy"), fy, fy + F.col("_fz") - F.col("_fy")]
+    done = done.withColumns({f"_t{i}": F.when(v * v * v > kernels.LAB_EDGE, v * v * v).otherwise((v - 16 / 116) / 7.787) * float(w) for i, (v, w) in enumerate(zip(back, kernels.WHITE))})
+    inverse = np.linalg.inv(kernels.RGB_TO_XYZ)
+    plain = [F.greatest(F.lit(0.0), F.least(F.lit(1.0), sum(float(m) * F.col(f"_t{i}") for i, m in enumerate(row)))) for row in inverse]
+    bands = [as_byte(255 * F.when(v > 0.0031308, 1.055 * F.pow(v, F.lit(1 / 2.4)) - 0.055).otherwise(12.92 * v)) for v in plain]
+    final = {c: F.when(F.col("_coloured"), v).otherwise(F.col("_e")) for c, v in zip(BANDS, bands)}
+    return done.select(*[final[c].alias(c) if c in final else F.col(c) for c in tiles.columns])
+
+
 # --- steps on one packed tile: (image HxWx3 bytes, mask HxW bytes, generator) -> (image, mask) ----
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.pixels import luma
-from ..operators import models, scoring, splits, tiling, transforms
+from ..operators import models, scoring, splits, tiling, training, transforms
 from ..session import scratch_path
 from ..sources import files, headers, sinks
 from ..sources import tables as t
@@ -156,6 +156,50 @@ def q_grouped_cv(spark, d):
     return models.search_results(model)
 
 
+def _epoch_sql(k: int, lr: float) -> str:
+    """Step and scores of epoch k: w{k} from w{k-1}, then the sums over validation tiles."""
+    z = lambda w: f"({w}.a0*x0_+{w}.a1*x1_+{w}.a2*x2_+{w}.a3)"
+    loss = lambda z: f"(greatest({z}, 0.0) - {z}*t + ln(1+exp(-abs({z}))))"
+    p = f"(1/(1+exp(-{z('w')})) - t)"
+    step = ", ".join(f"any_value(w.a{i}) - {lr}::DOUBLE*avg({p}{f'*x{i}_' if i < 3 else ''}) AS a{i}" for i in range(4))
+    return f"""w{k} AS MATERIALIZED (SELECT f.fold, {step}, avg({loss(z('w'))}) AS train_loss FROM f JOIN w{k - 1} w USING (fold) WHERE role='train' GROUP BY f.fold),
+s{k} AS (SELECT f.fold, source_id, y0, x0, sum(CAST({z('w')} >= 0 AS INTEGER)*t) AS i, sum(CAST({z('w')} >= 0 AS INTEGER)) + sum(t) AS u, sum({loss(z('w'))}) AS l, count(*) AS n
+  FROM f JOIN w{k} w USING (fold) WHERE role='val' GROUP BY f.fold, source_id, y0, x0),
+i{k} AS (SELECT fold, source_id, sum((2*i+1e-6)/(u+1e-6)) AS d, count(*) AS tiles, sum(i) AS i, sum(u) AS u, sum(l) AS l, sum(n) AS n FROM s{k} GROUP BY 1,2)"""
+
+
+def _log_sql(k: int, lr: float) -> str:
+    return f"""SELECT i.fold, CAST({k} AS INTEGER) AS epoch, {lr}::DOUBLE AS lr, round(any_value(train_loss), 6) AS train_loss, round(sum(l)/sum(n), 6) AS val_loss,
+  round(sum(d)/sum(tiles), 6) AS val_dice_per_patch, round(avg((2*i+1e-6)/(u+1e-6)), 6) AS val_dice_per_image FROM i{k} i JOIN w{k} USING (fold) GROUP BY i.fold"""
+
+
+_NORMAL = ", ".join(f"({c}/255.0::DOUBLE - {m})/{s}::DOUBLE AS x{i}_" for i, (c, m, s) in enumerate(zip("rgb", transforms.MEAN, transforms.STD)))
+
+
+@query("q_train_tiles", f"""WITH {RGB}, k AS (SELECT source_id, CAST((row_number() OVER (ORDER BY md5('42:'||source_id)) - 1)%2 AS INTEGER) AS own FROM images),
+f AS MATERIALIZED (SELECT CAST(n AS INTEGER) AS fold, CASE WHEN n=own THEN 'val' ELSE 'train' END AS role, source_id, y0, x0, t, {_NORMAL} FROM c JOIN k USING (source_id), range(2) r(n)),
+w0 AS (SELECT DISTINCT fold, 0.0::DOUBLE AS a0, 0.0::DOUBLE AS a1, 0.0::DOUBLE AS a2, 0.0::DOUBLE AS a3 FROM f),
+{_epoch_sql(1, 0.5)}, {_epoch_sql(2, 0.5)} {_log_sql(1, 0.5)} UNION ALL {_log_sql(2, 0.5)}""")
+def q_train_tiles(spark, d):
+    """Two epochs on two folds of images: the log with its rates, losses and metrics per tile and per image."""
+    roles = splits.kfold_splits(splits.distinct_groups(t.px_images(spark, d)), 2)
+    _, log = training.train_tiles(packed_tiles(spark, d), roles, 2, 0.5)
+    return log.select("fold", "epoch", "lr", *[F.round(c, 6).alias(c) for c in ("train_loss", "val_loss", "val_dice_per_patch", "val_dice_per_image")])
+
+
+@query("q_ridge_cv", f"""WITH {t.PX_SQL}, k AS (SELECT source_id, CAST((row_number() OVER (ORDER BY md5('42:'||source_id)) - 1)%3 AS INTEGER) AS fold FROM images),
+o AS (SELECT fold, count(*)::DOUBLE AS n, sum(z) AS sx, sum(m::DOUBLE) AS sy, sum(z*z) AS xx, sum(z*m) AS xy, sum(m::DOUBLE*m) AS yy FROM px JOIN k USING (source_id) GROUP BY fold),
+r AS (SELECT o.*, sum(n) OVER () - n AS rn, sum(sx) OVER () - sx AS rsx, sum(sy) OVER () - sy AS rsy, sum(xx) OVER () - xx AS rxx, sum(xy) OVER () - xy AS rxy FROM o),
+b AS (SELECT *, (rn*rxy - rsx*rsy)/(rn*(rxx + penalty*rn) - rsx*rsx) AS b1 FROM r, (VALUES (0.0::DOUBLE), (0.1::DOUBLE), (5.0::DOUBLE)) v(penalty)),
+e AS (SELECT *, (rsy - b1*rsx)/rn AS b0 FROM b)
+SELECT penalty, fold, round((yy - 2*b1*xy - 2*b0*sy + b1*b1*xx + 2*b0*b1*sx + b0*b0*n)/n, 4) AS mse FROM e""")
+def q_ridge_cv(spark, d):
+    """Held-out errors of a ridge regression for three penalties on three folds of images, from one pass."""
+    folds = splits.assign_folds(splits.distinct_groups(t.px_images(spark, d)), 3)
+    scores = training.ridge_cv(t.px(spark, d), folds.select("source_id", F.col("fold").cast("int").alias("fold")), ["z"], "m", [0.0, 0.1, 5.0])
+    return scores.withColumn("mse", F.round("mse", 4))
+
+
 @query("q_loss_history")
 def q_loss_history(spark, d):
     pixels, _ = _training(spark, d)

@@ -237,19 +237,17 @@ def q_kfold_expand(spark, d):
 
 
 @query("q_manual_split", f"""WITH {PAIR_SQL}, want AS (
-  SELECT CASE WHEN quality=1 THEN 'doc_'||doc_id ELSE 'doc_'||doc_id||'.JPG' END AS val_id FROM labels WHERE quality=0 OR toxic=0)
+  SELECT CASE WHEN quality=1 THEN 'doc_'||doc_id ELSE 'doc_'||doc_id||'.JPG' END AS val_id FROM labels)
 SELECT CAST(0 AS INTEGER) AS fold, source_id,
- CASE WHEN EXISTS (SELECT 1 FROM want w WHERE (w.val_id=p.source_id OR w.val_id=p.stem) AND hash_even(p.stem)) THEN 'val' ELSE 'train' END AS role
-FROM pairs p""".replace("hash_even(p.stem)", "substr(md5(p.stem),1,1) < '8'"))
+ CASE WHEN EXISTS (SELECT 1 FROM want w WHERE w.val_id=p.source_id OR w.val_id=p.stem) THEN 'val' ELSE 'train' END AS role
+FROM pairs p""")
 def q_manual_split(spark, d):
-    """Validation ids by stem for good labels and by file name for the others."""
+    """Validation ids of all labels, by stem for good ones and by file name for the others; what names no group is told by ``unknown_ids``."""
     groups = _groups(spark, d)
-    l = t.table(spark, d, "labels").where("quality = 0 or toxic = 0")
     doc = F.concat(F.lit("doc_"), "doc_id")
-    want = l.select(doc.alias("stem"), F.when(F.col("quality") == 1, doc).otherwise(F.concat(doc, F.lit(".JPG"))).alias("val_id"))
-    want = want.where(F.substring(F.md5("stem"), 1, 1) < "8")
-    known = groups.select(F.explode(F.array("source_id", stem_of(F.col("source_id")))).alias("val_id")).distinct()
-    return splits.manual_split(groups, want.join(known, "val_id", "left_semi"))
+    want = t.table(spark, d, "labels").select(F.when(F.col("quality") == 1, doc).otherwise(F.concat(doc, F.lit(".JPG"))).alias("val_id"))
+    unknown = splits.unknown_ids(groups, want)
+    return splits.manual_split(groups, want.join(unknown, "val_id", "left_anti"))
 
 
 @query("q_unknown_ids", f"""WITH {PAIR_SQL}, want AS (

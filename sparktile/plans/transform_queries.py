@@ -201,38 +201,49 @@ def q_affine(spark, d):
     return tiling.unpack_tiles(transforms.affine(packed_tiles(spark, d), SHIFT, SCALE, TURN))
 
 
-def _clahe_sql(limit, half):
-    """2x2 cells of 8x8 pixels on grey tiles (r = g = b)."""
+def _clahe_sql(limit, half, colour):
+    """2x2 cells of 8x8 pixels; the curves of a tile are materialised as one array per value."""
     at = f"(({{0}}+0.5)/{half} - 0.5)"
     ay, ax = at.format("dy"), at.format("dx")
-
-    def low(v):
-        return f"CAST(greatest(0, floor({v})) AS INTEGER)"
-
-    def high(v):
-        return f"CAST(least(1, floor({v})+1) AS INTEGER)"
-
-    def lut(name, cy, cx):
-        return f"JOIN lut {name} ON {name}.source_id=g.source_id AND {name}.y0=g.y0 AND {name}.x0=g.x0 AND {name}.v=g.r AND {name}.cy={cy} AND {name}.cx={cx}"
-
-    value = "(a.l*(1-wx)+b.l*wx)*(1-wy)+(e.l*(1-wx)+f.l*wx)*wy"
-    return f"""WITH {RGB}, g AS (SELECT *, {low(ay)} AS ya, {high(ay)} AS yb, {ay}-floor({ay}) AS wy, {low(ax)} AS xa, {high(ax)} AS xb, {ax}-floor({ax}) AS wx FROM c),
-v AS (SELECT CAST(i AS INTEGER) AS v FROM range(256) r(i)),
-n AS (SELECT source_id, y0, x0, dy//{half} AS cy, dx//{half} AS cx, r AS v, count(*) AS n FROM c GROUP BY ALL),
-h AS (SELECT k.*, v.v, coalesce(n.n,0) AS n FROM (SELECT DISTINCT source_id, y0, x0, cy, cx FROM n) k, v
-  LEFT JOIN n ON n.source_id=k.source_id AND n.y0=k.y0 AND n.x0=k.x0 AND n.cy=k.cy AND n.cx=k.cx AND n.v=v.v),
+    low, high = "CAST(greatest(0, floor({})) AS INTEGER)", "CAST(least(1, floor({})+1) AS INTEGER)"
+    line = "(ls[2*{0}+xa+1]*(1-wx)+ls[2*{0}+xb+1]*wx)"
+    value = U8.format(f"{line.format('ya')}*(1-wy)+{line.format('yb')}*wy")
+    if colour:
+        c2l = "CASE WHEN {0}/255.0::DOUBLE > 0.04045 THEN pow(({0}/255.0::DOUBLE+0.055)/1.055, 2.4) ELSE {0}/255.0::DOUBLE/12.92 END AS l{0}"
+        linear = ", ".join(c2l.format(c) for c in "rgb")
+        xyz = [f"({'+'.join(f'{float(m)!r}::DOUBLE*l{c}' for m, c in zip(row, 'rgb'))})/{float(w)!r}::DOUBLE" for row, w in zip(kernels.RGB_TO_XYZ, kernels.WHITE)]
+        lab = ", ".join(f"CASE WHEN {v} > 0.008856 THEN cbrt({v}) ELSE 7.787*({v})+16/116.0::DOUBLE END AS f{n}" for n, v in zip("xyz", xyz))
+        source = f"""k AS (SELECT source_id, y0, x0, bool_or(r<>g OR g<>b) AS coloured FROM c GROUP BY ALL), lin AS (SELECT *, {linear} FROM c JOIN k USING (source_id, y0, x0)),
+lab AS (SELECT *, {lab} FROM lin), c2 AS MATERIALIZED (SELECT *, CASE WHEN coloured THEN {U8.format("(116*fy-16)*2.55::DOUBLE")} ELSE r END AS light FROM lab)"""
+        t3 = ", ".join(f"CASE WHEN {v}*{v}*{v} > 0.008856 THEN {v}*{v}*{v} ELSE ({v}-16/116.0::DOUBLE)/7.787 END*{float(w)!r}::DOUBLE AS t{n}" for n, v, w in zip("xyz", ("(ny+fx-fy)", "ny", "(ny+fz-fy)"), kernels.WHITE))
+        plain = ", ".join(f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, {'+'.join(f'({float(m)!r}::DOUBLE)*t{n}' for m, n in zip(row, 'xyz'))})) AS p{c}" for c, row in zip("rgb", kernels.np.linalg.inv(kernels.RGB_TO_XYZ)))
+        band = lambda c: "CASE WHEN coloured THEN " + U8.format(f"255*CASE WHEN p{c} > 0.0031308 THEN 1.055*pow(p{c}, 1/2.4::DOUBLE)-0.055 ELSE 12.92*p{c} END") + f" ELSE e END AS {c}"
+        ending = f""", y AS (SELECT *, (e/2.55::DOUBLE+16)/116 AS ny FROM o), t3 AS (SELECT *, {t3} FROM y), p3 AS (SELECT *, {plain} FROM t3)
+SELECT source_id, y0, x0, dy, dx, {band("r")}, {band("g")}, {band("b")}, t FROM p3"""
+    else:
+        source, ending = "c2 AS (SELECT *, r AS light FROM c)", " SELECT source_id, y0, x0, dy, dx, e AS r, e AS g, e AS b, t FROM o"
+    return f"""WITH {RGB}, {source}, n AS (SELECT source_id, y0, x0, dy//{half} AS cy, dx//{half} AS cx, light AS v, count(*) AS n FROM c2 GROUP BY ALL),
+h AS (SELECT source_id, y0, x0, cy, cx, v, CAST(sum(n) AS INTEGER) AS n FROM (SELECT * FROM n UNION ALL
+  SELECT source_id, y0, x0, cy, cx, CAST(unnest(range(256)) AS INTEGER), 0 FROM (SELECT DISTINCT source_id, y0, x0, cy, cx FROM n)) GROUP BY ALL),
 x AS (SELECT *, CAST(sum(greatest(n-{limit},0)) OVER (PARTITION BY source_id,y0,x0,cy,cx) AS INTEGER) AS extra FROM h),
 h2 AS (SELECT *, least(n,{limit}) + extra//256 + CASE WHEN extra%256>0 AND v%greatest(1,256//(extra%256))=0 AND v//greatest(1,256//(extra%256)) < extra%256 THEN 1 ELSE 0 END AS n2 FROM x),
-lut AS (SELECT source_id,y0,x0,cy,cx,v, least(255.0, floor(sum(n2) OVER (PARTITION BY source_id,y0,x0,cy,cx ORDER BY v)*255.0/{half * half}+0.5)) AS l FROM h2),
-o AS (SELECT g.source_id, g.y0, g.x0, g.dy, g.dx, {U8.format(value)} AS r, g.t FROM g {lut('a', 'g.ya', 'g.xa')} {lut('b', 'g.ya', 'g.xb')} {lut('e', 'g.yb', 'g.xa')} {lut('f', 'g.yb', 'g.xb')})
-SELECT source_id, y0, x0, dy, dx, r, r AS g, r AS b, t FROM o"""
+lut AS (SELECT source_id,y0,x0,cy,cx,v, least(255.0::DOUBLE, floor(sum(n2) OVER (PARTITION BY source_id,y0,x0,cy,cx ORDER BY v)*(255.0::DOUBLE/{half * half})+0.5)) AS l FROM h2),
+ll AS MATERIALIZED (SELECT source_id,y0,x0,v AS light, list(l ORDER BY cy, cx) AS ls FROM lut GROUP BY ALL),
+pl AS (SELECT *, {low.format(ay)} AS ya, {high.format(ay)} AS yb, {ay}-floor({ay}) AS wy, {low.format(ax)} AS xa, {high.format(ax)} AS xb, {ax}-floor({ax}) AS wx FROM c2),
+o AS (SELECT *, {value} AS e FROM pl JOIN ll USING (source_id, y0, x0, light)){ending}"""
 
 
-@query("q_clahe", _clahe_sql(2, P // 2))
+@query("q_clahe", _clahe_sql(2, P // 2, False))
 def q_clahe(spark, d):
     return tiling.unpack_tiles(transforms.clahe(packed_tiles(spark, d, grey=True), 8.0, (2, 2)))
 
 
+@query("q_clahe_long", _clahe_sql(2, P // 2, True))
+def q_clahe_long(spark, d):
+    """The same in built-in functions, on colour tiles: lightness is equalised, a and b are kept."""
+    return transforms.clahe_long(long_tiles(spark, d), ["source_id", "y0", "x0"], P, 8.0, (2, 2))
+
+
 def _summary(samples):
     """Per tile: mask size and a rounded mean of the tensor."""
     total = F.aggregate("tensor", F.lit(0.0), lambda s, v: s + v.cast("double"))
