@@ -7,7 +7,7 @@ stays general.  Labels are only used to learn the lexicon's weights and the cali
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,8 +32,7 @@ REPORTS = ("said", "says", "wrote", "claims", "quoted", "sagte", "schrieb", "dit
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE_END = re.compile(r"[.!?;:\n]")
 STEM_LENGTHS = (3, 4, 5, 6, 7, 8)
-LONGEST_WORD = 24
-CLAUSE_CHARS = 400  # words of the grammar further away than this from a match do not reach it (its memory is a few words)
+ENDS = ".!?;:\n"  # the same characters
 
 
 @dataclass(frozen=True)
@@ -90,7 +89,7 @@ class Composition:
             found = self.table[(state, kind)] = (tuple(s for s, _ in moves), weight)
         return found
 
-    def clause(self, words: list[tuple[str, float]]) -> float:
+    def clause(self, words: Iterable[tuple[str, float]]) -> float:
         """Weight of one clause given (class, lexicon weight) per word."""
         state, total = (0,) * len(self.parts), 0.0
         for kind, weight in words:
@@ -143,40 +142,22 @@ class Matcher:
         return (kind, 1.0 if kind in ("threat", "target") else 0.0) if kind else ("other", 0.0)
 
     def total(self, text: str) -> float:
-        """Sum of the weights of all clauses that hold a match.
-
-        Of a long clause only whole words within ``CLAUSE_CHARS`` of a match are read; parts that touch are read as one.
-        """
-        low = text.lower()
-        total, a, b, ended = 0.0, 0, 0, True  # [a, b) is to be read; no further word belongs to it once it has ended
-
-        def read() -> float:
-            return self.grammar.clause([self.classify(m.group()) for m in WORD.finditer(low, a, b)]) if a < b else 0.0
-
+        """Sum of the weights of all clauses that hold a match; each is read once, as a whole, word by word."""
+        low, total, done = text.lower(), 0.0, 0
         for end, size in self.automaton.iter(low):
             start = end - size + 1
-            if start < b and (ended or end + CLAUSE_CHARS <= b) or (start and low[start - 1].isalpha()):
+            if start < done or (start and low[start - 1].isalpha()):
                 continue
-            reach = max(b, start - CLAUSE_CHARS)
-            since = max((m.end() for m in CLAUSE_END.finditer(low, reach, start)), default=None)
-            if ended or since is not None or reach > b:
-                total += read()
-                a = reach if since is None else since
-                cut = WORD.match(low, a - 1) if a else None
-                if cut and cut.end() > a:  # inside a word
-                    a = cut.end()
-                b = a
-            stop = CLAUSE_END.search(low, max(b, end), end + CLAUSE_CHARS)
-            b, ended = (stop.start(), True) if stop else (max(b, min(len(low), end + CLAUSE_CHARS)), False)
-            cut = WORD.match(low, b - 1) if b and not ended else None
-            if cut:  # on to the end of the word
-                b = max(b, cut.end())
-        return total + read()
+            begin = max(done, *(low.rfind(c, done, start) + 1 for c in ENDS))
+            stop = CLAUSE_END.search(low, end)
+            done = stop.start() if stop else len(low)
+            total += self.grammar.clause(self.classify(m.group()) for m in WORD.finditer(low, begin, done))
+        return total
 
 
 def word_forms(text: str) -> set[str]:
     """Distinct words and word beginnings of a text; a trailing ``*`` marks a beginning."""
-    words = {w for w in WORD.findall(text.lower()) if len(w) <= LONGEST_WORD}
+    words = set(WORD.findall(text.lower()))
     return words | {w[:k] + "*" for w in words for k in STEM_LENGTHS if len(w) > k}
 
 
@@ -188,12 +169,11 @@ def copy_key(text: str) -> int:
     return min((zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - 2))), default=0)
 
 
-def fit_toxicity(records: DataFrame, labels: DataFrame, rows_per_label: int = 6000, max_entries: int = 20_000) -> ToxicityModel:
+def fit_toxicity(records: DataFrame, labels: DataFrame, rows_per_label: int = 6000) -> ToxicityModel:
     """Action: learns lexicon weights from (source_id, text) and (source_id, toxic), on about ``rows_per_label`` of each label.
 
     Counts of words and word beginnings by label are summed on Spark over one text of each group of copies; entries that
-    are significantly tied to the label become insults of the lexicon, the strongest ``max_entries`` at most (the bound of
-    the broadcast).  The calibration is fitted on the sample's clause sums.  Null labels are not used, null text is empty.
+    are significantly tied to the label become insults of the lexicon, all of them: the rows bound their number.  The calibration is fitted on the sample's clause sums.  Null labels are not used, null text is empty.
     Without labels the seed words and a fixed calibration remain.
     """
     usable = labels.select("source_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1))
@@ -236,7 +216,7 @@ def fit_toxicity(records: DataFrame, labels: DataFrame, rows_per_label: int = 60
     cut = 2 * float(np.log(max(2, n_clean + n_toxic) * 50.0)) + 4
     best = (
         counted.where(F.col("form").isNotNull()).withColumn("weight", smooth).withColumn("gain", gain)
-        .where((F.col("weight") > 3) & (F.col("gain") > cut)).orderBy(F.desc("gain"), F.desc(F.length("form")), "form").limit(max_entries)
+        .where((F.col("weight") > 3) & (F.col("gain") > cut)).orderBy(F.desc("gain"), F.desc(F.length("form")), "form")
         .select("form", "weight").collect()
     )
     words, stems, begun = dict(seeds), {}, set()
@@ -283,7 +263,7 @@ def score_toxicity(records: DataFrame, model: ToxicityModel) -> DataFrame:
 
     Method: insult entries, threats, targets, negation and reported speech are weighted transducers; their composition reads
     the clauses in which the lexicon automaton finds an entry, so a word counts by its clause: more near a target, less when
-    negated or reported, a threat only with a target.  The lexicon (``max_entries`` at most) is broadcast; one pass, no shuffle.
+    negated or reported, a threat only with a target.  The lexicon, bounded by the rows it was learnt from, is broadcast; one pass, no shuffle.
 
     Null and empty texts have weight 0 and the lowest score.  Null ids and repeated rows are scored like others; other
     columns are ignored.
