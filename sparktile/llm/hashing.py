@@ -25,20 +25,23 @@ def text_session(spark: SparkSession) -> SparkSession:
     return ship_package(spark)
 
 
-def sample_rows(rows: DataFrame, strata: str, most: int, keys: tuple[str, ...] = ("source_id", "text")) -> DataFrame:
-    """About ``most`` rows of each value of ``strata`` (all, if it has fewer), chosen by a hash of ``keys``.
+def class_counts(rows: DataFrame, strata: str) -> DataFrame:
+    """(class, n): rows of each value of ``strata`` that is not null, written so that a join knows the table's size."""
+    path = scratch_path(rows.sparkSession, "class-counts")
+    rows.where(F.col(strata).isNotNull()).groupBy(F.col(strata).alias("class")).agg(F.count("*").alias("n")).write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
-    A documented bound for fitting a model; the choice depends on the rows alone.  Counts per stratum are read by the driver:
-    one row for each class.
+
+def sample_rows(rows: DataFrame, strata: str, most: int, keys: tuple[str, ...] = ("source_id", "text"), counts: DataFrame | None = None) -> DataFrame:
+    """About ``most`` rows of each value of ``strata`` (all, if it has fewer), chosen by a hash of ``keys``; null values are left out.
+
+    A documented bound for fitting a model; the choice depends on the rows alone.  The shares are a table that the rows are
+    joined to, with any number of classes: Spark broadcasts it if its size allows.
     """
-    counts = rows.groupBy(strata).count().collect()
-    if len(counts) > 1000:
-        raise ValueError(f"{len(counts)} classes in {strata}; a model takes at most 1000")
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col(strata) == row[0], F.lit(min(1.0, most / row[1]))).otherwise(share)
+    counts = class_counts(rows, strata) if counts is None else counts
     unit = F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.where(unit < share)
+    drawn = rows.join(counts, F.col(strata) == F.col("class")).where(unit < F.least(F.lit(1.0), F.lit(float(most)) / F.col("n")))
+    return drawn.select(*[rows[c] for c in rows.columns])
 
 
 def labelled_sample(records: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hashing import groups, ngram_buckets, sample_rows
+from .hashing import class_counts, groups, ngram_buckets, sample_rows
 
 ORDERS = (1, 2, 3)
 BITS = 16
@@ -52,11 +52,13 @@ def _grams(points: np.ndarray, skip: np.ndarray) -> Iterator[np.ndarray]:
 def fit_language_model(records: DataFrame, rows_per_language: int = 4000, alpha: float = 0.1) -> LanguageModel:
     """Action: counts n-gram buckets of (source_id, text, lang) by language; rows with a null lang or text are not used.
 
-    At most about ``rows_per_language`` rows of each language are counted, chosen by a hash.  Counts are summed on Spark and
+    At most about ``rows_per_language`` rows of each language are counted, chosen by a hash; the prior is the language's share of all
+    usable rows.  Any number of languages fits; the matrix has 262 KB for each.  Counts are summed on Spark and
     the table of languages x 2**16 buckets is bounded, so the driver may hold it.
     """
     usable = records.select("source_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = sample_rows(usable, "lang", rows_per_language)
+    every = class_counts(usable, "lang")
+    sample = sample_rows(usable, "lang", rows_per_language, counts=every)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}
@@ -72,15 +74,18 @@ def fit_language_model(records: DataFrame, rows_per_language: int = 4000, alpha:
 
     counted = sample.select("text", "lang").mapInPandas(count, "lang string, bucket long, n long")
     sums = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    sizes = {r[0]: r[1] for r in sample.groupBy("lang").count().collect()}
+    sizes = dict(every.join(sample.select("lang").distinct(), F.col("class") == F.col("lang"), "left_semi").select("class", "n").collect())
     langs = tuple(sorted(sizes))
-    counts = np.zeros((1 << BITS, len(langs)))
+    table = np.zeros(((1 << BITS) + 1, len(langs)), dtype=np.float32)
     where = {name: k for k, name in enumerate(langs)}
-    counts[sums["bucket"].to_numpy(dtype=np.int64), sums["lang"].map(where).to_numpy(dtype=np.int64)] = sums["n"].to_numpy()
-    smooth = counts + alpha
-    log_probs = np.vstack([np.log(smooth / smooth.sum(axis=0, keepdims=True)), np.zeros((1, len(langs)))])
+    table[sums["bucket"].to_numpy(dtype=np.int64), sums["lang"].map(where).to_numpy(dtype=np.int64)] = sums["n"].to_numpy()
+    seen = table[:-1]  # the last row is neutral
+    seen += np.float32(alpha)
+    totals = np.log(seen.sum(axis=0, dtype=np.float64)).astype(np.float32)
+    np.log(seen, out=seen)
+    seen -= totals
     rows = np.array([sizes[x] for x in langs], dtype=float)
-    return LanguageModel(langs, log_probs.astype(np.float32), np.log(rows / rows.sum()) if len(langs) else rows)
+    return LanguageModel(langs, table, np.log(rows / rows.sum()) if len(langs) else rows)
 
 
 def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], np.ndarray]:

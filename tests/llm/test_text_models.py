@@ -138,6 +138,13 @@ def test_long_clauses_are_read_in_whole_words():
     for n in range(385, 402):
         for text in (f"idiot{blank(n)}idiot", f"idiot {'x' * n} schmackel", f"idiot{blank(n)}xidiot", f"idiot{blank(n)}idiot{blank(n)}kill you", f"xidiot{blank(n)}idiot", f"idiot{blank(n - 5)}kill   you"):
             assert matcher.total(text) == pytest.approx(whole(text))
+    for n in (1, 24, 150, 900):  # what a word lets others remember is counted in words, however long these are
+        filler = lambda k: " ".join(["x" * n] * k)
+        for k in range(8):
+            for first, last in (("kill", "you"), ("you", "idiot"), ("said", "idiot"), ("not", "you idiot"), ("idiot", "you")):
+                text = f"{first} {filler(k)} {last} {filler(9)}, schmackel"
+                assert matcher.total(text) == pytest.approx(whole(text))
+    assert matcher.total(f"kill {'x' * 150} {'y' * 150} {'z' * 150} you") == 2.0
     for _ in range(400):
         lexicon = ["idiot", "schmackel", "kill", "you", "not", "said"] + ["plain", "xidiot", "w" * 20] * rng.randrange(30)
         text = " ".join(rng.choice(lexicon) + rng.choice(["", "", "", blank(9), rng.choice(["", ". "])]) for _ in range(rng.randrange(300)))
@@ -155,6 +162,73 @@ def test_sample_holds_one_text_of_an_id(spark):
     assert sorted(map(tuple, first.collect())) == sorted(map(tuple, again.collect()))
 
 
+def test_long_words_and_every_significant_entry_are_learnt(spark):
+    long = "schimpf" * 9
+    texts = [(i, f"{long} number {i} talk") for i in range(60)] + [(100 + i, f"plain number {i} talk") for i in range(200)]
+    data = rows(spark, texts, toxic=[1] * 60 + [0] * 200)
+    model = tox.fit_toxicity(data, data.select("source_id", "toxic"))
+    assert any(long.startswith(s) for s in [*model.stems, *model.words]) and long in tox.word_forms(long)
+
+
+def test_toxicity_ranks_held_out_rows(spark):
+    sf = SF_DIR.replace("sf0.001", "sf0.1")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null")
+    got = QUERIES["op9_toxicity"](spark, sf).join(labels, "doc_id").where("held_out").select("score", "predicted", "toxic").collect()
+    toxic, clean = ([r.score for r in got if r.toxic == k] for k in (1, 0))
+    recall, false = sum(r.predicted for r in got if r.toxic) / len(toxic), sum(r.predicted for r in got if not r.toxic) / len(clean)
+    auc = sum((t > c) + 0.5 * (t == c) for t in toxic for c in clean) / (len(toxic) * len(clean))
+    print("held out", len(toxic), len(clean), "recall", recall, "false alarms", false, "auc", auc)
+    assert recall > 0.6 and false < 0.05 and auc > 0.85
+
+
+def test_language_model_equals_counting(spark):
+    """Naive Bayes by dictionaries: the same posterior for each text."""
+    import math
+
+    import numpy as np
+
+    from sparktile.llm import language_id as li
+
+    known = [("en", "the cat, the dog"), ("en", "a house!"), ("de", "der Hund und die Katze"), ("de", "ein Haus"), ("de", "das Haus"), ("fr", "le chat é")]
+    model = fit_language_model(rows(spark, list(enumerate(t for _, t in known)), lang=[x for x, _ in known]))
+
+    def features(text):
+        low = "".join(c if c.isalpha() else " " for c in text.lower()) + "  "
+        for order in li.ORDERS:
+            for i in range(len(low) - 2):
+                gram = low[i : i + order]
+                if gram.strip():
+                    yield int(li.ngram_buckets(np.array([ord(c) for c in gram], dtype="<u4"), order, li.BITS)[0])
+
+    counts = {x: {} for x, _ in known}
+    for x, text in known:
+        for f in features(text):
+            counts[x][f] = counts[x].get(f, 0) + 1
+    for text in ["the haus", "le chien und", "katze é dog", "zzz"]:
+        logit = {}
+        for x, c in counts.items():
+            total = sum(c.values()) + 0.1 * 2**li.BITS
+            logit[x] = math.log(sum(k == x for k, _ in known) / len(known)) + sum(math.log((c.get(f, 0) + 0.1) / total) for f in features(text))
+        top = max(logit, key=logit.get)
+        want = 1 / sum(math.exp(v - logit[top]) for v in logit.values())
+        got = identify_language(rows(spark, [(1, text)]), model).first()
+        assert got["lang_pred"] == top and got["score"] == pytest.approx(want, rel=1e-3)
+
+
+def test_many_classes_have_a_defined_result(spark):
+    from sparktile.llm.hashing import sample_rows
+
+    texts = [(i, f"wort{i} text") for i in range(3000)]
+    data = rows(spark, texts, lang=[f"l{i % 1500}" for i in range(3000)])
+    assert sample_rows(data, "lang", 1000).count() == 3000 and sample_rows(data, "lang", 1000).columns == data.columns
+    model = fit_language_model(data)
+    assert len(model.langs) == 1500 and float(sum(2.718281828459045**p for p in model.priors)) == pytest.approx(1.0)
+    # the prior is the share of all rows, also where a language has more than are counted
+    known = rows(spark, [(i, "a text of words") for i in range(400)], lang=["en"] * 300 + ["de"] * 100)
+    few = fit_language_model(known, rows_per_language=50)
+    assert few.langs == ("de", "en") and [round(2.718281828459045**float(p), 6) for p in few.priors] == [0.25, 0.75]
+
+
 def test_toxicity_held_out_accuracy(spark):
     sf = SF_DIR.replace("sf0.001", "sf0.01")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
