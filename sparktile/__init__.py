@@ -11,6 +11,7 @@ from .functions import (
     threshold_mask,
     tile_positions,
 )
+from .operators.block_stencils import block_values, cldice_blocks, evaluate_losses_blocks, stencil_blocks, value_pixels
 from .operators.blocks import block_images, block_pixels, cut_block_tiles, halo_blocks, score_blocks
 from .operators.annotations import (
     annotation_classes,

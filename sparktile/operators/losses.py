@@ -98,12 +98,15 @@ def _names(i: int) -> list[str]:
 BASE = ["n", "bce", "p", "t", "pt"]
 
 
-def loss_sums(df: DataFrame, sample: list[str], logit: Column, target: Column, terms: list[Term], y: str = "dy", x: str = "dx") -> DataFrame:
-    """Per-sample sums from long pixels; skeletons only for the terms that need them."""
+def loss_sums(df: DataFrame, sample: list[str], logit: Column, target: Column, terms: list[Term], y: str = "dy", x: str = "dx", colocate: bool = True) -> DataFrame:
+    """Per-sample sums from long pixels; skeletons only for the terms that need them.
+
+    ``colocate`` puts a sample into one task, right for tiles; without it windows shuffle by line, for whole images as samples.
+    """
     wanted = _skeletons(terms)
     px = df.select(*sample, F.col(y), F.col(x), logit.cast("double").alias("z"), target.cast("double").alias("tt"))
     px = px.withColumn("pp", sigmoid(F.col("z")))
-    if wanted:
+    if wanted and colocate:
         px = colocated(px, sample)
     hard = {h: f"h{k}" for k, h in enumerate(sorted({h for h, _ in wanted if h is not None}))}
     for h, name in hard.items():
@@ -196,11 +199,11 @@ def _named(specs) -> dict[str, list[Term]]:
     return out
 
 
-def evaluate_losses(df: DataFrame, specs, sample: list[str], logit: Column, target: Column, y: str = "dy", x: str = "dx") -> DataFrame:
-    """Any set of losses over long pixels in one aggregation."""
+def evaluate_losses(df: DataFrame, specs, sample: list[str], logit: Column, target: Column, y: str = "dy", x: str = "dx", colocate: bool = True) -> DataFrame:
+    """Any set of losses over long pixels in one aggregation; see ``loss_sums`` for ``colocate``."""
     named = _named(specs)
     terms = [t for ts in named.values() for t in ts]
-    return losses_from_sums(loss_sums(df, sample, logit, target, terms, y, x), named)
+    return losses_from_sums(loss_sums(df, sample, logit, target, terms, y, x, colocate), named)
 
 
 def evaluate_losses_packed(tiles: DataFrame, specs, sample: list[str], logits: str = "logits", mask: str = "mask") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BinaryType
 
 from ..functions import sigmoid, threshold_mask
-from ..operators import losses, metrics, scoring, stencil, tiling
+from ..operators import block_stencils, losses, metrics, scoring, stencil, tiling
 from ..sources import tables as t
 from .catalog import query
 from .tile_queries import P, PX_GRID, S
@@ -374,3 +374,60 @@ def q_open_packed(spark, d):
 @query("q_skeleton_packed", f"WITH {CELLS}, {skeleton_sql('sc', 'p', 'v', 'k', 3)} SELECT source_id,y0,x0,dy,dx,round(v,6) AS v FROM k")
 def q_skeleton_packed(spark, d):
     return _stencil_packed(spark, d, "skeleton")
+
+
+# --- whole images on blocks ---------------------------------------------------------------------
+
+SIDE = 12  # of a block: the 32x32 images have nine, margins reach over one and two of them
+WHOLE = f"{t.PX_SQL}, sc AS (SELECT source_id, 0 AS y0, 0 AS x0, y AS dy, x AS dx, z, 1.0/(1.0+exp(-z)) AS p, CAST(m>127 AS INTEGER)::DOUBLE AS t FROM px)"
+
+
+def image_blocks(spark, d):
+    """Plane table of the whole images: logits z, probabilities p, mask t."""
+    values = t.px(spark, d).withColumns({"p": sigmoid(logit()), "t": truth()})
+    return block_stencils.block_values(values, ["z", "p", "t"], SIDE)
+
+
+@query("q_block_losses", EVERY.replace(CELLS, WHOLE))
+def q_block_losses(spark, d):
+    """All losses with whole images as samples, from blocks that trade margins."""
+    found = block_stencils.evaluate_losses_blocks(image_blocks(spark, d), SPECS, block=SIDE)
+    return found.select("loss", F.round("value", 6).alias("value"))
+
+
+@query("q_block_cldice", f"""WITH {WHOLE}, src AS (SELECT *, {HARD} AS q FROM sc), {skeleton_sql('src', 'q', 'sq', 'a', 5)}, {skeleton_sql('a', 't', 'stt', 'b', 5)},
+r AS (SELECT source_id, (sum(sq*t)+1)/(sum(sq)+1) AS u, (sum(stt*q)+1)/(sum(stt)+1) AS v FROM b GROUP BY 1)
+SELECT source_id, round((2*u*v+1)/(u+v+1),6) AS cldice FROM r""")
+def q_block_cldice(spark, d):
+    """Centreline Dice of every whole image, five iterations: margins of six pixels."""
+    found = block_stencils.cldice_blocks(image_blocks(spark, d), iterations=5, threshold=0.5, block=SIDE)
+    return found.select("source_id", F.round("cldice", 6).alias("cldice"))
+
+
+def _block_stencil(spark, d, what):
+    done = block_stencils.stencil_blocks(image_blocks(spark, d), "p", what, "v", 3, SIDE)
+    return block_stencils.value_pixels(done, ["v"], SIDE).select("source_id", "y", "x", F.round("v", 6).alias("v"))
+
+
+def _whole_sql(ctes, name):
+    return f"WITH {WHOLE}, {ctes} SELECT source_id, dy AS y, dx AS x, round(v,6) AS v FROM {name}"
+
+
+@query("q_block_erode", _whole_sql(erode_sql("sc", "p", "v", "e"), "e"))
+def q_block_erode(spark, d):
+    return _block_stencil(spark, d, "erode")
+
+
+@query("q_block_dilate", _whole_sql(dilate_sql("sc", "p", "v", "e"), "e"))
+def q_block_dilate(spark, d):
+    return _block_stencil(spark, d, "dilate")
+
+
+@query("q_block_open", _whole_sql(erode_sql("sc", "p", "w", "e") + ", " + dilate_sql("e", "w", "v", "f"), "f"))
+def q_block_open(spark, d):
+    return _block_stencil(spark, d, "open")
+
+
+@query("q_block_skeleton", _whole_sql(skeleton_sql("sc", "p", "v", "k", 3), "k"))
+def q_block_skeleton(spark, d):
+    return _block_stencil(spark, d, "skeleton")
