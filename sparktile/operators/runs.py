@@ -5,11 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scans import best_before
+from . import plateau
 
 FOLD = ["run", "fold"]
 # Metric names of older logs and what they are called now.
@@ -108,47 +108,21 @@ def long_scalars(log: DataFrame) -> DataFrame:
 
 def plateau_trace(
     log: DataFrame, metric: str, mode: str = "max", factor: float = 0.5, patience: int = 5, min_lr: float = 1e-6,
-    lr0: float = 1e-4, threshold: float = 1e-4, eps: float = 1e-8,
+    lr0: float = 1e-4, threshold: float = 1e-4, eps: float = 1e-8, step: int = plateau.STEP,
 ) -> DataFrame:
     """run, fold, epoch, lr (during the epoch), bad (epochs without improvement after it), reduced.
 
     An epoch improves when it beats the best accepted value by the relative ``threshold``. After
     more than ``patience`` epochs without improvement the rate is multiplied by ``factor``, not
-    below ``min_lr``, and the count restarts; steps smaller than ``eps`` are not taken. Whether an
-    epoch improves depends on all accepted epochs before it, so a fold is read in order; epochs with
-    a null metric are not steps and give no row; rows
-    stream through in sorted partitions and three numbers are kept per fold, nothing is gathered.
+    below ``min_lr``, and the count restarts; steps smaller than ``eps`` are not taken. Epochs with
+    a null metric are not steps and give no row. A fold is cut into blocks of ``step`` epochs that
+    are worked on side by side, see ``plateau``; only one row a block is read in order.
     """
     check_mode(mode)
     if not 0 <= factor < 1:
         raise ValueError("factor must be at least 0 and below 1")
-    up = mode == "max"
-
-    def scan(frames):
-        fold, best, bad, lr = None, None, 0, lr0
-        for pdf in frames:
-            lrs, bads, cuts = [], [], []
-            for key, value in zip(zip(pdf.run, pdf.fold), pdf.metric):
-                if key != fold:
-                    fold, best, bad, lr = key, None, 0, lr0
-                lrs.append(lr)
-                bar = None if best is None else best * (1 + threshold if up else 1 - threshold)
-                if best is None or (value > bar if up else value < bar):
-                    best, bad = value, 0
-                else:
-                    bad += 1
-                cut = False
-                if bad > patience:
-                    lower = max(lr * factor, min_lr)
-                    cut, bad = lr - lower > eps, 0
-                    lr = lower if cut else lr
-                bads.append(bad)
-                cuts.append(cut)
-            yield pd.DataFrame({"run": pdf.run, "fold": pdf.fold, "epoch": pdf.epoch, "lr": lrs, "bad": bads, "reduced": cuts})
-
     rows = log.where(F.col(metric).isNotNull()).select("run", "fold", "epoch", F.col(metric).cast("double").alias("metric"))
-    laid = rows.repartition("run", "fold").sortWithinPartitions("run", "fold", "epoch")
-    return laid.mapInPandas(scan, "run string, fold int, epoch int, lr double, bad int, reduced boolean")
+    return plateau.trace(rows, mode == "max", factor, patience, min_lr, lr0, threshold, eps, step)
 
 
 def cv_summary(folds: DataFrame, metrics: list[str], num_images: int | None = None, images: DataFrame | None = None) -> DataFrame:

@@ -137,7 +137,7 @@ def q_summary_json(spark, d):
     return back.select("run", *stats, F.inline("folds")).select("run", *stats, "fold", "best_epoch")
 
 
-@query("q_plateau", LOG.replace("WITH", "WITH RECURSIVE") + """,
+PLATEAU = LOG.replace("WITH", "WITH RECURSIVE") + """,
 s AS (SELECT run, fold, epoch, train_loss AS v, row_number() OVER (PARTITION BY run, fold ORDER BY epoch) AS n FROM metric_log),
 r AS (SELECT run, fold, epoch, n, v AS best, 0 AS bad, 0.01::DOUBLE AS lr, 0.01::DOUBLE AS nxt, false AS reduced FROM s WHERE n=1
  UNION ALL SELECT s.run, s.fold, s.epoch, s.n, CASE WHEN better THEN s.v ELSE best END,
@@ -146,6 +146,15 @@ r AS (SELECT run, fold, epoch, n, v AS best, 0 AS bad, 0.01::DOUBLE AS lr, 0.01:
   NOT better AND bad+1>2 AND nxt-greatest(nxt*0.5::DOUBLE,0.002::DOUBLE)>1e-8::DOUBLE
  FROM (SELECT r.*, s.v AS sv, s.v < r.best*(1-1e-4::DOUBLE) AS better FROM r JOIN s ON s.run=r.run AND s.fold=r.fold AND s.n=r.n+1) r
   JOIN s ON s.run=r.run AND s.fold=r.fold AND s.n=r.n+1)
-SELECT run, fold, epoch, lr, CAST(bad AS INTEGER) AS bad, reduced FROM r""")
+SELECT run, fold, epoch, lr, CAST(bad AS INTEGER) AS bad, reduced FROM r"""
+
+
+@query("q_plateau", PLATEAU)
 def q_plateau(spark, d):
     return runs.plateau_trace(t.metric_log(spark, d), "train_loss", "min", factor=0.5, patience=2, min_lr=0.002, lr0=0.01)
+
+
+@query("q_plateau_blocks", PLATEAU)
+def q_plateau_blocks(spark, d):
+    """The same in blocks of seven epochs, so that every fold is worked on by several tasks."""
+    return runs.plateau_trace(t.metric_log(spark, d), "train_loss", "min", factor=0.5, patience=2, min_lr=0.002, lr0=0.01, step=7)
