@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import stem
-from ..functions.ranking import ordered_index, shuffled_index
+from ..functions.ranking import ranged_index, shuffled_index
 
 
 def distinct_groups(df: DataFrame, id_col: str = "source_id", order_col: str | None = None) -> DataFrame:
@@ -21,7 +21,7 @@ def shuffle_groups(groups: DataFrame, seed: int = 42) -> DataFrame:
 
 def assign_folds(groups: DataFrame, n_splits: int, shuffle: bool = True, seed: int = 42) -> DataFrame:
     """Add fold = position % n_splits, so fold sizes differ by at most one."""
-    ranked = shuffle_groups(groups, seed) if shuffle else ordered_index(groups, ["ord", "source_id"])
+    ranked = shuffle_groups(groups, seed) if shuffle else ranged_index(groups, ["ord", "source_id"])
     return ranked.select("source_id", (F.col("idx") % n_splits).cast("int").alias("fold"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.positions import check_geometry, covering_origins, debug_positions, tile_positions
-from ..functions.ranking import ordered_index, shuffled_index
+from ..functions.ranking import ranged_index, shuffled_index
 
 TILE_KEY = ["source_id", "y0", "x0"]
 ROWS_PER_FRAME = 64  # tiles handed to Arrow at a time
@@ -120,7 +120,7 @@ def batches(tiles: DataFrame, batch_size: int, shuffle: bool, seed: int = 42, ep
     if shuffle:
         ranked = shuffled_index(tiles, list(key), f"{seed}:{epoch}")
     else:
-        ranked = ordered_index(tiles, list(key))
+        ranked = ranged_index(tiles, list(key))
     return ranked.withColumn("batch", F.floor(F.col("idx") / F.lit(batch_size)).cast("long"))
 
 

@@ -157,12 +157,29 @@ def test_unpack_images(spark):
 @pytest.mark.parametrize("keys", [["source_id"], ["part", "source_id"]])
 def test_ranks_are_exact_for_any_layout(spark, keys):
     """A third of all rows shares one leading key."""
-    from sparktile.functions.ranking import ordered_index, shuffled_index
+    from sparktile.functions.ranking import ordered_index, ranged_index, shuffled_index
 
     df = spark.range(5000).select(F.col("id").alias("source_id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 97).alias("part"))
     want = [tuple(r[k] for k in keys) for r in df.orderBy(keys).collect()]
     for n in (1, 11):
-        got = ordered_index(df.repartition(n), keys).orderBy("idx").collect()
-        assert [tuple(r[k] for k in keys) for r in got] == want and [r.idx for r in got] == list(range(5000))
+        for rank in (ordered_index, ranged_index, lambda *a: ranged_index(*a, digits=0), lambda *a: ranged_index(*a, digits=5)):
+            got = rank(df.repartition(n), keys).orderBy("idx").collect()
+            assert [tuple(r[k] for k in keys) for r in got] == want and [r.idx for r in got] == list(range(5000))
     mixed = shuffled_index(df, keys, 5).orderBy("idx").collect()
     assert [r.idx for r in mixed] == list(range(5000)) and len({r.source_id for r in mixed}) == 5000
+
+
+def test_ranks_are_lazy_and_order_nulls_strings_and_empty_tables(spark):
+    from sparktile.functions.ranking import ranged_index
+
+    df = spark.range(700).selectExpr("if(id % 50 = 7, null, concat('k', id % 60)) a", "if(id % 97 = 3, null, id / 4) b", "id").repartition(5)
+    unique = df.dropDuplicates(["a", "b"])
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    ranked = ranged_index(unique, ["a", "b"], "at", 4)
+    ranked._jdf.queryExecution().optimizedPlan()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == jobs
+    want = [(r.a, r.b) for r in unique.orderBy("a", "b").collect()]
+    got = ranked.orderBy("at").collect()
+    assert [(r.a, r.b) for r in got] == want and [r.at for r in got] == list(range(len(want)))
+    assert ranked.columns == ["a", "b", "id", "at"]
+    assert ranged_index(df.limit(0), ["a", "b"]).count() == 0
