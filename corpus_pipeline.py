@@ -69,7 +69,7 @@ STAGES = [
     ("token pages", token_pages),
 ]
 
-# tokens, sketches and the fitted model have no SQL form; the operators have brute-force tests of their own, the chain of stages has none yet
+# tokens, sketches and the fitted model have no SQL form; tests/llm/test_pipeline.py holds every stage and run() against plain Python
 ORACLE_SQL = None
 
 
