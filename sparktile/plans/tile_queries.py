@@ -9,6 +9,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions import binarize_mask
 from ..functions import stem as stem_of
+from ..functions.table_functions import register_table_functions
 from ..operators import blocks, pairing, patch_stats, splits, tiling
 from ..sources import tables as t
 from .catalog import query
@@ -57,6 +58,14 @@ def q_tile_grid_overlap(spark, d):
     return tiling.tile_grid(t.dims(spark, d), BIG_P, overlap=BIG_P - BIG_S).groupBy("source_id").agg(F.count("*").alias("tiles"))
 
 
+@query("q_tile_grid_lateral", f"""WITH {t.DIMS_SQL},{grid_sql('dims', BIG_P, BIG_S)}
+SELECT source_id, y0, x0, least(y0+{BIG_P},height)-1 AS y1, least(x0+{BIG_P},width)-1 AS x1 FROM grid""")
+def q_tile_grid_lateral(spark, d):
+    """The grid from SQL, by the table function, with the last row and column of every tile."""
+    text = f"SELECT source_id, y0, x0, y1, x1 FROM {{images}}, LATERAL tile_positions(width, height, {BIG_P}, {BIG_S}, corners => true)"
+    return register_table_functions(spark).sql(text, images=t.dims(spark, d))
+
+
 @query("q_debug_grid", f"""WITH {t.DIMS_SQL},
 c AS (SELECT source_id, width, height, unnest(range(0, height, {BIG_P})) AS y0 FROM dims),
 d AS (SELECT source_id, width, height, y0, unnest(range(0, width, {BIG_P})) AS x0 FROM c)

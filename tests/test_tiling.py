@@ -183,3 +183,20 @@ def test_ranks_are_lazy_and_order_nulls_strings_and_empty_tables(spark):
     assert [(r.a, r.b) for r in got] == want and [r.at for r in got] == list(range(len(want)))
     assert ranked.columns == ["a", "b", "id", "at"]
     assert ranged_index(df.limit(0), ["a", "b"]).count() == 0
+
+
+def test_table_function_equals_the_grid(spark):
+    from sparktile.functions.table_functions import register_table_functions
+
+    rows = [("a", 40, 57), ("b", 16, 16), ("c", 70, 9), ("d", 1, 1), (None, 33, 12)]
+    images = spark.createDataFrame(rows, "source_id string, width int, height int")
+    sql = register_table_functions(spark).sql
+    for patch, stride in ((16, 12), (16, 16), (5, 3), (8, 11), (64, 64)):
+        got = sql(f"select source_id, y0, x0 from {{i}}, lateral tile_positions(width, height, {patch}, {stride})", i=images)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, tiling.tile_grid(images, patch, stride).select("source_id", "y0", "x0").collect()))
+    corners = sql("select * from tile_positions(20, 10, 16, 8, corners => true)")
+    assert [tuple(r) for r in corners.collect()] == [(0, 0, 9, 15), (0, 4, 9, 19)]
+    assert sql("select * from tile_positions(cast(null as int), 10, 16, 8)").count() == 0
+    for bad in ("tile_positions(10, 10, 0, 8)", "tile_positions(10, 10, 8, -1)", "tile_positions(10, 10, 8, 8, corners => 3)"):
+        with pytest.raises(Exception, match="at least 1|true or false"):
+            sql(f"select * from {bad}").collect()
